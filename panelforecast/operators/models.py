@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforecast.operators.metrics import weighted_log_loss
 from panelforecast.sources.stages import prepare_checkpoints, stage
@@ -210,6 +214,15 @@ def predict_classes(model: PipelineModel, df: DataFrame, keys: Sequence[str], la
     )
 
 
+def fit_side_by_side(spark: SparkSession, fit: Callable[[Any], Any], settings: Sequence[Any], parallelism: int = 5) -> list[Any]:
+    """Run independent fits from a few driver threads, as Spark ML's cross validator does.
+
+    Small folds leave most of a cluster idle; the scheduler shares it among the jobs.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(settings)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fit), settings))
+
+
 @dataclass
 class Selection:
     model: PipelineModel
@@ -232,18 +245,17 @@ def select_by_holdout_loss(
     score is a distributed job over the cached rows.
     """
     spark = train.sparkSession
-    rows, fitted = [], []
-    for max_iter in iterations:
-        for seed in seeds:
-            model = fit_network(train, features, label, max_iter, seed)
-            loss = {}
-            for part, data in (("train", train), ("test", holdout)):
-                scored = predict_classes(model, data, [], label)
-                value = weighted_log_loss(F.col("label"), F.col("probability"), weights)
-                loss[part] = scored.agg(value).first()[0]
-            rows.append((max_iter, seed, loss["train"], loss["test"]))
-            fitted.append(model)
-    schema = "max_iter int, seed int, train_loss double, test_loss double"
-    best = min(range(len(rows)), key=lambda i: rows[i][3])
-    chosen = {"max_iter": rows[best][0], "seed": rows[best][1]}
-    return Selection(fitted[best], spark.createDataFrame(rows, schema), chosen)
+
+    def candidate(setting: tuple[int, int]) -> tuple[PipelineModel, tuple]:
+        model = fit_network(train, features, label, *setting)
+        loss = weighted_log_loss(F.col("label"), F.col("probability"), weights)
+        scores = [predict_classes(model, part, [], label).agg(loss).first()[0] for part in (train, holdout)]
+        return model, (*setting, *scores)
+
+    settings = [(max_iter, seed) for max_iter in iterations for seed in seeds]
+    fitted = fit_side_by_side(spark, candidate, settings)
+    model, best = min(fitted, key=lambda entry: entry[1][3])
+    losses = spark.createDataFrame(
+        [row for _, row in fitted], "max_iter int, seed int, train_loss double, test_loss double"
+    )
+    return Selection(model, losses, {"max_iter": best[0], "seed": best[1]})

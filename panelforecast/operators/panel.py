@@ -188,10 +188,15 @@ def densify(panel: DataFrame, date: str = "date", entity: str = "district") -> D
     return filled.join(F.broadcast(axis), "_pos").select(date, entity, *values, "present")
 
 
-def trim_to_first_label(panel: DataFrame, label: str, date: str = "date", entity: str = "district") -> DataFrame:
-    """Drop the rows that precede, in (date, entity) order, the first labelled one; keep all if none is."""
+def trim_to_first_label(
+    panel: DataFrame, label: str, date: str = "date", entity: str = "district", source: DataFrame | None = None
+) -> DataFrame:
+    """Drop the rows that precede, in (date, entity) order, the first labelled one; keep all if none is.
+
+    ``source`` may name the table ``panel`` was derived from, to look the bound up there.
+    """
     here = F.struct(date, entity)
-    first = panel.agg(F.min(F.when(F.col(label).isNotNull(), here)).alias("first")).scalar()
+    first = (source or panel).agg(F.min(F.when(F.col(label).isNotNull(), here)).alias("first")).scalar()
     return panel.where(first.isNull() | (here >= first))
 
 

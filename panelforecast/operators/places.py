@@ -51,7 +51,9 @@ def match_locations(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def _distinct_places(articles: DataFrame, location: str) -> DataFrame:
-    return articles.select(F.lower(location).alias("place")).where("place is not null").distinct()
+    """Staged, because matching needs them several times and the articles are large."""
+    places = articles.select(F.lower(location).alias("place")).where("place is not null").distinct()
+    return stage(places, "places")
 
 
 def district_count_by_place(

@@ -33,6 +33,7 @@ def attach_tags(
     tags: Sequence[str],
     text: str = "text",
     key: str = "doc_id",
+    text_key_column: str | None = None,
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join of the corpus to the tagged articles on the whole text, with ``copies``.
@@ -41,13 +42,11 @@ def attach_tags(
     per text and tag combination: a corpus row meets each combination once and
     ``copies`` says how often the plain join would have repeated it. Missing texts
     match each other.
+    Both sides may carry the digest of the text already, as ``text_key_column``.
     """
-    variants = (
-        tagged.withColumn("_text", text_key(F.col(text)))
-        .groupBy("_text", *tags)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    keyed = corpus.drop(*tags).withColumn("_text", text_key(F.col(text)))
+    digest = F.col(text_key_column) if text_key_column else text_key(F.col(text))
+    variants = tagged.select(digest.alias("_text"), *tags).groupBy("_text", *tags).agg(F.count(F.lit(1)).alias("copies"))
+    keyed = corpus.drop(*tags).withColumn("_text", digest)
     joined = lookup_join(keyed, variants, "_text", "left", spread_by=key, limit_bytes=limit_bytes)
     return joined.drop("_text").withColumn("copies", F.coalesce("copies", F.lit(1)))
 

@@ -101,11 +101,12 @@ def cosine(a: Column, b: Column) -> Column:
 def class_tfidf(docs: DataFrame, topic: str = "topic", text: str = "text") -> DataFrame:
     """Class-based TF-IDF: tf(term, topic) * ln(1 + words per topic / tf(term)).
 
-    Words are counted before they move. The total of a term is a window over its
+    Words are counted before they move, and the counts are staged so that the texts
+    are read once. The total of a term is a window over its
     topics, a group no larger than the number of topics.
     """
     words = docs.select(F.col(topic).alias("topic"), F.explode(tokens(F.col(text))).alias("term"))
-    counts = words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = stage(words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
     average = per_topic.agg(F.avg("words")).scalar()
     total = F.sum("tf").over(Window.partitionBy("term"))

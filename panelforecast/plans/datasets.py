@@ -6,11 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelforecast.functions.columns import text_key
 from panelforecast.operators import topics as tp
 from panelforecast.operators.panel import LagSpec, drop_null_lag, lag_features, trim_to_first_label
 from panelforecast.operators.places import gazetteer_of, map_articles, with_district_weight
 from panelforecast.operators.series import join_monthly, monthly_series_features
 from panelforecast.operators.tags import attach_tags, tag_by_topic
+from panelforecast.sources.stages import stage
 
 # Lags, columns and tags of the two datasets, in output order.
 STANDARD_LAGS = [
@@ -49,6 +51,12 @@ def feature_names(features: str) -> list[str]:
         raise ValueError(f"features must be 'Standard' or 'Improved', not {features!r}") from None
 
 
+def corpus_similarity(corpus: DataFrame, tag_keywords: Mapping[str, Sequence[str]], topic: str = "topic") -> DataFrame:
+    """Similarity of every topic of the corpus with every keyword of the tags."""
+    keywords = [k for words in tag_keywords.values() for k in words]
+    return tp.keyword_similarity(tp.class_tfidf(corpus, topic), keywords)
+
+
 def tag_corpus(
     corpus: DataFrame,
     tag_keywords: Mapping[str, Sequence[str]],
@@ -57,8 +65,7 @@ def tag_corpus(
     topic: str = "topic",
 ) -> DataFrame:
     """Boolean tags on a corpus whose documents already have a topic."""
-    keywords = [k for words in tag_keywords.values() for k in words]
-    similarity = tp.keyword_similarity(tp.class_tfidf(corpus, topic), keywords)
+    similarity = corpus_similarity(corpus, tag_keywords, topic)
     chosen = tp.relevant_topics_by_tag(similarity, tag_keywords, top_n, final_n)
     return tag_by_topic(corpus, chosen, list(tag_keywords), topic)
 
@@ -71,14 +78,20 @@ def article_features(
     final_n: int = 10,
     topic: str = "topic",
 ) -> DataFrame:
-    """The tagged corpus with ``copies``: how often the join on text repeats each row.
+    """Tags and ``copies`` (how often the join on text repeats the row) per article, without its text.
 
-    Without ``fanout`` every article keeps exactly its own tags.
+    The text is read once for its words and once for its digest. Without ``fanout``
+    every article keeps exactly its own tags.
     """
-    tagged = tag_corpus(corpus, tag_keywords, top_n, final_n, topic)
+    similarity = corpus_similarity(corpus, tag_keywords, topic)
+    chosen = tp.relevant_topics_by_tag(similarity, tag_keywords, top_n, final_n)
+    tags = list(tag_keywords)
     if not fanout:
+        tagged = tag_by_topic(corpus.drop("text"), chosen, tags, topic)
         return tagged.withColumn("copies", F.lit(1).cast("long"))
-    return attach_tags(corpus, tagged, list(tag_keywords))
+    slim = stage(corpus.withColumn("text_key", text_key(F.col("text"))).drop("text"), "corpus-keys")
+    tagged = tag_by_topic(slim, chosen, tags, topic)
+    return attach_tags(slim, tagged, tags, text_key_column="text_key").drop("text_key")
 
 
 def districted_articles(articles: DataFrame, panel: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def prepare_dataset(
 
     columns = ["date", "district", "ipc", *{s.column: None for s in lags if s.column != "ipc"}]
     lagged = lag_features(panel.select(*columns), lags)
-    known = join_monthly(trim_to_first_label(lagged, "ipc"), series, tags)
+    known = join_monthly(trim_to_first_label(lagged, "ipc", source=panel), series, tags)
     if features == "Improved":
         known = drop_null_lag(known, "ipc_lag_1")
     return known.select("date", "district", F.lit(1.0).alias("const"), *names, "ipc")

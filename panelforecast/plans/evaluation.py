@@ -76,35 +76,37 @@ def _linear(data, features, label, splits, fit, rounded_mae) -> Evaluation:
     folds, chosen = folded(data, features, label, splits)
     train = folds.where("role = 'train'")
     train = stage(interpolate_linear(train, [*features, label], ["fold", "district"]), "interpolated", "fold")
-    models, used, parts, scores = [], [], [], []
-    for fold in sorted(chosen):
-        columns = chosen[fold]
-        part = train.where(F.col("fold") == fold)
-        model = fit(part, columns, label)
+    numbers = sorted(chosen)
+    models = ml.fit_side_by_side(
+        data.sparkSession, lambda f: fit(train.where(F.col("fold") == f), chosen[f], label), numbers
+    )
+    scores, parts = [], []
+    for fold, model in zip(numbers, models):
         scores.append((fold, float(model.summary.r2), int(model.summary.numInstances)))
-        guess = ml.linear_prediction(model, columns)
         test = folds.where((F.col("fold") == fold) & (F.col("role") == "test"))
+        guess = ml.linear_prediction(model, chosen[fold])
         parts.append(test.select("fold", *KEYS, F.col(label).alias("label"), guess.alias("prediction")))
-        models.append(model)
-        used.append(columns)
     predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
     fits = data.sparkSession.createDataFrame(scores, "fold int, r2 double, n_train long")
     metrics = mt.fold_metrics(predictions, rounded_mae=rounded_mae).join(F.broadcast(fits), "fold")
-    return Evaluation(metrics, predictions, models, used)
+    return Evaluation(metrics, predictions, models, [chosen[f] for f in numbers])
 
 
 def _trees(data, features, label, splits, settings) -> Evaluation:
     folds, chosen = folded(data, features, label, splits)
-    models, used, parts = [], [], []
-    for fold in sorted(chosen):
-        columns = chosen[fold]
-        here = folds.where(F.col("fold") == fold)
-        model, _ = ml.fit_trees(here.where("role = 'train'"), columns, label, **settings)
-        parts.append(ml.predict_trees(model, here.where("role = 'test'"), columns, ["fold", *KEYS], label))
-        models.append(model)
-        used.append(columns)
+    numbers = sorted(chosen)
+    train = folds.where("role = 'train'")
+    models = ml.fit_side_by_side(
+        data.sparkSession,
+        lambda f: ml.fit_trees(train.where(F.col("fold") == f), chosen[f], label, **settings)[0],
+        numbers,
+    )
+    parts = []
+    for fold, model in zip(numbers, models):
+        test = folds.where((F.col("fold") == fold) & (F.col("role") == "test"))
+        parts.append(ml.predict_trees(model, test, chosen[fold], ["fold", *KEYS], label))
     predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
-    return Evaluation(mt.fold_metrics(predictions), predictions, models, used)
+    return Evaluation(mt.fold_metrics(predictions), predictions, models, [chosen[f] for f in numbers])
 
 
 def network_parts(data: DataFrame, features: Sequence[str], label: str, test_size=0.2, seed=69) -> DataFrame:

@@ -36,7 +36,7 @@ PAIR = """SELECT date, district, ipc, count_violence AS x1, food_price_idx / 100
 
 
 def _pair(spark, sf):
-    return load(spark, sf, PAIR)
+    return stage(load(spark, sf, PAIR), "pair")
 
 
 def _two_feature_fit(penalty: float) -> str:
@@ -91,7 +91,7 @@ SMALL = ["count_violence", "ndvi_anom", "food_price_idx"]
 def _labelled_panel(spark, sf):
     """Panel with lagged features, the shape every model is evaluated on."""
     specs = [LagSpec(c, 3, rolling=6) for c in SMALL] + [LagSpec("ipc", 1, dropna=True)]
-    panel = load(spark, sf, PANEL).select("date", "district", *SMALL, "ipc")
+    panel = stage(load(spark, sf, PANEL).select("date", "district", *SMALL, "ipc"), "panel")
     return stage(lag_features(panel, specs), "model-panel"), [s.name for s in specs]
 
 
@@ -189,7 +189,7 @@ def _rounded(data):
     ),
 )
 def dataset_standard(spark, sf):
-    return _rounded(ds.prepare_dataset(load(spark, sf, PANEL), load(spark, sf, ARTICLES), "Standard"))
+    return _rounded(ds.prepare_dataset(stage(load(spark, sf, PANEL), "panel"), load(spark, sf, ARTICLES), "Standard"))
 
 
 COPIES = """, joined_text AS (SELECT news.doc_id, news.date, news.location, {tags}, count(*) AS copies
@@ -238,4 +238,4 @@ IMPROVED_SERIES = (
 )
 def dataset_improved(spark, sf):
     articles = ds.article_features(load(spark, sf, NEWS), TAG_WORDS, top_n=TOP_N, final_n=TOP_N)
-    return _rounded(ds.prepare_dataset(load(spark, sf, PANEL), articles, "Improved"))
+    return _rounded(ds.prepare_dataset(stage(load(spark, sf, PANEL), "panel"), articles, "Improved"))

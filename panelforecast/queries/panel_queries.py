@@ -8,7 +8,7 @@ from panelforecast.functions import columns as fc
 from panelforecast.operators import folds as fo
 from panelforecast.operators import panel as pa
 from panelforecast.queries.adapters import FINE_PANEL, PANEL, RAW_NAMES, load, table, with_cte
-from panelforecast.sources.stages import materialize, shared_folder
+from panelforecast.sources.stages import materialize, shared_folder, stage
 from panelforecast.sources.tables import read_delimited, read_table, write_table
 
 QUERIES = {}
@@ -29,8 +29,16 @@ def r6(column):
     return F.round(column, 6)
 
 
-def _fine(spark, sf):
-    return load(spark, sf, FINE_PANEL)
+def _fine(spark, sf, *columns):
+    """The supplier panel, for operators that read their input once."""
+    panel = load(spark, sf, FINE_PANEL)
+    return panel.select(*columns) if columns else panel
+
+
+def _stored(spark, sf, *columns, sql=FINE_PANEL):
+    """A panel as a stored table, for operators that read it more than once: the facts are aggregated once."""
+    panel = load(spark, sf, sql)
+    return stage(panel.select(*columns) if columns else panel, "panel")
 
 
 @query(
@@ -106,7 +114,7 @@ def gazetteer_normalise(spark, sf):
     ),
 )
 def trim_to_first_label(spark, sf):
-    return pa.trim_to_first_label(_fine(spark, sf).select("date", "district", "ipc"), "ipc")
+    return pa.trim_to_first_label(_stored(spark, sf, "date", "district", "ipc"), "ipc")
 
 
 # every present date for every district
@@ -123,7 +131,7 @@ grid AS (SELECT d.date, p.district, panel.count_violence, panel.ndvi_anom, panel
     ),
 )
 def panel_densify(spark, sf):
-    dense = pa.densify(_fine(spark, sf).select("date", "district", "food_price_idx", "ipc"))
+    dense = pa.densify(_stored(spark, sf, "date", "district", "food_price_idx", "ipc"))
     return dense.select("date", "district", r6("food_price_idx").alias("food_price_idx"), "ipc", "present")
 
 
@@ -142,7 +150,7 @@ def _rolled(column: str, size: int) -> str:
     ),
 )
 def panel_rolling_mean(spark, sf):
-    out = pa.rolling_mean(_fine(spark, sf).select("date", "district", "food_price_idx"), "food_price_idx", 6, "v")
+    out = pa.rolling_mean(_stored(spark, sf, "date", "district", "food_price_idx"), "food_price_idx", 6, "v")
     return out.select("date", "district", r6("v").alias("food_price_roll"))
 
 
@@ -157,7 +165,7 @@ def panel_rolling_mean(spark, sf):
     ),
 )
 def panel_diff(spark, sf):
-    out = pa.difference(_fine(spark, sf).select("date", "district", "ndvi_anom"), "ndvi_anom", "v")
+    out = pa.difference(_stored(spark, sf, "date", "district", "ndvi_anom"), "ndvi_anom", "v")
     return out.select("date", "district", r6("v").alias("ndvi_diff"))
 
 
@@ -170,7 +178,7 @@ COMPLETE = """, complete AS (SELECT date, row_number() OVER (ORDER BY date) AS p
     with_cte(COMPLETE + " SELECT date, CAST(position AS BIGINT) AS position FROM complete", panel=FINE_PANEL),
 )
 def complete_dates(spark, sf):
-    out = pa.complete_dates(_fine(spark, sf).select("date", "district", "ipc"), "ipc")
+    out = pa.complete_dates(_stored(spark, sf, "date", "district", "ipc"), "ipc")
     return out.select("date", F.col("position").cast("long").alias("position"))
 
 
@@ -190,7 +198,7 @@ def _kept_lag(lag: int) -> str:
     ),
 )
 def panel_lag(spark, sf):
-    out = pa.lag_features(_fine(spark, sf).select("date", "district", "ipc"), [pa.LagSpec("ipc", 2, dropna=True)])
+    out = pa.lag_features(_stored(spark, sf, "date", "district", "ipc"), [pa.LagSpec("ipc", 2, dropna=True)])
     return out.select("date", "district", "ipc_lag_2")
 
 
@@ -217,7 +225,7 @@ LAGGED_SQL = (
 
 @query("lag_features", with_cte(LAGGED_SQL, panel=FINE_PANEL))
 def lag_features(spark, sf):
-    out = pa.lag_features(_fine(spark, sf), LAG_SPECS)
+    out = pa.lag_features(_stored(spark, sf), LAG_SPECS)
     return out.select(
         "date",
         "district",
@@ -239,7 +247,7 @@ def lag_features(spark, sf):
     ),
 )
 def drop_null_lag(spark, sf):
-    panel = load(spark, sf, PANEL).select("date", "district", "ipc")
+    panel = _stored(spark, sf, "date", "district", "ipc", sql=PANEL)
     return pa.drop_null_lag(pa.lag_features(panel, [pa.LagSpec("ipc", 1, dropna=True)]))
 
 
@@ -260,7 +268,7 @@ def drop_null_lag(spark, sf):
     ),
 )
 def interpolate_linear(spark, sf):
-    out = pa.interpolate_linear(_fine(spark, sf).select("date", "district", "ipc"), ["ipc"])
+    out = pa.interpolate_linear(_fine(spark, sf, "date", "district", "ipc"), ["ipc"])
     return out.select("date", "district", r6("ipc").alias("ipc"))
 
 
@@ -272,7 +280,7 @@ POSITIONS = ", p AS (SELECT date, district, ipc, ndvi_anom, row_number() OVER (O
     with_cte(POSITIONS + " SELECT date, district, CAST(position AS BIGINT) AS position FROM p", panel=FINE_PANEL),
 )
 def row_position(spark, sf):
-    return pa.row_position(_fine(spark, sf).select("date", "district"))
+    return pa.row_position(_fine(spark, sf, "date", "district"))
 
 
 FOLDS = (
@@ -289,7 +297,7 @@ FOLDS = (
     with_cte(FOLDS + " SELECT date, district, CAST(position AS BIGINT) AS position, fold, role FROM folds", panel=FINE_PANEL),
 )
 def time_series_folds(spark, sf):
-    return fo.time_series_folds(pa.row_position(_fine(spark, sf).select("date", "district")))
+    return fo.time_series_folds(pa.row_position(_fine(spark, sf, "date", "district")))
 
 
 @query(
@@ -321,4 +329,4 @@ def live_columns_per_fold(spark, sf):
     ),
 )
 def holdout_split(spark, sf):
-    return fo.holdout_split(_fine(spark, sf).select("date", "district"), ["date", "district"])
+    return fo.holdout_split(_fine(spark, sf, "date", "district"), ["date", "district"])

@@ -43,7 +43,7 @@ def read_delimited(
     """Delimited text with a header row and an explicit schema; dates are ``yyyy-MM-dd``.
 
     Columns are taken by header name, so files may hold more of them or in another
-    order. ``multi_line`` admits line breaks inside quoted text but makes each file
+    order. An empty field, quoted or not, is missing. ``multi_line`` admits line breaks inside quoted text but makes each file
     one task; keep it for article text and convert such files to Parquet once.
     """
     raw = (
@@ -73,7 +73,8 @@ def as_panel(df: DataFrame, key: str = "year_month") -> DataFrame:
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # blanks at the ends of a text are part of it
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(format).save(path)
 
 
