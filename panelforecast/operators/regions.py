@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 OTHER = "Other regions"
 
 
-def count_per_region(mapped: DataFrame, region: str = "district") -> DataFrame:
-    return mapped.groupBy(region).agg(F.count(F.lit(1)).alias("count"))
+def count_per_region(mapped: DataFrame, region: str = "district", weight: str | None = None) -> DataFrame:
+    """Articles per region; ``weight`` says how many rows one stands for."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return mapped.groupBy(region).agg(rows.alias("count"))
 
 
 def top_regions(counts: DataFrame, n: int = 10, region: str = "district") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforecast.functions.columns import TOKEN_PATTERN, tokens
 from panelforecast.sources.stages import stage
+from panelforecast.sources.tables import fill_cores
 
 # Tags and the keywords whose topics they stand for.
 BASE_TAG_KEYWORDS = {
@@ -51,15 +53,25 @@ def fit_topics(
     Distances between unit vectors order like cosines, and a text without words is a
     legal zero vector. Hashing keeps the vocabulary off the driver; the model's size is k x features.
     """
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
-        StopWordsRemover(inputCol="_tokens", outputCol="_words"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-        KMeans(featuresCol="_unit", predictionCol="topic", k=k, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(corpus.select(text).na.fill("", [text]))
+    words = PipelineModel(
+        [
+            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
+            StopWordsRemover(inputCol="_tokens", outputCol="_words"),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        ]
+    )
+    # texts are tokenized once for the two fits
+    counts = words.transform(fill_cores(corpus.select(text).na.fill("", [text]))).select("_tf")
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    shape = Pipeline(
+        stages=[
+            IDF(inputCol="_tf", outputCol="_tfidf"),
+            Normalizer(inputCol="_tfidf", outputCol="_unit"),
+            KMeans(featuresCol="_unit", predictionCol="topic", k=k, seed=seed),
+        ]
+    ).fit(counts)
+    counts.unpersist()
+    return PipelineModel([*words.stages, *shape.stages])
 
 
 def assign_topics(
@@ -67,7 +79,7 @@ def assign_topics(
 ) -> DataFrame:
     """One ``topic`` per document; -1 beyond ``outlier_distance`` (cosine) from its centre."""
     helpers = [s.getOutputCol() for s in model.stages if s.hasParam("outputCol")]
-    scored = model.transform(corpus.na.fill("", [text]))
+    scored = model.transform(fill_cores(corpus).na.fill("", [text]))
     if outlier_distance is not None:
         scored = scored.withColumn("topic", _outlier_or_topic(model.stages[-1], "_unit", outlier_distance))
     return scored.drop(*helpers)
@@ -105,7 +117,8 @@ def class_tfidf(docs: DataFrame, topic: str = "topic", text: str = "text") -> Da
     are read once. The total of a term is a window over its
     topics, a group no larger than the number of topics.
     """
-    words = docs.select(F.col(topic).alias("topic"), F.explode(tokens(F.col(text))).alias("term"))
+    slim = fill_cores(docs.select(F.col(topic).alias("topic"), F.col(text).alias("text")))
+    words = slim.select("topic", F.explode(tokens(F.col("text"))).alias("term"))
     counts = stage(words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
     average = per_topic.agg(F.avg("words")).scalar()

@@ -100,9 +100,16 @@ def districted_articles(articles: DataFrame, panel: DataFrame) -> DataFrame:
     return map_articles(slim, gazetteer_of(panel), fallback="all")
 
 
-def prepare_dataset(
-    panel: DataFrame, articles: DataFrame, features: str = "Standard", has_copies: bool | None = None
-) -> DataFrame:
+def weighted_articles(articles: DataFrame, panel: DataFrame, features: str) -> DataFrame:
+    """Articles without text, with ``_weight``: the rows each one stands for in the monthly shares."""
+    slim = articles.drop("text", "lat", "lng")
+    copies = F.col("copies") if "copies" in articles.columns else F.lit(1)
+    if features == "Standard":
+        return slim.withColumn("_weight", copies)
+    return with_district_weight(slim, gazetteer_of(panel)).withColumn("_weight", copies * F.col("districts"))
+
+
+def prepare_dataset(panel: DataFrame, articles: DataFrame, features: str = "Standard") -> DataFrame:
     """Key, constant, features and label of one dataset.
 
     ``panel`` is keyed by (date, district); ``articles`` has a date, a boolean per tag,
@@ -111,13 +118,7 @@ def prepare_dataset(
     """
     names = feature_names(features)
     lags, tags = (STANDARD_LAGS, STANDARD_TAGS) if features == "Standard" else (IMPROVED_LAGS, IMPROVED_TAGS)
-    slim = articles.drop("text", "lat", "lng")
-    copies = F.col("copies") if (has_copies if has_copies is not None else "copies" in articles.columns) else F.lit(1)
-    if features == "Improved":
-        slim = with_district_weight(slim, gazetteer_of(panel)).withColumn("_weight", copies * F.col("districts"))
-    else:
-        slim = slim.withColumn("_weight", copies)
-    series = monthly_series_features(slim, tags, weight="_weight")
+    series = monthly_series_features(weighted_articles(articles, panel, features), tags, weight="_weight")
 
     columns = ["date", "district", "ipc", *{s.column: None for s in lags if s.column != "ipc"}]
     lagged = lag_features(panel.select(*columns), lags)

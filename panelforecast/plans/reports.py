@@ -32,10 +32,13 @@ def articles_per_ipc(
     return rg.topic_share_by_class(labels, monthly_topic_share(articles, tags, weight=weight), tags)
 
 
-def articles_per_region(articles: DataFrame, panel: DataFrame, top: int = 10, percent: float = 2.3) -> DataFrame:
+def articles_per_region(
+    articles: DataFrame, panel: DataFrame, top: int = 10, percent: float = 2.3, weight: str | None = None
+) -> DataFrame:
     """Article counts and shares of the biggest regions, small ones merged."""
-    slim = articles.select("doc_id", "location")
-    counts = rg.count_per_region(map_articles(slim, gazetteer_of(panel), fallback="label"))
+    slim = articles.select("doc_id", "location", *([weight] if weight else []))
+    mapped = map_articles(slim, gazetteer_of(panel), fallback="label")
+    counts = rg.count_per_region(mapped, weight=weight)
     return rg.share_of_total(rg.fold_long_tail(rg.top_regions(counts, top), percent))
 
 

@@ -8,7 +8,7 @@ from panelforecast.functions import columns as fc
 from panelforecast.operators import folds as fo
 from panelforecast.operators import panel as pa
 from panelforecast.queries.adapters import FINE_PANEL, PANEL, RAW_NAMES, load, table, with_cte
-from panelforecast.sources.stages import materialize, shared_folder, stage
+from panelforecast.sources.stages import materialize, stage, stage_path
 from panelforecast.sources.tables import read_delimited, read_table, write_table
 
 QUERIES = {}
@@ -53,14 +53,14 @@ def scan_table(spark, sf):
 @query("write_read_roundtrip", "SELECT doc_id, lang, source, text, n_chars FROM documents")
 def write_read_roundtrip(spark, sf):
     source = table(spark, sf, "documents").select("doc_id", "lang", "source", "text", "n_chars")
-    path = f"{shared_folder(spark)}/roundtrip-{spark.sparkContext.applicationId}"
+    path = stage_path(spark, "roundtrip")
     write_table(source, path, "csv")
     return read_delimited(spark, path, source.schema, multi_line=True)
 
 
 @query("materialized_stage")
 def materialized_stage(spark, sf):
-    path = f"{shared_folder(spark)}/panel-stage-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}"
+    path = stage_path(spark, "panel")
     materialize(spark, path, lambda: _fine(spark, sf))
     return materialize(spark, path, lambda: _fine(spark, sf).limit(0))
 

@@ -45,10 +45,15 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` under a fresh name in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)

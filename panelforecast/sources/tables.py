@@ -64,6 +64,18 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return clean_numeric(df, floating) if floating else df
 
 
+def fill_cores(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over all cores before costly work on its rows.
+
+    A small table often comes as one file with one row group, hence one task. The size
+    is Catalyst's own estimate; an input beyond the bound has enough splits and is
+    left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def as_panel(df: DataFrame, key: str = "year_month") -> DataFrame:
     """Turn the month key into a DATE and clean every covariate that is present."""
     present = [c for c in [*PANEL_COVARIATES, "ipc"] if c in df.columns]
