@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 from panelforecast.sources.stages import stage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.001
+HOT_SHARE = 0.002
 HOT_KEYS = 500
 TRACKED_KEYS = 20000
 SPREAD = 64
@@ -33,7 +33,7 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than a thousandth of the rows: at most ``HOT_KEYS`` rows.
+    """Keys that hold more than one row in ``HOT_KEYS``; there cannot be more than that many.
 
     The sketch merges on the map side and has a fixed size, so finding the heavy
     keys moves no rows. A key it misses is merely not spread.
@@ -49,18 +49,18 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
-    """Shuffled join in which the rows of a hot key go to ``SPREAD`` tasks.
+    """Shuffled join in which the rows of a hot key, or of no key, go to ``SPREAD`` tasks.
 
     The spread is a hash of a column of the row, never a random number: a
     recomputed task must send each row to the same place.
     """
     hot = F.broadcast(stage(hot_keys(facts, key), "hot-keys"))
+    slot = F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")
+    # rows without a key match nothing, yet an outer join would send them all to one task:
+    # they get a key of their own slot that no lookup row has
     left = (
         facts.join(hot, key, "left")
-        .withColumn(
-            "_slot",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).otherwise(0),
-        )
+        .withColumn("_slot", F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(0))
         .drop("_hot")
     )
     slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))

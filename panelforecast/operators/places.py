@@ -9,7 +9,9 @@ into a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforecast.functions.columns import strip_direction_words
 from panelforecast.operators.joins import lookup_join
@@ -17,7 +19,6 @@ from panelforecast.sources.stages import stage
 
 NOT_ASSIGNED = "Not assigned"
 ROW_NAMES = 100_000
-NAMES_PER_BLOCK = 1000
 
 
 def gazetteer_of(panel: DataFrame, entity: str = "district") -> DataFrame:
@@ -90,22 +91,23 @@ def map_articles(
 def _to_every_district(mapped: DataFrame, gazetteer: DataFrame, row_names: int = ROW_NAMES) -> DataFrame:
     """Give each row without a district all of them.
 
-    A gazetteer small enough to sit in a row is attached as one array and exploded
-    where the article already is. A larger one is joined block by block, so that no
-    task and no row holds more than a block of names.
+    The names are attached as one array and exploded where the article already is, so
+    the articles do not move. Names too many for one row go in several passes, each
+    with its share of them.
     """
     columns = [c for c in mapped.columns if c != "district"]
-    names = gazetteer.count()
-    if names <= row_names:
-        everything = gazetteer.agg(F.collect_list("district")).scalar()
-        goes_to = F.when(F.col("district").isNull(), everything).otherwise(F.array("district"))
+    passes = gazetteer.count() // row_names + 1
+    share = F.pmod(F.xxhash64("district"), F.lit(passes))
+
+    def names(i: int) -> Column:
+        return gazetteer.where(share == i).agg(F.collect_list("district")).scalar()
+
+    if passes == 1:
+        goes_to = F.when(F.col("district").isNull(), names(0)).otherwise(F.array("district"))
         return mapped.select(*columns, F.explode(goes_to).alias("district"))
-    blocks = names // NAMES_PER_BLOCK + 1
-    block_of_name = F.pmod(F.xxhash64("district"), F.lit(blocks)).cast("int")
-    open_rows = mapped.where("district is null").drop("district")
-    open_rows = open_rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = open_rows.join(gazetteer.withColumn("_block", block_of_name), "_block").select(*columns, "district")
-    return mapped.where("district is not null").select(*columns, "district").unionByName(spread)
+    unmatched = mapped.where("district is null")
+    spread = [unmatched.select(*columns, F.explode(names(i)).alias("district")) for i in range(passes)]
+    return reduce(DataFrame.unionByName, spread, mapped.where("district is not null").select(*columns, "district"))
 
 
 def with_district_weight(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -157,25 +158,25 @@ def topic_vectors(vectors: DataFrame, topic: str = "topic", vector: str = "embed
     return means.groupBy("topic").agg(F.transform(ordered, lambda e: e["x"]).alias("centre"))
 
 
-def vector_similarity(queries: DataFrame, centres: DataFrame, key: str, vector: str) -> DataFrame:
+def vector_similarity(
+    queries: DataFrame, centres: DataFrame, key: str, vector: str, at_once: int = 4096
+) -> DataFrame:
     """Cosine of every query vector with every topic centre, one row each.
 
-    The centres are as many as there are topics; they travel as one value when that
-    is at most a few thousand and are joined in blocks of topics otherwise.
+    The centres travel to the queries, which do not move: as one value when they are a
+    few thousand, else in several passes, each with its share of them.
     """
     centres = stage(centres, "topic-centres")
-    topics = centres.count()
-    doubles = F.col(vector).cast("array<double>")
-    blocks = topics // 4096 + 1
-    packed = centres.withColumn("_block", F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int"))
-    packed = packed.groupBy("_block").agg(F.collect_list(F.struct("topic", "centre")).alias("_centres"))
-    if blocks == 1:
-        every = packed.select("_centres").scalar()
-        paired = queries.withColumn("_c", F.explode(every))
-    else:
-        wide = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        paired = wide.join(packed, "_block").withColumn("_c", F.explode("_centres"))
-    return paired.select(key, F.col("_c.topic").alias("topic"), cosine(doubles, F.col("_c.centre")).alias("similarity"))
+    passes = centres.count() // at_once + 1
+    share = F.pmod(F.xxhash64("topic"), F.lit(passes))
+
+    def against(i: int) -> DataFrame:
+        some = centres.where(share == i).agg(F.collect_list(F.struct("topic", "centre"))).scalar()
+        near = cosine(F.col(vector).cast("array<double>"), F.col("_c.centre"))
+        paired = queries.withColumn("_c", F.explode(some))
+        return paired.select(key, F.col("_c.topic").alias("topic"), near.alias("similarity"))
+
+    return reduce(DataFrame.unionByName, [against(i) for i in range(passes)])
 
 
 def topics_per_keyword(similarity: DataFrame, top_n: int = 10) -> DataFrame:

@@ -118,10 +118,9 @@ def network_parts(data: DataFrame, features: Sequence[str], label: str, test_siz
 
 
 def _network(data, features, label, settings) -> Evaluation:
-    rows = network_parts(data, features, label).persist()
+    rows = stage(network_parts(data, features, label), "network-rows", "role")
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     choice = ml.select_by_holdout_loss(train, test, features, **settings)
     predictions = stage(ml.predict_classes(choice.model, test, KEYS), "predictions")
-    rows.unpersist()
     metrics = mt.fold_metrics(predictions.withColumn("fold", F.lit(0)))
     return Evaluation(metrics, predictions, [choice.model], [list(features)], choice.losses)

@@ -18,9 +18,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
+from panelforecast.functions.columns import text_key
 from panelforecast.operators import topics as tp
 from panelforecast.operators.panel import assert_unique_key
-from panelforecast.operators.tags import attach_tags, attach_tags_by_id, repeat_copies
+from panelforecast.operators.tags import attach_tags, repeat_copies
 from panelforecast.plans import datasets as ds, reports
 from panelforecast.sources import stages, tables
 
@@ -103,11 +104,12 @@ class Project:
         return self._stage("topics", build)
 
     def tagged(self, tag_keywords: Mapping[str, Sequence[str]] = tp.ALL_TAG_KEYWORDS) -> DataFrame:
-        """All base and extra tags per article, in one pass for both datasets."""
+        """All base and extra tags per article in one pass for both datasets; a digest stands for the text."""
 
         def build() -> DataFrame:
             corpus = self.corpus().join(self.topic_table(), "doc_id")
-            return ds.tag_corpus(corpus, tag_keywords, self.top_n).drop("text", "topic")
+            tagged = ds.tag_corpus(corpus, tag_keywords, self.top_n)
+            return tagged.withColumn("text_key", text_key(F.col("text"))).drop("text", "topic")
 
         return self._stage("tagged", build)
 
@@ -115,11 +117,10 @@ class Project:
         """Tagged articles with ``copies``; without fan-out every article counts once."""
 
         def build() -> DataFrame:
-            tags = list(tp.ALL_TAG_KEYWORDS)
             if not self.fanout:
-                return attach_tags_by_id(self.corpus(), self.tagged(), tags).withColumn("copies", F.lit(1).cast("long"))
-            with_text = self.corpus().select("doc_id", "text").join(self.tagged(), "doc_id")
-            return attach_tags(self.corpus(), with_text, tags)
+                return self.tagged().drop("text_key").withColumn("copies", F.lit(1).cast("long"))
+            rows = attach_tags(self.tagged(), self.tagged(), list(tp.ALL_TAG_KEYWORDS), text_key_column="text_key")
+            return rows.drop("text_key")
 
         return self._stage("articles", build)
 

@@ -13,21 +13,21 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-# month x nation
+# month x nation; prices and balances are indexed to a base of 977 and 97
 PANEL = """
 SELECT date, district, count_violence, ndvi_anom, food_price_idx, ruggedness_mean, pop, cropland_pct,
        sum_fatalities, et_anom, rain_anom,
        CASE WHEN month(date) IN (2, 6, 10) AND date >= DATE '1995-06-01' THEN 1.0E0 + (n % 5) END AS ipc
 FROM (SELECT date, n_name AS district, CAST(sum(n) AS BIGINT) AS n,
              sum(urgent) AS count_violence,
-             sum(c_acctbal * n) / sum(n) AS ndvi_anom,
-             sum(price) / sum(n) AS food_price_idx,
+             sum(c_acctbal * n) / sum(n) / 97.0E0 AS ndvi_anom,
+             sum(price) / sum(n) / 977.0E0 AS food_price_idx,
              max(1.0E0 * (n_nationkey % 7)) AS ruggedness_mean,
              1.0E0 * sum(n) AS pop,
              sum(low) / sum(n) AS cropland_pct,
              sum(finished) AS sum_fatalities,
-             min(cheapest) AS et_anom,
-             max(c_acctbal) AS rain_anom
+             min(cheapest) / 977.0E0 AS et_anom,
+             max(c_acctbal) / 97.0E0 AS rain_anom
       FROM (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n,
                    sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0E0 ELSE 0.0E0 END) AS urgent,
                    sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0E0 ELSE 0.0E0 END) AS low,
@@ -46,7 +46,7 @@ FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
              concat('District ', CAST(l_suppkey AS STRING)) AS district, count(*) AS n,
              sum(CASE WHEN l_returnflag = 'R' THEN 1.0E0 ELSE 0.0E0 END) AS count_violence,
              avg(l_quantity) AS ndvi_anom,
-             avg(l_extendedprice) AS food_price_idx
+             avg(l_extendedprice) / 977.0E0 AS food_price_idx
       FROM {lineitem} GROUP BY 1, 2) AS a
 """
 

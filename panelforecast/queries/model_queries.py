@@ -31,7 +31,7 @@ def r6(column):
     return F.round(column, 6)
 
 
-PAIR = """SELECT date, district, ipc, count_violence AS x1, food_price_idx / 100000.0E0 AS x2 FROM ({panel}) AS p
+PAIR = """SELECT date, district, ipc, count_violence AS x1, food_price_idx / 100.0E0 AS x2 FROM ({panel}) AS p
           WHERE ipc IS NOT NULL""".replace("{panel}", PANEL)
 
 
@@ -64,6 +64,25 @@ def ridge_fit(spark, sf):
     return _fitted(rows, ml.fit_ridge(rows, ["x1", "x2"]))
 
 
+FIT_STATISTICS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + """,
+  r AS (SELECT ipc AS y, ipc - (my + b1 * (x1 - m1) + b2 * (x2 - m2)) AS e, row_number() OVER (ORDER BY date, district) AS i FROM d, m, b),
+  s AS (SELECT count(*) AS n, sum(e * e) AS ssr, var_pop(y) AS v, avg(e * e * e) / pow(avg(e * e), 1.5E0) AS sk,
+               avg(e * e * e * e) / pow(avg(e * e), 2) AS ku FROM r),
+  w AS (SELECT sum(pow(e - p, 2)) AS steps FROM (SELECT e, lag(e) OVER (ORDER BY i) AS p FROM r) AS x),
+  f AS (SELECT *, 1 - ssr / (v * n) AS r2, -n / 2.0E0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll FROM s)
+  SELECT n AS n_obs, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS r2_adj,
+         round(r2 / 2 / ((1 - r2) / (n - 3)), 6) AS f_statistic, round(ll, 6) AS log_likelihood, round(-2 * ll + 6, 6) AS aic,
+         round(-2 * ll + 3 * ln(n), 6) AS bic, round(sk, 6) AS skew, round(ku, 6) AS kurtosis,
+         round(n / 6.0E0 * (sk * sk + pow(ku - 3, 2) / 4), 6) AS jarque_bera, round(steps / ssr, 6) AS durbin_watson
+  FROM f, w"""
+
+
+@query("ols_fit_statistics", with_cte(FIT_STATISTICS, d=PAIR))
+def ols_fit_statistics(spark, sf):
+    _, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
+    return fit.select("n_obs", *[r6(c).alias(c) for c in fit.columns if c not in ("n_obs", "df_resid", "df_model")])
+
+
 @query("ols_summary")
 def ols_summary(spark, sf):
     coefficients, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
@@ -117,7 +136,7 @@ def gbt_fit(spark, sf):
 @query("mlp_fit")
 def mlp_fit(spark, sf):
     data, features = _labelled_panel(spark, sf)
-    rows = ev.network_parts(data, features, "ipc").persist()
+    rows = stage(ev.network_parts(data, features, "ipc"), "network-rows", "role")
     model = ml.fit_network(rows.where("role = 'train'"), features)
     return ml.predict_classes(model, rows, ["date", "district", "role"])
 

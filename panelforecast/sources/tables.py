@@ -69,11 +69,12 @@ def fill_cores(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFra
 
     A small table often comes as one file with one row group, hence one task. The size
     is Catalyst's own estimate; an input beyond the bound has enough splits and is
-    left where it is.
+    left where it is. Rows are sorted after the move, since the order in which they
+    arrive varies from run to run and seeded samples must not.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    return df.repartition(cores).sortWithinPartitions(*df.columns) if size < cores * bytes_per_core else df
 
 
 def as_panel(df: DataFrame, key: str = "year_month") -> DataFrame:

@@ -53,11 +53,10 @@ def test_mapping_equals_brute_force_on_random_names(spark):
     assert {r.doc_id: r.districts for r in weights} == want
 
 
-def test_long_gazetteer_is_joined_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(pl, "NAMES_PER_BLOCK", 10)
+def test_long_gazetteer_goes_in_several_passes(spark):
     mapped = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "doc_id long, district string")
     gazetteer = spark.range(95).select(F.concat(F.lit("d"), "id").alias("district"))
-    got = sorted((r.doc_id, r.district) for r in pl._to_every_district(mapped, gazetteer, row_names=5).collect())
+    got = sorted((r.doc_id, r.district) for r in pl._to_every_district(mapped, gazetteer, row_names=30).collect())
     assert got == sorted([(2, "x")] + [(i, f"d{d}") for i in (1, 3) for d in range(95)])
 
 
@@ -69,7 +68,8 @@ def test_direction_words_go_one_after_the_other(spark):
 
 
 def test_hot_key_is_spread_and_nothing_is_lost(spark):
-    facts = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    some = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 50))
+    facts = spark.range(4000).select("id", some.alias("k"))  # a third hot, a third without a key
     lookup = spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v")).union(
         spark.createDataFrame([("hot", -1), ("unused", -2)], "k string, v long")
     )
@@ -198,7 +198,8 @@ def test_tags_of_unknown_topics_are_false(spark):
 def test_topic_model_is_repeatable_and_survives_saving(spark, tmp_path):
     words = [["rain", "crop", "field"], ["troop", "gun", "raid"]]
     rows = [(i, " ".join(random.Random(i).choices(words[i % 2], k=12))) for i in range(40)] + [(40, ""), (41, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     model = tp.fit_topics(docs, k=3, features=256)
     topics = {r.doc_id: r.topic for r in tp.assign_topics(model, docs).collect()}
     again = {r.doc_id: r.topic for r in tp.assign_topics(tp.fit_topics(docs, k=3, features=256), docs).collect()}
@@ -210,11 +211,12 @@ def test_topic_model_is_repeatable_and_survives_saving(spark, tmp_path):
     assert [r.topic for r in strict] in ([-1], [-1, -1]) or {r.topic for r in strict} <= {-1, *topics.values()}
 
 
-def test_vector_similarity_in_blocks_equals_numpy(spark):
+@pytest.mark.parametrize("at_once", [4096, 2])
+def test_vector_similarity_equals_numpy(spark, at_once):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(12)]
     df = spark.createDataFrame(vectors, "vec_id int, embedding array<float>, label int")
-    got = {(r.vec_id, r.topic): r.similarity for r in tp.vector_similarity(df, tp.topic_vectors(df, "label"), "vec_id", "embedding").collect()}
+    got = {(r.vec_id, r.topic): r.similarity for r in tp.vector_similarity(df, tp.topic_vectors(df, "label"), "vec_id", "embedding", at_once).collect()}
     data = np.array([v for _, v, _ in vectors], dtype=np.float32).astype(float)
     for t in range(3):
         centre = data[[i for i in range(12) if i % 3 == t]].mean(axis=0)
