@@ -66,7 +66,12 @@ def confusion_matrix(
 def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Support, predicted count, hits and F1 per class that occurs on either side."""
     sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("rows").alias("support"), F.lit(0).cast("long").alias("predicted"), F.lit(0).cast("long").alias("hits")),
+        F.struct(
+            F.col("label").alias("class"),
+            F.col("rows").alias("support"),
+            F.lit(0).cast("long").alias("predicted"),
+            F.lit(0).cast("long").alias("hits"),
+        ),
         F.struct(
             F.col("prediction").alias("class"),
             F.lit(0).cast("long").alias("support"),

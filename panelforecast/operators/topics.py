@@ -62,7 +62,7 @@ def fit_topics(
         ]
     )
     # texts are tokenized once for the two fits
-    counts = words.transform(fill_cores(corpus.select(text).na.fill("", [text]))).select("_tf")
+    counts = words.transform(fill_cores(corpus.select(text).na.fill("", [text]), ordered=True)).select("_tf")
     counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     shape = Pipeline(
         stages=[

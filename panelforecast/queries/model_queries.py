@@ -10,7 +10,7 @@ from panelforecast.plans import datasets as ds
 from panelforecast.plans import evaluation as ev
 from panelforecast.queries.adapters import ARTICLES, NEWS, PANEL, TAG_WORDS, load, with_cte
 from panelforecast.queries.panel_queries import COMPLETE, _kept_lag, _rolled
-from panelforecast.queries.text_queries import ARTICLE_TAGS, MATCHED, SERIES, TAGGED, TOP_N
+from panelforecast.queries.text_queries import MATCHED, SERIES, TAGGED, TOP_N
 from panelforecast.sources.stages import stage
 
 QUERIES = {}
@@ -157,11 +157,7 @@ def _lagged_sql(specs, extra: str) -> str:
     """Dense-grid SQL of a dataset's lag features, joined to the monthly series ``series``."""
     columns = list(dict.fromkeys(s.column for s in specs if not s.dropna))
     rolled = ", ".join(f"{_rolled(c, 6)} AS {c}_r" for c in columns)
-    late = ", ".join(
-        f"lag({s.column}_r - lag({s.column}_r) OVER w, 3)" if s.difference else f"lag({s.column}_r, 3) OVER w AS {s.name}"
-        for s in specs
-        if not s.dropna and not s.difference
-    )
+    late = ", ".join(f"lag({s.column}_r, 3) OVER w AS {s.name}" for s in specs if not s.dropna and not s.difference)
     diffs = [s.column for s in specs if s.difference]
     moved = ", ".join(f"{c}_r - lag({c}_r) OVER (PARTITION BY district ORDER BY date) AS {c}_d" for c in diffs)
     late_d = ", ".join(f"lag({c}_d, 3) OVER w AS {c}_lag_3" for c in diffs)

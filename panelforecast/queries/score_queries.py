@@ -34,7 +34,7 @@ def _predictions(spark, sf):
 
 
 def _scored(spark, sf):
-    """Only what the confidence tables need, with the reference's column names."""
+    """Labelled rows with just the columns of a confidence table."""
     rows = mt.scored_rows(_predictions(spark, sf))
     return rows.select(F.col("label").alias("true_val"), F.col("prediction").alias("pred_val"), "pred_prob")
 
@@ -209,7 +209,8 @@ def accuracy_by_confidence(spark, sf):
     "explain_predictions",
     with_cte(
         SCORED
-        + """ SELECT doc_id, round_even(a[1] * 100, 0) / 100 AS prob_1, round_even(a[5] * 100, 0) / 100 AS prob_5,
+        + """ SELECT doc_id, round_even(a[1] * 100, 0) / 100 AS prob_1,
+                     round_even(a[5] * 100, 0) / 100 AS prob_5,
                      CAST(list_position(a, list_max(a)) AS INTEGER) AS predicted_score,
                      round_even(100 * list_max(a) * 100, 0) / 100 AS confidence_pct, CAST(label + 1 AS INTEGER) AS true_score
               FROM (SELECT *, [p0, p1, p2, p3, p4] AS a FROM s) AS x""",

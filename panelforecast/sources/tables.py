@@ -64,17 +64,20 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return clean_numeric(df, floating) if floating else df
 
 
-def fill_cores(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
+def fill_cores(df: DataFrame, ordered: bool = False, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
     """Spread a small input over all cores before costly work on its rows.
 
     A small table often comes as one file with one row group, hence one task. The size
     is Catalyst's own estimate; an input beyond the bound has enough splits and is
-    left where it is. Rows are sorted after the move, since the order in which they
-    arrive varies from run to run and seeded samples must not.
+    left where it is. With ``ordered`` the rows are sorted after the move: the order in
+    which they arrive varies from run to run, and what seeds draw from it must not.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores).sortWithinPartitions(*df.columns) if size < cores * bytes_per_core else df
+    if size >= cores * bytes_per_core:
+        return df
+    spread = df.repartition(cores)
+    return spread.sortWithinPartitions(*df.columns) if ordered else spread
 
 
 def as_panel(df: DataFrame, key: str = "year_month") -> DataFrame:

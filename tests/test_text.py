@@ -150,7 +150,7 @@ def test_weighted_share_equals_written_out_rows(spark):
     assert weighted == pytest.approx(plain)
 
 
-def reference_selection(similarity, keywords, top_n):
+def expected_selection(similarity, keywords, top_n):
     """Best similarity per topic over the top lists of all keywords, then the ten best."""
     best = {}
     for k in keywords:
@@ -165,9 +165,9 @@ def test_relevant_topics(spark):
     rows = [(k, t, rng.random()) for k in ("a", "b", "c") for t in range(25)]
     similarity = spark.createDataFrame(rows, "keyword string, topic int, similarity double")
     got = [(r.topic, r.similarity) for r in tp.relevant_topics(similarity, ["a", "b"], top_n=7).collect()]
-    assert got == reference_selection(rows, ["a", "b"], 7)
+    assert got == expected_selection(rows, ["a", "b"], 7)
     single = [r.topic for r in tp.relevant_topics(similarity, "c", top_n=4).collect()]
-    assert single == [t for t, _ in reference_selection(rows, ["c"], 4)]
+    assert single == [t for t, _ in expected_selection(rows, ["c"], 4)]
     by_tag = tp.relevant_topics_by_tag(similarity, {"x": ["a", "b"], "y": ["c", "a"]}, top_n=7)
     assert {r.topic for r in by_tag.where("tag = 'x'").collect()} == {t for t, _ in got}
 
