@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforecast.functions.columns import TOKEN_PATTERN, tokens
+from panelforecast.operators.joins import lookup_join
 from panelforecast.sources.stages import stage
 from panelforecast.sources.tables import fill_cores
 
@@ -115,18 +116,17 @@ def class_tfidf(docs: DataFrame, topic: str = "topic", text: str = "text") -> Da
     """Class-based TF-IDF: tf(term, topic) * ln(1 + words per topic / tf(term)).
 
     Words are counted before they move, and the counts are staged so that the texts
-    are read once. The total of a term is a window over its
-    topics, a group no larger than the number of topics.
+    are read once. A term of every topic is a hot key of the join with the totals, which
+    ``lookup_join`` broadcasts or spreads.
     """
     slim = fill_cores(docs.select(F.col(topic).alias("topic"), F.col(text).alias("text")))
     words = slim.select("topic", F.explode(tokens(F.col("text"))).alias("term"))
     counts = stage(words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     per_topic = counts.groupBy("topic").agg(F.sum("tf").alias("words"))
     average = per_topic.agg(F.avg("words")).scalar()
-    total = F.sum("tf").over(Window.partitionBy("term"))
-    return counts.withColumn("total", total).withColumn(
-        "weight", F.col("tf") * F.log1p(average / F.col("total"))
-    )
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"))
+    joined = lookup_join(counts, totals, "term", "inner", spread_by="topic")
+    return joined.select("topic", "term", "tf", "total", (F.col("tf") * F.log1p(average / F.col("total"))).alias("weight"))
 
 
 def keyword_similarity(weights: DataFrame, keywords: Sequence[str]) -> DataFrame:
