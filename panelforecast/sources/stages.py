@@ -6,7 +6,6 @@ Catalyst the real size of a table, so that joins with it are planned on facts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,18 +22,30 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set."""
+    """The folder that all executors share.
+
+    In this order: the setting ``spark.checkpoint.dir``, the context's checkpoint
+    folder, a folder under ``spark.sql.warehouse.dir``. The last is refused where it
+    is a local path and the master is not local: each machine would see its own.
+    """
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="panelforecast-")
-    spark.conf.set(_SETTING, folder)
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/panelforecast-stages"
+    fs, _ = _filesystem(spark, folder)
+    if fs.getUri().getScheme() == "file" and not _is_local(spark.sparkContext.master):
+        raise ValueError(f"set {_SETTING} to a folder that all executors share; {folder} is local to each machine")
     return folder
 
 
+def _is_local(master: str) -> bool:
+    """One machine: ``local`` or ``local[n]``, but not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def prepare_checkpoints(spark: SparkSession) -> None:
     """Let iterative fits write checkpoints into the shared folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

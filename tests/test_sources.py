@@ -68,3 +68,30 @@ def test_feature_lists_have_the_documented_sizes():
     assert len(ds.feature_names("Standard")) == 10 and len(ds.feature_names("Improved")) == 28
     with pytest.raises(ValueError):
         ds.feature_names("Other")
+
+
+class _Master:
+    """A session whose context claims another master; everything else is the real one."""
+
+    def __init__(self, spark, master, settings):
+        self._spark, self.sparkContext, self.conf = spark, self, self
+        self.master, self._settings = master, settings
+
+    def __getattr__(self, name):
+        return getattr(self._spark.sparkContext, name)
+
+    def get(self, key, default=None):
+        return self._settings.get(key, default)
+
+
+def test_local_warehouse_is_refused_on_a_cluster(spark, tmp_path):
+    from panelforecast.sources.stages import shared_folder
+
+    settings = {"spark.sql.warehouse.dir": f"file:{tmp_path}"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Master(spark, "spark://host:7077", settings))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Master(spark, "local-cluster[3,2,2048]", settings))
+    assert shared_folder(_Master(spark, "local[4]", settings)) == f"file:{tmp_path}/panelforecast-stages"
+    settings["spark.checkpoint.dir"] = "s3a://bucket/stages/"
+    assert shared_folder(_Master(spark, "yarn", settings)) == "s3a://bucket/stages"
