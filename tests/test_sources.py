@@ -71,11 +71,23 @@ def test_feature_lists_have_the_documented_sizes():
 
 
 class _Master:
-    """A session whose context claims another master; everything else is the real one."""
+    """A session whose context claims another master and has no checkpoint folder."""
 
     def __init__(self, spark, master, settings):
         self._spark, self.sparkContext, self.conf = spark, self, self
-        self.master, self._settings = master, settings
+        self._jsc, self.master, self._settings = self, master, settings
+
+    def sc(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self
+
+    def isDefined(self):
+        return False
+
+    def hadoopConfiguration(self):
+        return self._spark.sparkContext._jsc.hadoopConfiguration()
 
     def __getattr__(self, name):
         return getattr(self._spark.sparkContext, name)
