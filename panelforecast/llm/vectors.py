@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +13,23 @@ from panelforecast.sources.stages import stage
 
 COSINE = 0.98
 ROTATION_SEED = 20
-BANDS = 16
+BANDS = 28
 BAND_BITS = 20
 BLOCK = 1024
 CONFIDENCE = 4.0
 PAIRS_AT_ONCE = 256
 
 
-@lru_cache(maxsize=8)
+_ROTATIONS: dict = {}
+
+
 def rotations(dim: int, bands: int = BANDS, bits: int = BAND_BITS) -> tuple[np.ndarray, np.ndarray]:
     """A random rotation for the codes, and the directions whose signs make the bands' keys."""
-    rng = np.random.default_rng(ROTATION_SEED)
-    turn = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(1 + -(-bands * bits // dim))]
-    return turn[0].astype(np.float64), np.concatenate(turn[1:], axis=0)[: bands * bits]
+    if (dim, bands, bits) not in _ROTATIONS:
+        rng = np.random.default_rng(ROTATION_SEED)
+        turn = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(1 + -(-bands * bits // dim))]
+        _ROTATIONS[dim, bands, bits] = turn[0], np.concatenate(turn[1:], axis=0)[: bands * bits]
+    return _ROTATIONS[dim, bands, bits]
 
 
 def _band_keys(units: np.ndarray, bands: int, bits: int) -> np.ndarray:
