@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelforecast.sources.stages import stage
+
 SLICE_BYTES = 2 << 20
 
 
@@ -52,3 +54,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def lean_stage(df: DataFrame, name: str) -> DataFrame:
+    """A stage table whose shuffle files go as soon as it is written: nothing reads them again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return stage(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, before)

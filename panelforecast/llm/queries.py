@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforecast.llm import language, mixing, pieces, quality, secrets
+from panelforecast.llm import extraction, language, mixing, pieces, quality, repeats, sampling, secrets
 from panelforecast.llm.common import held_out, read
 from panelforecast.llm.simhash import near_duplicates
 from panelforecast.llm.vectors import near_vectors
@@ -50,9 +50,36 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op9_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.edits(read(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_sentencepiece, op4_source_mixing, op5_secret_scan, op6_language_id, op10_embedding_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_quality_classifier,
+        op3_sentencepiece,
+        op4_source_mixing,
+        op5_secret_scan,
+        op6_language_id,
+        op7_substring_dedup,
+        op8_html_extraction,
+        op9_weighted_fingerprints,
+        op10_embedding_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
