@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelforecast.sources.stages import stage
-
 PERIOD = 1000
 BLOCK_ROWS = 16
-ROWS_A_BUCKET = 5_000
+ROWS_A_BUCKET = 1_000
 
 
 def schedule(shares: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -56,16 +54,15 @@ def _numbered(rows: DataFrame) -> DataFrame:
     Buckets are ranges of the key's first digits, so numbers within a bucket and the sizes
     of the buckets before it give the place. Their number follows the table's size.
     """
-    buckets = 1 << max(0, (rows.count() // ROWS_A_BUCKET).bit_length())
+    buckets = 1 << (rows.count() // ROWS_A_BUCKET).bit_length()
     digits = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(digits * F.lit(buckets) / F.lit(1 << 32)).cast("int"))
-    sizes = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id")
+    sizes = rows.groupBy("number", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("number", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("number", "bucket").orderBy("key", "id")
     rows = rows.withColumn("r", F.row_number().over(within) - 1)
-    joined = rows.join(sizes, rows["source"].eqNullSafe(sizes["s"]) & (rows["bucket"] == sizes["b"]))
-    return joined.select("id", "source", (F.col("r") + F.col("start")).alias("source_row"))
+    return rows.join(sizes, ["number", "bucket"]).withColumn("source_row", F.col("r") + F.col("start")).drop("bucket", "r", "start")
 
 
 def pfair_mix(
@@ -75,6 +72,7 @@ def pfair_mix(
     source_column: str = "source",
     period: int = PERIOD,
     block_rows: int = BLOCK_ROWS,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """``(id, source, source_row, block, slot)``: the place of every row in the mixture.
 
@@ -88,31 +86,31 @@ def pfair_mix(
 
     ``weights`` (source to positive whole number) default to ``source_weights``; a source
     without a weight gets 1, more sources than slots of a period raise ``ValueError``. A
-    null source is a source of its own. Rows with equal ids come next to each other.
-    Rows are numbered within buckets of a source, so that the largest source is never
-    sorted in one task. Empty input gives no rows.
+    null source is a source of its own. Rows with equal ids come next to each other. With
+    ``whole_rows`` the rows themselves come along as the struct ``row``. Rows are numbered
+    within buckets of a source, so that the largest source is never sorted in one task.
+    Empty input gives no rows.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"))
-    rows = stage(rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix-rows")
-    if isinstance(weights, dict):
-        given = weights
-    else:
-        table = source_weights(rows) if weights is None else weights
-        given = {r.source: int(r.weight) for r in table.limit(period + 1).collect()}
-    found = [r.source for r in rows.select("source").distinct().limit(period + 1).collect()]
-    shares = _shares([(s, max(1, int(given.get(s, 1)))) for s in found], period)
     spark = docs.sparkSession
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), *row)
+    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    counted = source_weights(rows).limit(period + 1).collect()
+    if weights is None:
+        given = {r.source: r.weight for r in counted}
+    else:
+        given = weights if isinstance(weights, dict) else {r.source: r.weight for r in weights.limit(period + 1).collect()}
+    shares = _shares([(r.source, max(1, int(given.get(r.source, 1)))) for r in counted], period)
     plan = spark.createDataFrame(schedule({i: a for i, _, a in shares}), "number int, k int, at int")
-    share = spark.createDataFrame(shares, "number int, source string, share int")
-    numbered = _numbered(rows)
-    placed = numbered.join(F.broadcast(share), numbered["source"].eqNullSafe(share["source"])).select(
-        "id", numbered["source"], "source_row", "number", "share", F.floor(F.col("source_row") / block_rows).alias("block")
-    )
-    placed = placed.withColumn("k", F.pmod("block", "share").cast("int"))
+    share = spark.createDataFrame(shares, "number int, name string, share int")
+    # both tables have at most ``period`` rows
+    numbered = _numbered(rows.join(F.broadcast(share), rows["source"].eqNullSafe(share["name"])).drop("name"))
+    placed = numbered.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("k", F.pmod("block", "share").cast("int"))
     return placed.join(F.broadcast(plan), ["number", "k"]).select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
         "source_row",
         "block",
         (F.floor(F.col("block") / F.col("share")) * period + F.col("at")).alias("slot"),
+        *(["row"] if whole_rows else []),
     )
