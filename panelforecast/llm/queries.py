@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforecast.llm import extraction, language, mixing, pieces, quality, repeats, sampling, secrets
+from panelforecast.llm import extraction, language, mixing, oracles, pieces, quality, repeats, sampling, secrets
 from panelforecast.llm.common import held_out, read
 from panelforecast.llm.simhash import near_duplicates
 from panelforecast.llm.vectors import near_vectors
@@ -82,4 +82,9 @@ QUERIES = {
         op10_embedding_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": oracles.MIX,
+    "op7_substring_dedup": oracles.REPEATS,
+    "op8_html_extraction": oracles.PAGES,
+    "op10_embedding_dedup": oracles.VECTORS,
+}
