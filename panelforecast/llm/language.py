@@ -30,8 +30,8 @@ _KINDS = np.array([0x51, 0x52, 0x53, 0x54, 0x55, 0x56], np.uint64) << np.uint64(
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case, in order."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case, in order; numbers that are neither letters nor digits, like a half, make none."""
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ class Tagger:
         """Shares of every word, one after another, and the number of words of each text."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.scores = {}, self.scores[:0]
-        parts = [[w for w in words_of(t)] for t in texts]
+        parts = [words_of(t) for t in texts]
         flat = [w for p in parts for w in p]
         new = [w for w in dict.fromkeys(flat) if w not in self.known]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
