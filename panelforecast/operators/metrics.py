@@ -46,21 +46,21 @@ def confusion_matrix(
     label: str = "label",
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Dense counts keyed by the real classes, zero where a pair never occurs.
+    """Dense counts over the listed classes and all others that occur; zero where a pair never does.
 
-    All cells are counted in the same aggregate, so the empty ones need no join.
+    Every scored row is in one cell. The counts per pair, at most the square of the
+    number of classes, are laid out in one row.
     """
-    cells = [
-        F.struct(
-            F.lit(t).alias("label"),
-            F.lit(p).alias("prediction"),
-            F.count_if((F.col(label).cast("int") == t) & (F.col(prediction).cast("int") == p)).alias("rows"),
-        )
-        for t in classes
-        for p in classes
-    ]
-    rows = scored_rows(predictions, label, prediction)
-    return rows.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    counts = class_counts(predictions, label, prediction)
+    laid = counts.agg(F.collect_list(F.struct("label", "prediction", "rows")).alias("cells"))
+    seen = F.array_union(F.transform("cells", lambda c: c["label"]), F.transform("cells", lambda c: c["prediction"]))
+    listed = F.array(*[F.lit(int(c)) for c in classes]).cast("array<int>")
+    laid = laid.withColumn("classes", F.array_union(listed, seen))
+    grid = laid.select("cells", "classes", F.explode("classes").alias("label")).select(
+        "cells", "label", F.explode("classes").alias("prediction")
+    )
+    mine = F.filter("cells", lambda c: (c["label"] == F.col("label")) & (c["prediction"] == F.col("prediction")))
+    return grid.select("label", "prediction", F.coalesce(F.get(mine, F.lit(0))["rows"], F.lit(0).cast("long")).alias("rows"))
 
 
 def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from fractions import Fraction
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforecast.operators.metrics import weighted_log_loss
 from panelforecast.sources.stages import prepare_checkpoints, stage
+from panelforecast.sources.tables import in_fixed_order
 
 # Settings of the four models.
 RIDGE_ALPHA = 3.0
@@ -26,6 +29,13 @@ CLASS_WEIGHTS = [1.0, 1.0, 2.0, 2.0, 2.0]
 HIDDEN_UNITS = 64
 CLASSES = 5
 
+# Rows are never repeated more often than this.
+MOST_REPEATS = 100
+# Iterations after which the network is scored.
+LOSS_STEPS = (25, 50, 100)
+# Tasks of a tree fit. Rows are sampled task by task, so it must not follow the cluster or the data.
+TREE_PARTS = 32
+
 # Stands in for a missing value in a tree's feature vector; below any covariate.
 MISSING = -1.0e9
 
@@ -69,10 +79,30 @@ def fit_ridge(
     return solver.fit(rows)
 
 
-def linear_prediction(model: LinearRegressionModel, features: Sequence[str]) -> Column:
+@dataclass
+class MeanModel:
+    """The fit without a usable feature: the mean label, null without a labelled row."""
+
+    intercept: float | None
+    rows: int
+    coefficients: tuple = ()
+
+
+def fit_mean(train: DataFrame, label: str = "ipc") -> MeanModel:
+    return MeanModel(*train.agg(F.avg(label), F.count(label)).first())
+
+
+def fit_quality(model: LinearRegressionModel | MeanModel) -> tuple[float | None, int]:
+    """(R2, rows) of the training data."""
+    if isinstance(model, MeanModel):
+        return (0.0 if model.rows else None), model.rows
+    return float(model.summary.r2), int(model.summary.numInstances)
+
+
+def linear_prediction(model: LinearRegressionModel | MeanModel, features: Sequence[str]) -> Column:
     """The fitted line as a plain expression: a missing feature gives a missing prediction."""
     terms = (F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, features))
-    total = F.lit(float(model.intercept))
+    total = F.lit(model.intercept).cast("double")
     for term in terms:
         total = total + term
     return total
@@ -167,9 +197,14 @@ def tree_pipeline(features: Sequence[str], label: str = "ipc", seed: int = 69, *
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), trees])
 
 
-def fit_trees(train: DataFrame, features: Sequence[str], label: str = "ipc", **settings) -> tuple[PipelineModel, list[str]]:
+def fit_trees(
+    train: DataFrame, features: Sequence[str], label: str = "ipc", parts: int = TREE_PARTS, **settings
+) -> tuple[PipelineModel, list[str]]:
+    """Boosted trees, the same for the same rows and seed: rows are dealt by a hash of their
+    values to ``parts`` tasks and sorted there, whatever order and partitions they come in."""
     prepare_checkpoints(train.sparkSession)
-    rows, columns = with_missing_flags(train.where(F.col(label).isNotNull()).select(*features, label), features)
+    rows = in_fixed_order(train.where(F.col(label).isNotNull()).select(*features, label), parts)
+    rows, columns = with_missing_flags(rows, features)
     return tree_pipeline(columns, label, **settings).fit(rows), columns
 
 
@@ -188,21 +223,51 @@ def standard_scale(df: DataFrame, scale: Mapping[str, tuple[float, float]]) -> D
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scale.items()})
 
 
+def whole_repeats(weights: Sequence[float], most: int = MOST_REPEATS) -> list[int]:
+    """The smallest whole numbers in the proportions of ``weights``.
+
+    Raises ``ValueError`` for negative weights, for none above zero, and where the
+    proportions need a number beyond ``most``.
+    """
+    parts = [Fraction(float(w)).limit_denominator(1000) for w in weights]
+    exact = all(abs(float(p) - float(w)) < 1e-9 for p, w in zip(parts, weights))
+    if not exact or min(parts, default=0) < 0 or not any(parts):
+        raise ValueError(f"class weights {list(weights)} are no proportions of whole numbers")
+    common = math.lcm(*[p.denominator for p in parts])
+    whole = [int(p * common) for p in parts]
+    whole = [w // math.gcd(*whole) for w in whole]
+    if max(whole) > most:
+        raise ValueError(f"class weights {list(weights)} would repeat rows more than {most} times")
+    return whole
+
+
 def repeat_by_class_weight(df: DataFrame, label: str, weights: Sequence[float] = CLASS_WEIGHTS) -> DataFrame:
-    """Repeat rows as often as their class weighs: the same loss for a learner without weights."""
-    times = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), F.col(label).cast("int") + 1)
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
+    """Repeat rows in the proportions of their class weights: the same loss for a learner
+    without weights. A class of weight zero is left out."""
+    times = F.element_at(F.array(*[F.lit(w) for w in whole_repeats(weights)]), F.col(label).cast("int") + 1)
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).drop("_copy")
 
 
 def fit_network(
-    train: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 200, seed: int = 69
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "label",
+    max_iter: int = 200,
+    seed: int = 69,
+    weights: Sequence[float] = CLASS_WEIGHTS,
+    start: PipelineModel | None = None,
 ) -> PipelineModel:
-    """One hidden layer of 64 units on scaled features, class weights by repetition."""
+    """One hidden layer of 64 units on scaled features, class weights by repetition.
+
+    ``start`` is a fitted network to go on from.
+    """
     network = MultilayerPerceptronClassifier(
         labelCol=label, layers=[len(features), HIDDEN_UNITS, CLASSES], maxIter=max_iter, seed=seed, blockSize=64
     )
+    if start is not None:
+        network = network.setInitialWeights(start.stages[-1].weights)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assemble, network]).fit(repeat_by_class_weight(train, label))
+    return Pipeline(stages=[assemble, network]).fit(repeat_by_class_weight(train, label, weights))
 
 
 def predict_classes(model: PipelineModel, df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -235,27 +300,29 @@ def select_by_holdout_loss(
     holdout: DataFrame,
     features: Sequence[str],
     label: str = "label",
-    iterations: Sequence[int] = (25, 50, 100),
+    iterations: Sequence[int] = LOSS_STEPS,
     seeds: Sequence[int] = (69,),
     weights: Sequence[float] = CLASS_WEIGHTS,
 ) -> Selection:
-    """Fit every candidate, score both parts, keep the lowest held-out loss.
+    """Fit on, score both parts after each of ``iterations``, keep the lowest held-out loss.
 
-    The candidates are a handful of settings named by the caller; each fit and each
-    score is a distributed job over the cached rows.
+    A seed's network is fitted once: every step goes on from the weights of the one
+    before, so the loss curve costs no more than its last point. ``losses`` has one row
+    per seed and step; of equal losses the earliest is kept.
     """
-    spark = train.sparkSession
-
-    def candidate(setting: tuple[int, int]) -> tuple[PipelineModel, tuple]:
-        model = fit_network(train, features, label, *setting)
-        loss = weighted_log_loss(F.col("label"), F.col("probability"), weights)
-        scores = [predict_classes(model, part, [], label).agg(loss).first()[0] for part in (train, holdout)]
-        return model, (*setting, *scores)
-
-    settings = [(max_iter, seed) for max_iter in iterations for seed in seeds]
-    fitted = fit_side_by_side(spark, candidate, settings)
-    model, best = min(fitted, key=lambda entry: entry[1][3])
-    losses = spark.createDataFrame(
-        [row for _, row in fitted], "max_iter int, seed int, train_loss double, test_loss double"
+    loss = weighted_log_loss(F.col("label"), F.col("probability"), weights)
+
+    def curve(seed: int) -> list[tuple[PipelineModel, tuple]]:
+        points, model, done = [], None, 0
+        for step in sorted(set(iterations)):
+            model, done = fit_network(train, features, label, step - done, seed, weights, model), step
+            scores = [predict_classes(model, part, [], label).agg(loss).first()[0] for part in (train, holdout)]
+            points.append((model, (step, seed, *scores)))
+        return points
+
+    points = [p for curves in fit_side_by_side(train.sparkSession, curve, list(seeds)) for p in curves]
+    model, best = min(points, key=lambda p: math.inf if p[1][3] is None else p[1][3])
+    losses = train.sparkSession.createDataFrame(
+        [row for _, row in points], "max_iter int, seed int, train_loss double, test_loss double"
     )
     return Selection(model, losses, {"max_iter": best[0], "seed": best[1]})

@@ -69,10 +69,10 @@ def _windowed(entity: str) -> Window:
     return Window.partitionBy(entity).orderBy("_pos")
 
 
-def _once_per_date(w, value: Column) -> Column:
+def _once_per_date(w, value: Column, kind: str = "double") -> Column:
     """The value, or an error if an entity has two rows for one date."""
     copies = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
-    clash = F.raise_error(F.lit("duplicate (date, entity) key in the panel")).cast("double")
+    clash = F.raise_error(F.lit("duplicate (date, entity) key in the panel")).cast(kind)
     return F.when(copies > 1, clash).otherwise(value)
 
 
@@ -166,6 +166,7 @@ def densify(panel: DataFrame, date: str = "date", entity: str = "district") -> D
 
     Each row is followed by the filler rows up to the entity's next row (and the first
     one preceded by those before it): one shuffle by entity, no date x entity product.
+    Two rows of an entity for one date are an error.
     """
     axis = time_axis(panel, date).select(date, "_pos")
     last = axis.agg(F.max("_pos")).scalar()
@@ -174,7 +175,7 @@ def densify(panel: DataFrame, date: str = "date", entity: str = "district") -> D
     placed = panel.join(F.broadcast(axis), date).withColumns(
         {
             "_from": F.when(F.row_number().over(w) == 1, F.lit(1)).otherwise(F.col("_pos")),
-            "_to": F.coalesce(F.lead("_pos").over(w) - 1, last),
+            "_to": _once_per_date(w, F.coalesce(F.lead("_pos").over(w) - 1, last), "int"),
         }
     )
     grid = placed.withColumn("_slot", F.explode(F.sequence("_from", "_to")))

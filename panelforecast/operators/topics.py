@@ -10,13 +10,13 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforecast.functions.columns import TOKEN_PATTERN, tokens
 from panelforecast.operators.joins import lookup_join
 from panelforecast.sources.stages import stage
-from panelforecast.sources.tables import fill_cores
+from panelforecast.sources.tables import fill_cores, in_fixed_order
 
 # Tags and the keywords whose topics they stand for.
 BASE_TAG_KEYWORDS = {
@@ -47,11 +47,18 @@ EXTRA_TAGS = [
 ALL_TAG_KEYWORDS = {**BASE_TAG_KEYWORDS, **{t: [t] for t in EXTRA_TAGS}}
 
 
+# Tasks of a clustering. Centres are drawn task by task, so it must not follow the cluster or the data.
+TOPIC_PARTS = 32
+
+
 def fit_topics(
-    corpus: DataFrame, text: str = "text", k: int = 50, features: int = 1 << 14, seed: int = 69
+    corpus: DataFrame, text: str = "text", k: int = 50, features: int = 1 << 14, seed: int = 69, parts: int = TOPIC_PARTS
 ) -> PipelineModel:
     """Topic model: hashed TF-IDF of the whole text, KMeans on unit vectors.
 
+    The same texts and seed give the same topics: texts are dealt by a hash to ``parts``
+    tasks and sorted there, on any cluster and at any size.
+
     Distances between unit vectors order like cosines, and a text without words is a
     legal zero vector. Hashing keeps the vocabulary off the driver; the model's size is k x features.
     """
@@ -63,7 +70,7 @@ def fit_topics(
         ]
     )
     # texts are tokenized once for the two fits
-    counts = words.transform(fill_cores(corpus.select(text).na.fill("", [text]), ordered=True)).select("_tf")
+    counts = words.transform(in_fixed_order(corpus.select(text).na.fill("", [text]), parts)).select("_tf")
     counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     shape = Pipeline(
         stages=[
@@ -83,20 +90,30 @@ def assign_topics(
     helpers = [s.getOutputCol() for s in model.stages if s.hasParam("outputCol")]
     scored = model.transform(fill_cores(corpus).na.fill("", [text]))
     if outlier_distance is not None:
-        scored = scored.withColumn("topic", _outlier_or_topic(model.stages[-1], "_unit", outlier_distance))
+        scored = _with_outliers(scored, model.stages[-1], "_unit", outlier_distance)
     return scored.drop(*helpers)
 
 
-def _outlier_or_topic(kmeans, features: str, outlier_distance: float) -> Column:
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in kmeans.clusterCenters()])
-    mine = F.get(centres, F.col("topic"))
-    near = cosine(vector_to_array(F.col(features)), mine)
-    return F.when(1 - near > outlier_distance, F.lit(-1)).otherwise(F.col("topic"))
+def _with_outliers(scored: DataFrame, kmeans, features: str, outlier_distance: float) -> DataFrame:
+    """Topic -1 where the cosine distance to the topic's centre is too large.
+
+    Centres are a table of one row per topic that is looked up by topic; the product
+    runs over the words a text has. A text without words keeps its topic.
+    """
+    rows = [(i, float((c @ c) ** 0.5), [float(x) for x in c]) for i, c in enumerate(kmeans.clusterCenters())]
+    centres = scored.sparkSession.createDataFrame(rows, "topic int, _norm double, _centre array<double>")
+    joined = lookup_join(scored, centres, "topic", "left", spread_by=features)
+    unit = F.unwrap_udt(F.col(features))
+    terms = F.zip_with(unit["indices"], unit["values"], lambda i, x: x * F.get("_centre", i))
+    near = F.try_divide(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.col("_norm"))
+    far = (F.size(unit["indices"]) > 0) & (1 - near > outlier_distance)
+    return joined.withColumn("topic", F.when(far, F.lit(-1)).otherwise(F.col("topic"))).drop("_norm", "_centre")
 
 
 def fit_vector_topics(vectors: DataFrame, vector: str = "embedding", k: int = 10, seed: int = 69):
     """KMeans over given document vectors, for corpora that come with embeddings."""
-    rows = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_unit"))
+    rows = in_fixed_order(vectors.select(F.col(vector).cast("array<double>").alias("_unit")), TOPIC_PARTS)
+    rows = rows.select(array_to_vector("_unit").alias("_unit"))
     return KMeans(featuresCol="_unit", predictionCol="topic", k=k, seed=seed).fit(rows)
 
 

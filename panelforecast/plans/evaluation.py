@@ -18,6 +18,11 @@ from panelforecast.sources.stages import stage
 KEYS = ["date", "district"]
 
 
+# The classes of the label, and of the network, which counts from 0.
+CLASSES = (1, 2, 3, 4, 5)
+NETWORK_CLASSES = (0, 1, 2, 3, 4)
+
+
 @dataclass
 class Evaluation:
     """Fold metrics, their means, all predictions, and the fitted models (last = final)."""
@@ -27,6 +32,7 @@ class Evaluation:
     models: list[Any] = field(default_factory=list)
     features: list[list[str]] = field(default_factory=list)
     losses: DataFrame | None = None
+    classes: Sequence[int] = CLASSES
 
     @property
     def final_model(self) -> Any:
@@ -36,9 +42,10 @@ class Evaluation:
         names = [c for c in ("mae", "r2", "accuracy", "weighted_f1") if c in self.metrics.columns]
         return mt.mean_over_folds(self.metrics, names)
 
-    def confusion(self, classes: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+    def confusion(self, classes: Sequence[int] | None = None) -> DataFrame:
+        """Counts of every scored row over the model's classes and all others that occur."""
         rounded = self.predictions.withColumn("prediction", F.rint("prediction"))
-        return mt.confusion_matrix(rounded, classes)
+        return mt.confusion_matrix(rounded, self.classes if classes is None else classes)
 
 
 def model_eval(
@@ -58,7 +65,7 @@ def model_eval(
 
 
 def folded(data: DataFrame, features: Sequence[str], label: str, splits: int) -> tuple[DataFrame, dict[int, list[str]]]:
-    """Staged (row, fold, role) table and the usable features of each fold.
+    """Staged (row, fold, role) table and the usable features of each fold, none for some folds perhaps.
 
     All folds share one pass. What comes back to the driver is one flag per fold and
     feature.
@@ -68,8 +75,8 @@ def folded(data: DataFrame, features: Sequence[str], label: str, splits: int) ->
     live = column_coverage(folds, features).where("values > 0 and varies").groupBy("fold").agg(
         F.collect_list("column").alias("columns")
     )
-    chosen = {r["fold"]: [c for c in features if c in set(r["columns"])] for r in live.collect()}
-    return folds, chosen
+    found = {r["fold"]: set(r["columns"]) for r in live.collect()}
+    return folds, {f: [c for c in features if c in found.get(f, ())] for f in range(splits)}
 
 
 def _linear(data, features, label, splits, fit, rounded_mae) -> Evaluation:
@@ -77,36 +84,62 @@ def _linear(data, features, label, splits, fit, rounded_mae) -> Evaluation:
     train = folds.where("role = 'train'")
     train = stage(interpolate_linear(train, [*features, label], ["fold", "district"]), "interpolated", "fold")
     numbers = sorted(chosen)
-    models = ml.fit_side_by_side(
-        data.sparkSession, lambda f: fit(train.where(F.col("fold") == f), chosen[f], label), numbers
-    )
+
+    def fitted(fold: int):
+        rows, columns = train.where(F.col("fold") == fold), chosen[fold]
+        if not columns or rows.select(*columns, label).dropna().isEmpty():
+            return ml.fit_mean(rows, label)
+        return fit(rows, columns, label)
+
+    models = ml.fit_side_by_side(data.sparkSession, fitted, numbers)
+    used = [chosen[f] if m.coefficients else [] for f, m in zip(numbers, models)]
     scores, parts = [], []
-    for fold, model in zip(numbers, models):
-        scores.append((fold, float(model.summary.r2), int(model.summary.numInstances)))
+    for fold, model, columns in zip(numbers, models, used):
+        scores.append((fold, *ml.fit_quality(model)))
         test = folds.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        guess = ml.linear_prediction(model, chosen[fold])
+        guess = ml.linear_prediction(model, columns)
         parts.append(test.select("fold", *KEYS, F.col(label).alias("label"), guess.alias("prediction")))
     predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
     fits = data.sparkSession.createDataFrame(scores, "fold int, r2 double, n_train long")
-    metrics = mt.fold_metrics(predictions, rounded_mae=rounded_mae).join(F.broadcast(fits), "fold")
-    return Evaluation(metrics, predictions, models, [chosen[f] for f in numbers])
+    return Evaluation(_of_all_folds(fits, mt.fold_metrics(predictions, rounded_mae=rounded_mae)), predictions, models, used)
+
+
+def _of_all_folds(folds: DataFrame, metrics: DataFrame) -> DataFrame:
+    """A row for every fold, also for one without a labelled test row."""
+    joined = F.broadcast(folds).join(metrics, "fold", "left")
+    return joined.select(*metrics.columns, *[c for c in folds.columns if c != "fold"]).fillna(0, ["n_scored", "n_unscored"])
 
 
 def _trees(data, features, label, splits, settings) -> Evaluation:
-    folds, chosen = folded(data, features, label, splits)
-    numbers = sorted(chosen)
-    train = folds.where("role = 'train'")
-    models = ml.fit_side_by_side(
-        data.sparkSession,
-        lambda f: ml.fit_trees(train.where(F.col("fold") == f), chosen[f], label, **settings)[0],
-        numbers,
-    )
+    """Training rows are a prefix of the time order and test rows a block of it, so the folds
+    are ranges of one positioned table and no row is copied. Columns without a training
+    value are left out; one that is constant stays, as its gaps may tell something."""
+    rows = stage(row_position(data.select(*KEYS, *features, label), KEYS), "positions")
+    size = rows.count()
+    block = size // (splits + 1)
+    starts = [size - (splits - f) * block for f in range(splits)]
+    before = [F.struct(*[F.count(F.when(F.col("position") < s, F.col(c))).alias(c) for c in features]).alias(f"f{f}") for f, s in enumerate(starts)]
+    known = rows.agg(*before, F.array(*[F.count(F.when(F.col("position") < s, F.col(label))) for s in starts]).alias("labels")).first()
+    chosen = {f: [c for c in features if known[f"f{f}"][c]] for f in range(splits)}
+
+    def fitted(f: int):
+        train = rows.where(F.col("position") < starts[f])
+        if not chosen[f] or not known["labels"][f]:
+            return ml.fit_mean(train, label)
+        return ml.fit_trees(train, chosen[f], label, **settings)[0]
+
+    models = ml.fit_side_by_side(data.sparkSession, fitted, range(splits))
     parts = []
-    for fold, model in zip(numbers, models):
-        test = folds.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        parts.append(ml.predict_trees(model, test, chosen[fold], ["fold", *KEYS], label))
+    for f, model in enumerate(models):
+        test = rows.where(F.col("position").between(starts[f], starts[f] + block - 1)).withColumn("fold", F.lit(f))
+        if isinstance(model, ml.MeanModel):
+            guess = ml.linear_prediction(model, []).alias("prediction")
+            parts.append(test.select("fold", *KEYS, F.col(label).alias("label"), guess))
+        else:
+            parts.append(ml.predict_trees(model, test, chosen[f], ["fold", *KEYS], label))
     predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
-    return Evaluation(mt.fold_metrics(predictions), predictions, models, [chosen[f] for f in numbers])
+    folds = data.sparkSession.createDataFrame([(f,) for f in range(splits)], "fold int")
+    return Evaluation(_of_all_folds(folds, mt.fold_metrics(predictions)), predictions, models, [chosen[f] for f in range(splits)])
 
 
 def network_parts(data: DataFrame, features: Sequence[str], label: str, test_size=0.2, seed=69) -> DataFrame:
@@ -123,4 +156,4 @@ def _network(data, features, label, settings) -> Evaluation:
     choice = ml.select_by_holdout_loss(train, test, features, **settings)
     predictions = stage(ml.predict_classes(choice.model, test, KEYS), "predictions")
     metrics = mt.fold_metrics(predictions.withColumn("fold", F.lit(0)))
-    return Evaluation(metrics, predictions, [choice.model], [list(features)], choice.losses)
+    return Evaluation(metrics, predictions, [choice.model], [list(features)], choice.losses, NETWORK_CLASSES)

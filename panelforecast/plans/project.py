@@ -7,11 +7,13 @@
 Inputs are ``food_crises_cleaned.csv`` and ``articles_summary_cleaned.csv`` (or
 folders of that name without ``.csv`` holding Parquet, which is what to use at
 scale). Every stage is a Parquet table under the stage folder, built on first use
-and then reused; ``force=True`` rebuilds.
+and then reused as long as the settings it depends on stay the same; these are
+written beside it. ``force=True`` rebuilds.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -25,6 +27,7 @@ from panelforecast.operators.tags import attach_tags, repeat_copies
 from panelforecast.plans import datasets as ds, reports
 from panelforecast.sources import stages, tables
 
+# Names of the input files.
 PANEL_FILE = "food_crises_cleaned"
 CORPUS_FILE = "articles_summary_cleaned"
 
@@ -39,17 +42,31 @@ class Project:
         top_n: int = 10,
         fanout: bool = True,
         force: bool = False,
+        tags: Mapping[str, Sequence[str]] = tp.ALL_TAG_KEYWORDS,
     ):
         self.spark = spark
         self.data_dir = data_dir.rstrip("/")
         self.stage_dir = (stage_dir or f"{self.data_dir}/stages").rstrip("/")
         self.topics, self.top_n, self.fanout, self.force = topics, top_n, fanout, force
+        self.tags = {tag: list(keywords) for tag, keywords in tags.items()}
         self._built: set[str] = set()
 
+    def _settings(self, name: str) -> dict:
+        """What a stage and the stages before it depend on; nothing for the inputs."""
+        if name in ("panel", "corpus"):
+            return {}
+        settings: dict = {"topics": self.topics}
+        if name not in ("topic-model", "topics"):
+            settings |= {"top_n": self.top_n, "tags": self.tags}
+        if name not in ("topic-model", "topics", "tagged"):
+            settings["fanout"] = self.fanout
+        return settings
+
     def _stage(self, name: str, build) -> DataFrame:
         force = self.force and name not in self._built
         self._built.add(name)
-        return stages.materialize(self.spark, f"{self.stage_dir}/{name}", build, force)
+        settings = json.dumps(self._settings(name), sort_keys=True)
+        return stages.materialize(self.spark, f"{self.stage_dir}/{name}", build, force, settings)
 
     def _has_parquet(self, name: str) -> bool:
         return stages.is_complete(self.spark, f"{self.data_dir}/{name}")
@@ -92,9 +109,12 @@ class Project:
         return self._stage("corpus", build)
 
     def topic_model(self) -> PipelineModel:
-        path = f"{self.stage_dir}/topic-model"
-        if self.force and "topic-model" not in self._built or not stages.is_complete(self.spark, f"{path}/metadata"):
+        path, settings = f"{self.stage_dir}/topic-model", json.dumps(self._settings("topic-model"), sort_keys=True)
+        forced = self.force and "topic-model" not in self._built
+        complete = stages.is_complete(self.spark, f"{path}/metadata")
+        if forced or not complete or stages.read_settings(self.spark, path) != settings:
             tables.save_model(tp.fit_topics(self.corpus(), k=self.topics), path)
+            stages.write_settings(self.spark, path, settings)
         self._built.add("topic-model")
         return tables.load_model(path)
 
@@ -103,12 +123,12 @@ class Project:
         build = lambda: tp.assign_topics(self.topic_model(), self.corpus()).select("doc_id", "topic")
         return self._stage("topics", build)
 
-    def tagged(self, tag_keywords: Mapping[str, Sequence[str]] = tp.ALL_TAG_KEYWORDS) -> DataFrame:
-        """All base and extra tags per article in one pass for both datasets; a digest stands for the text."""
+    def tagged(self) -> DataFrame:
+        """The project's tags per article, in one pass for both datasets; a digest stands for the text."""
 
         def build() -> DataFrame:
             corpus = self.corpus().join(self.topic_table(), "doc_id")
-            tagged = ds.tag_corpus(corpus, tag_keywords, self.top_n)
+            tagged = ds.tag_corpus(corpus, self.tags, self.top_n)
             return tagged.withColumn("text_key", text_key(F.col("text"))).drop("text", "topic")
 
         return self._stage("tagged", build)
@@ -119,7 +139,7 @@ class Project:
         def build() -> DataFrame:
             if not self.fanout:
                 return self.tagged().drop("text_key").withColumn("copies", F.lit(1).cast("long"))
-            rows = attach_tags(self.tagged(), self.tagged(), list(tp.ALL_TAG_KEYWORDS), text_key_column="text_key")
+            rows = attach_tags(self.tagged(), self.tagged(), list(self.tags), text_key_column="text_key")
             return rows.drop("text_key")
 
         return self._stage("articles", build)

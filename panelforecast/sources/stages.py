@@ -83,14 +83,44 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(marker)
 
 
+def _settings_path(path: str) -> str:
+    return f"{path}/_settings.json"
+
+
+def read_settings(spark: SparkSession, path: str) -> str | None:
+    """The settings that were written beside a table, None where there are none."""
+    fs, at = _filesystem(spark, _settings_path(path))
+    if not fs.exists(at):
+        return None
+    source = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def write_settings(spark: SparkSession, path: str, settings: str) -> None:
+    """Write them last: a table without them is not complete for a caller who asks for some."""
+    fs, at = _filesystem(spark, _settings_path(path))
+    target = fs.create(at, True)
+    try:
+        target.write(bytearray(settings, "utf-8"))
+    finally:
+        target.close()
+
+
 def materialize(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False, settings: str | None = None
 ) -> DataFrame:
     """Read the table at ``path``; build and write it first if it is not complete.
 
     ``force`` rebuilds. A run that died half way left no success marker, so its
-    output is overwritten rather than trusted.
+    output is overwritten rather than trusted. With ``settings`` a table that was
+    built with others is rebuilt as well.
     """
-    if force or not is_complete(spark, path):
+    stale = settings is not None and read_settings(spark, path) != settings
+    if force or stale or not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
+        if settings is not None:
+            write_settings(spark, path, settings)
     return spark.read.parquet(path)

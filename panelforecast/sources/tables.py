@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, DoubleType, FloatType, StructField, StringType, StructType
 
 from panelforecast.functions.columns import clean_numeric, parse_month_key
@@ -21,6 +21,12 @@ PANEL_COVARIATES = [
     "rain_anom",
 ]
 
+# Words of a delimited file that stand for a missing value.
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 PANEL_SCHEMA = StructType(
     [StructField("year_month", StringType()), StructField("district", StringType()), StructField("ipc", DoubleType())]
     + [StructField(c, DoubleType()) for c in PANEL_COVARIATES]
@@ -43,7 +49,8 @@ def read_delimited(
     """Delimited text with a header row and an explicit schema; dates are ``yyyy-MM-dd``.
 
     Columns are taken by header name, so files may hold more of them or in another
-    order. An empty field, quoted or not, is missing. ``multi_line`` admits line breaks inside quoted text but makes each file
+    order. A field that is empty, quoted or not, or one of ``MISSING_WORDS`` is missing;
+    any other that does not fit its type is an error. ``multi_line`` admits line breaks inside quoted text but makes each file
     one task; keep it for article text and convert such files to Parquet once.
     """
     raw = (
@@ -52,7 +59,11 @@ def read_delimited(
         .option("multiLine", multi_line)
         .csv(path, inferSchema=False)
     )
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+    def typed(f: StructField) -> Column:
+        return F.when(~F.col(f.name).isin(MISSING_WORDS), F.col(f.name)).cast(f.dataType).alias(f.name)
+
+    return raw.select(*[typed(f) for f in schema])
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -64,20 +75,29 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return clean_numeric(df, floating) if floating else df
 
 
-def fill_cores(df: DataFrame, ordered: bool = False, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
-    """Spread a small input over all cores before costly work on its rows.
+def in_fixed_order(df: DataFrame, parts: int) -> DataFrame:
+    """Deal rows to ``parts`` tasks by a hash of their values, and sort them by it there.
+
+    What is drawn row by row from a seed is then the same for the same rows, whatever
+    cluster, cores or files they come from. ``parts`` must not follow any of these.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.withColumn("_order", key).repartition(parts, "_order").sortWithinPartitions("_order")
+    return keyed.drop("_order")
+
+
+def fill_cores(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over all cores before costly work on single rows.
 
     A small table often comes as one file with one row group, hence one task. The size
     is Catalyst's own estimate; an input beyond the bound has enough splits and is
-    left where it is. With ``ordered`` the rows are sorted after the move: the order in
-    which they arrive varies from run to run, and what seeds draw from it must not.
+    left where it is. Only for work whose result does not depend on the partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if size >= cores * bytes_per_core:
         return df
-    spread = df.repartition(cores)
-    return spread.sortWithinPartitions(*df.columns) if ordered else spread
+    return df.repartition(cores)
 
 
 def as_panel(df: DataFrame, key: str = "year_month") -> DataFrame:

@@ -185,6 +185,7 @@ def test_linear_evaluation(spark, signal, model_type):
     means = result.means().first()
     assert means.mean_accuracy > majority(data) and means.mean_r2 > 0.5
     assert result.confusion().agg(F.sum("rows")).first()[0] == sum(r.n_scored for r in rows)
+    assert [r.fold for r in sorted(rows, key=lambda r: r.fold)] == [0, 1, 2, 3, 4]
 
 
 def test_tree_evaluation(spark, signal):
@@ -212,6 +213,70 @@ def test_network_evaluation(spark, signal):
     assert 0.2 <= best[0] <= best[1] <= 1.0
 
 
+def test_confusion_counts_every_scored_row(spark):
+    rows = [(1.0, 1.0), (2.0, 0.0), (5.0, 6.0), (3.0, -1.0), (7.0, 1.0), (None, 2.0), (2.0, None)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    cells = {(r.label, r.prediction): r["rows"] for r in mt.confusion_matrix(df, (1, 2, 3, 4, 5)).collect()}
+    assert sum(cells.values()) == 5 and cells[(2, 0)] == cells[(5, 6)] == cells[(3, -1)] == cells[(7, 1)] == 1
+    assert len(cells) == 9 * 9 and cells[(4, 4)] == 0
+    assert mt.confusion_matrix(df.limit(0), (0, 1)).count() == 4
+
+
+def test_network_confusion_counts_from_zero(spark):
+    rows = [(0, 0), (0, 1), (4, 4), (2, 2)]
+    result = ev.Evaluation(None, spark.createDataFrame(rows, "label int, prediction int"), classes=ev.NETWORK_CLASSES)
+    cells = {(r.label, r.prediction): r["rows"] for r in result.confusion().collect()}
+    assert len(cells) == 25 and sum(cells.values()) == 4 and cells[(0, 0)] == cells[(0, 1)] == 1
+
+
+def test_no_fold_is_lost(spark, signal):
+    data, _ = signal
+    late = data.withColumn("only_late", F.when(F.col("date") >= "2013-01-01", F.col("now"))).select("date", "district", "only_late", "ipc")
+    late = late.withColumn("ipc", F.when(F.col("date") >= "2011-06-01", F.col("ipc")))
+    for kind, settings in (("OLS", {}), ("Ridge", {}), ("XGboost", {"maxIter": 2})):
+        result = ev.model_eval(late, ["only_late"], kind, **settings)
+        folds = {r.fold: r for r in result.metrics.collect()}
+        assert sorted(folds) == [0, 1, 2, 3, 4] and len(result.models) == 5
+        assert folds[0].n_scored == 0 and folds[0].n_unscored > 0
+        assert all(folds[f].n_scored > 0 for f in (2, 3, 4))
+        assert result.predictions.groupBy("fold").count().count() == 5
+
+
+def test_class_weights_are_kept_in_proportion(spark):
+    assert ml.whole_repeats([1.0, 1.0, 2.0, 2.0, 2.0]) == [1, 1, 2, 2, 2]
+    assert ml.whole_repeats([0.5, 1.5, 2.5]) == [1, 3, 5] and ml.whole_repeats([2, 4, 0]) == [1, 2, 0]
+    for bad in ([-1, 1], [0, 0], [1, 3.14159265], [1, 1000]):
+        with pytest.raises(ValueError):
+            ml.whole_repeats(bad)
+    df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "label int, x string")
+    got = {r.x: r["count"] for r in ml.repeat_by_class_weight(df, "label", [0.5, 0, 2.5]).groupBy("x").count().collect()}
+    assert got == {"a": 1, "c": 5}
+
+
+def test_trees_do_not_depend_on_the_partitions(spark, signal):
+    data, features = signal
+    rows = data.dropna(subset=["ipc"])
+    fits = [ml.fit_trees(rows.repartition(n), features, maxIter=5)[0] for n in (1, 2, 6)]
+    out = [ml.predict_trees(m, rows, features, ["date", "district"]).orderBy("date", "district").toPandas() for m in fits]
+    for other in out[1:]:
+        np.testing.assert_allclose(other["prediction"], out[0]["prediction"], atol=1e-9)
+
+
+def test_loss_curve_goes_on_from_step_to_step(spark, signal):
+    data, features = signal
+    rows = stage(ev.network_parts(data, features, "ipc"), "curve-rows")
+    train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
+    choice = ml.select_by_holdout_loss(train, test, features, iterations=(2, 5, 10, 30))
+    curve = choice.losses.orderBy("max_iter").collect()
+    assert [r.max_iter for r in curve] == [2, 5, 10, 30]
+    losses = [r.train_loss for r in curve]
+    assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:])) and losses[-1] < losses[0]
+    best = min(curve, key=lambda r: r.test_loss)
+    assert choice.best["max_iter"] == best.max_iter
+    loss = mt.weighted_log_loss(F.col("label"), F.col("probability"), ml.CLASS_WEIGHTS)
+    assert ml.predict_classes(choice.model, test, []).agg(loss).first()[0] == pytest.approx(best.test_loss)
+
+
 def test_unknown_model(signal):
     with pytest.raises(ValueError):
         ev.model_eval(*signal, "SVM")

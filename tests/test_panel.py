@@ -165,3 +165,10 @@ def test_column_coverage(spark):
     got = {r.column: (r["values"], r.varies) for r in fo.column_coverage(folds, ["a", "b", "c"]).collect()}
     assert got == {"a": (2, True), "b": (0, False), "c": (2, False)}
     assert {r.column for r in fo.live_columns_per_fold(folds, ["a", "b", "c"]).collect()} == {"a", "c"}
+
+
+def test_densify_refuses_duplicate_keys(spark):
+    rows = [("2001-01-01", "a", 1.0), ("2001-01-01", "a", 2.0), ("2001-02-01", "b", 1.0)]
+    df = spark.createDataFrame(rows, "date string, district string, x double").withColumn("date", F.to_date("date"))
+    with pytest.raises(Exception, match="duplicate"):
+        pa.densify(df).collect()

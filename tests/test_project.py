@@ -99,6 +99,31 @@ def test_dataset_equals_pandas(project, folder, features):
     assert got[ds.STANDARD_TAGS].to_numpy().any()
 
 
+def test_changed_settings_rebuild_what_depends_on_them(spark, folder, tmp_path):
+    tags = {"hunger": ["hunger"], "rain": ["rain", "school"]}
+    first = Project(spark, str(folder), str(tmp_path), topics=3, top_n=2)
+    assert len(first.topic_model().stages[-1].clusterCenters()) == 3 and "Media" in first.tagged().columns
+
+    def stamps():
+        return {p.name: (p / "_settings.json").stat().st_mtime_ns for p in tmp_path.iterdir() if (p / "_settings.json").exists()}
+
+    before = stamps()
+    same = Project(spark, str(folder), str(tmp_path), topics=3, top_n=2)
+    same.tagged()
+    assert stamps() == before
+    other = Project(spark, str(folder), str(tmp_path), topics=3, top_n=2, tags=tags)
+    assert {"hunger", "rain"} <= set(other.tagged().columns) and "Media" not in other.tagged().columns
+    after = stamps()
+    assert after["tagged"] != before["tagged"] and all(after[n] == before[n] for n in ("corpus", "topic-model", "topics"))
+    more = Project(spark, str(folder), str(tmp_path), topics=5, top_n=2, tags=tags)
+    assert more.topic_table().agg({"topic": "max"}).first()[0] < 5
+    assert len(more.topic_model().stages[-1].clusterCenters()) == 5
+    last = stamps()
+    assert last["corpus"] == before["corpus"] and last["topics"] != after["topics"]
+    copies = [Project(spark, str(folder), str(tmp_path), topics=5, top_n=2, tags=tags, fanout=f).articles().agg({"copies": "max"}).first()[0] for f in (True, False)]
+    assert copies[1] == 1
+
+
 def test_stages_are_reused_and_rebuilt(spark, project, folder):
     before = project.corpus().count()
     again = Project(spark, str(folder), topics=12, top_n=3)

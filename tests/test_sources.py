@@ -107,3 +107,14 @@ def test_local_warehouse_is_refused_on_a_cluster(spark, tmp_path):
     assert shared_folder(_Master(spark, "local[4]", settings)) == f"file:{tmp_path}/panelforecast-stages"
     settings["spark.checkpoint.dir"] = "s3a://bucket/stages/"
     assert shared_folder(_Master(spark, "yarn", settings)) == "s3a://bucket/stages"
+
+
+def test_missing_words_and_malformed_numbers(spark, tmp_path):
+    path = tmp_path / "panel.csv"
+    path.write_text('district,ipc,pop\nBor,NA,1\nYei,null,"n/a"\nNA,,nan\nJuba,2.5,7\n')
+    schema = spark.createDataFrame([], "district string, ipc double, pop double").schema
+    rows = [tuple(r) for r in tables.read_delimited(spark, str(path), schema).collect()]
+    assert rows == [("Bor", None, 1.0), ("Yei", None, None), (None, None, None), ("Juba", 2.5, 7.0)]
+    path.write_text("district,ipc,pop\nBor,2..5,1\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.read_delimited(spark, str(path), schema).collect()
