@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforecast.functions.columns import round_to
+from panelforecast.sources.stages import stage
+
+# Steps of [0, 1] that probabilities are put on for the density.
+GRID = 4096
 
 # Closed confidence ranges (low, high); neighbours share an end.
 CONFIDENCE_RANGES = [(0.9, 1.0), (0.8, 0.9), (0.7, 0.8), (0.6, 0.7), (0.5, 0.6), (0.4, 0.5), (0.3, 0.4), (0.0, 0.3)]
@@ -46,28 +50,93 @@ def confidence_histogram(df: DataFrame, prob: str = "pred_prob", bins: int = 10)
     return inside.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def confidence_kde(df: DataFrame, prob: str = "pred_prob", points: int = 200) -> DataFrame:
-    """Gaussian density with Scott's bandwidth on an even grid from the least to the greatest value.
+def confidence_cells(
+    df: DataFrame,
+    prob: str = "pred_prob",
+    grid: int = GRID,
+    bins: int = 10,
+    ranges: Sequence[tuple[float, float]] = CONFIDENCE_RANGES,
+) -> DataFrame:
+    """Counts and moments of the probabilities per cell of a fine grid, histogram bin, set of
+    ranges and whether the class was right: a table of bounded size, whatever the rows.
 
-    Equal values are counted first; each remaining value adds to all grid points where
-    it is, and only the sums per grid point are shuffled.
+    ``bin`` counts from 0; bit i of ``ranges`` says that range i holds the value.
     """
-    values = between_zero_and_one(df, prob).groupBy(F.col(prob).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    weight, mean = F.sum("n"), F.sum(F.col("p") * F.col("n")) / F.sum("n")
-    first = values.agg(F.min("p").alias("low"), F.max("p").alias("high"), weight.alias("rows"), mean.alias("mean"))
-    shape = first.select(F.struct("low", "high", "rows", "mean")).scalar()
-    spread = values.agg(F.sum(F.col("n") * F.pow(F.col("p") - shape["mean"], 2))).scalar()
+    p = F.col("p")
+    inside = between_zero_and_one(df, prob).select(
+        F.col(prob).cast("double").alias("p"), (F.col("true_val") == F.col("pred_val")).alias("right")
+    )
+    number = sum((F.when(p >= F.lit(i / bins), 1).otherwise(0) for i in range(1, bins)), F.lit(0))
+    held = sum((F.when(p.between(low, high), 1 << i).otherwise(0) for i, (low, high) in enumerate(ranges)), F.lit(0))
+    keyed = inside.select("p", "right", F.floor(p * grid).cast("int").alias("cell"), number.alias("bin"), held.alias("ranges"))
+    return keyed.groupBy("cell", "bin", "ranges", "right").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("p").alias("mean"), F.var_pop("p").alias("var"), F.min("p").alias("low"), F.max("p").alias("high")
+    )
+
+
+def histogram_of(cells: DataFrame, bins: int = 10) -> DataFrame:
+    """``confidence_histogram`` from the cells."""
+    parts = [
+        F.struct(
+            F.lit(i).alias("bin"), F.lit(i / bins).alias("low"), F.lit((i + 1) / bins).alias("high"),
+            F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("rows"))), F.lit(0)).alias("rows"),
+        )
+        for i in range(bins)
+    ]
+    return cells.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
+def accuracy_of(cells: DataFrame, ranges: Sequence[tuple[float, float]] = CONFIDENCE_RANGES) -> DataFrame:
+    """``accuracy_by_confidence`` from the cells."""
+
+    def part(i: int, low: float, high: float) -> Column:
+        mine = F.col("ranges").bitwiseAND(1 << i) != 0
+        known = F.sum(F.when(mine & F.col("right").isNotNull(), F.col("rows")))
+        return F.struct(
+            F.lit(float(low)).alias("low"),
+            F.lit(float(high)).alias("high"),
+            F.coalesce(F.sum(F.when(mine, F.col("rows"))), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(mine & F.col("right"), F.col("rows"))) / known, F.when(known.isNotNull(), 0.0), F.lit(0.0)).alias("accuracy"),
+        )
+
+    parts = [part(i, low, high) for i, (low, high) in enumerate(ranges)]
+    return cells.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
+def density_of(cells: DataFrame, points: int = 200, grid: int = GRID) -> DataFrame:
+    """``confidence_kde`` from the cells."""
+    shape = cells.agg(
+        F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"),
+        (F.sum(F.col("mean") * F.col("rows")) / F.sum("rows")).alias("mean"),
+    ).select(F.struct("rows", "low", "high", "mean")).scalar()
+    spread = cells.agg(F.sum(F.col("rows") * (F.col("var") + F.pow(F.col("mean") - shape["mean"], 2)))).scalar()
     rows = shape["rows"].cast("double")
     width = F.pow(rows, F.lit(-0.2)) * F.sqrt(F.try_divide(spread, rows - 1))
-    placed = values.select(
-        "p", "n", width.alias("h"), rows.alias("rows"), shape["low"].alias("low"), shape["high"].alias("high"),
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
-    )
+    # a value lies between two grid lines and counts for each by its nearness; the sums follow from the mean
+    up = F.col("rows") * (F.col("mean") * grid - F.col("cell"))
+    lines = cells.select(F.inline(F.array(
+        F.struct(F.col("cell").alias("line"), (F.col("rows") - up).alias("n")),
+        F.struct((F.col("cell") + 1).alias("line"), up.alias("n")),
+    ))).groupBy("line").agg(F.sum("n").alias("n"))
+    placed = lines.select(
+        (F.col("line") / F.lit(float(grid))).alias("p"), "n", width.alias("h"), rows.alias("rows"),
+        shape["low"].alias("low"), shape["high"].alias("high"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
+    )
     x = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(float(points - 1))
     bump = F.exp(-0.5 * F.pow((x - F.col("p")) / F.col("h"), 2)) / (F.col("h") * F.sqrt(2 * F.pi()))
     return placed.groupBy("point").agg(F.min(x).alias("x"), F.sum(F.col("n") * bump / F.col("rows")).alias("density"))
 
 
+def confidence_kde(df: DataFrame, prob: str = "pred_prob", points: int = 200, grid: int = GRID) -> DataFrame:
+    """Gaussian density with Scott's bandwidth at even points from the least to the greatest value.
+
+    Values are put on a grid of ``grid`` steps of [0, 1], each shared by its two
+    neighbours, so what meets the points is bounded by the grid. The bandwidth and the
+    ends are those of the values themselves.
+    """
+    return density_of(stage(confidence_cells(df, prob, grid), "confidence-cells"), points, grid)
+
+
 def accuracy_by_confidence(
     df: DataFrame, ranges: Sequence[tuple[float, float]] = CONFIDENCE_RANGES, prob: str = "pred_prob"
 ) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType
 from panelforecast.sources.stages import stage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.002
-HOT_KEYS = 500
-TRACKED_KEYS = 20000
-SPREAD = 64
+# A key is hot if it has more rows than this many average tasks.
+HOT_TASKS = 2
+# Items the sketch follows for every key that can be hot; its limits are Spark's.
+TRACKED_PER_KEY = 40
+MOST_HOT, MOST_TRACKED = 25_000, 1_000_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -32,39 +33,44 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(_row_bytes(df).cast("long")), F.lit(0))).first()[0]
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than one row in ``HOT_KEYS``; there cannot be more than that many.
+    """Keys with more rows than ``HOT_TASKS`` average tasks, and how many tasks' worth each has (``_slots``).
 
-    The sketch merges on the map side and has a fixed size, so finding the heavy
-    keys moves no rows. A key it misses is merely not spread.
+    There cannot be more than a ``HOT_TASKS``-th of the tasks of them, whatever the data.
+    The sketch merges on the map side and has a fixed size, so finding the heavy keys
+    moves no rows. A key it misses is merely not spread.
     """
+    tasks = _tasks(df)
+    most = min(MOST_HOT, tasks // HOT_TASKS + 1)
     sketch = df.where(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
+        F.expr(f"approx_top_k(`{key}`, {most}, {min(MOST_TRACKED, TRACKED_PER_KEY * most + 1000)})").alias("top"),
         F.count(F.lit(1)).alias("total"),
     )
     heavy = sketch.select("total", F.explode("top").alias("entry"))
-    return heavy.where(F.col("entry.count") > F.col("total") * HOT_SHARE).select(
-        F.col("entry.item").alias(key), F.lit(True).alias("_hot")
+    share = F.col("total") / F.lit(tasks)
+    return heavy.where(F.col("entry.count") > share * HOT_TASKS).select(
+        F.col("entry.item").alias(key), F.ceil(F.col("entry.count") / share).cast("int").alias("_slots")
     )
 
 
 def spread_join(facts: DataFrame, lookup: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
-    """Shuffled join in which the rows of a hot key, or of no key, go to ``SPREAD`` tasks.
+    """Shuffled join in which the rows of a hot key go to as many tasks as they would fill,
+    and rows without a key to all.
 
     The spread is a hash of a column of the row, never a random number: a
     recomputed task must send each row to the same place.
     """
     hot = F.broadcast(stage(hot_keys(facts, key), "hot-keys"))
-    slot = F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")
     # rows without a key match nothing, yet an outer join would send them all to one task:
     # they get a key of their own slot that no lookup row has
-    left = (
-        facts.join(hot, key, "left")
-        .withColumn("_slot", F.when(F.col("_hot") | F.col(key).isNull(), slot).otherwise(0))
-        .drop("_hot")
-    )
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, key, "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+    slots = F.when(F.col(key).isNull(), _tasks(facts)).otherwise(F.coalesce("_slots", F.lit(1)))
+    left = facts.join(hot, key, "left").withColumn("_slot", F.pmod(F.xxhash64(spread_by), slots).cast("int")).drop("_slots")
+    copies = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+    right = lookup.join(hot, key, "left").withColumn("_slot", F.explode(copies)).drop("_slots")
     return left.join(right, [key, "_slot"], how).drop("_slot")
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from panelforecast.functions.distributions import f_tail, t_quantile
 from panelforecast.operators.metrics import weighted_log_loss
 from panelforecast.sources.stages import prepare_checkpoints, stage
 from panelforecast.sources.tables import in_fixed_order
@@ -108,11 +110,12 @@ def linear_prediction(model: LinearRegressionModel | MeanModel, features: Sequen
     return total
 
 
-def ols_coefficients(model: LinearRegressionModel, features: Sequence[str], spark) -> DataFrame:
-    """Coefficient table: one row per feature and one for the intercept."""
+def ols_coefficients(model: LinearRegressionModel, features: Sequence[str], spark, level: float = 0.95) -> DataFrame:
+    """Coefficient table: one row per feature and one for the intercept, with confidence bounds."""
     summary = model.summary
+    reach = t_quantile(level, summary.degreesOfFreedom)
     rows = [
-        (name, float(b), float(se), float(t), float(p))
+        (name, float(b), float(se), float(t), float(p), float(b - reach * se), float(b + reach * se))
         for name, b, se, t, p in zip(
             [*features, "const"],
             [*model.coefficients, model.intercept],
@@ -121,7 +124,16 @@ def ols_coefficients(model: LinearRegressionModel, features: Sequence[str], spar
             summary.pValues,
         )
     ]
-    return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p double")
+    return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p double, low double, high double")
+
+
+def condition_number(rows: DataFrame, features: Sequence[str]) -> float:
+    """Of the design matrix with its constant: the root of the ratio of the extreme
+    eigenvalues of its Gram matrix, which one aggregate gives."""
+    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    sums = rows.agg(F.array(*[F.sum(a * b) for a in columns for b in columns])).first()[0]
+    values = np.linalg.eigvalsh(np.array(sums, dtype=float).reshape(len(columns), -1))
+    return float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else math.inf
 
 
 def ols_summary(
@@ -163,8 +175,13 @@ def ols_summary(
         "kurtosis",
         (n / 6 * (F.pow("skew", 2) + F.pow(F.col("kurtosis") - 3, 2) / 4)).alias("jarque_bera"),
         dw.alias("durbin_watson"),
+        F.lit(condition_number(rows, features)).alias("condition_number"),
     )
-    return ols_coefficients(model, features, spark), fit
+    fit = fit.withColumn("jarque_bera_prob", F.exp(-F.col("jarque_bera") / 2))
+    size = int(model.summary.numInstances)
+    r_squared, free = float(model.summary.r2), size - k - 1
+    statistic = (r_squared / k) / ((1 - r_squared) / free) if k and free > 0 and r_squared < 1 else math.inf
+    return ols_coefficients(model, features, spark), fit.withColumn("f_prob", F.lit(f_tail(statistic, k, free) if statistic < math.inf else 0.0))
 
 
 def _durbin_watson(residuals: DataFrame, order: Sequence[str]) -> Column:

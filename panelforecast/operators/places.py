@@ -44,10 +44,10 @@ def match_locations(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     name or are contained in one. An empty text is contained in everything."""
     names = gazetteer.select("district", F.lower("district").alias("name"))
     inside = _with_pieces(locations.select("place"), "place", names, "name", "name")
-    holds = inside.join(names, "name").select("place", "district")
+    holds = lookup_join(inside, names, "name", "inner", spread_by="place").select("place", "district")
     # the whole name is left out here: an equal pair was found above
     parts = _with_pieces(names, "name", locations, "place", "place").where(F.col("place") != F.col("name"))
-    held = locations.join(parts, "place").select("place", "district")
+    held = lookup_join(parts, locations.select("place"), "place", "inner", spread_by="district").select("place", "district")
     return holds.unionByName(held)
 
 
@@ -64,6 +64,18 @@ def district_count_by_place(
     return match_locations(places, gazetteer).groupBy("place").agg(F.count(F.lit(1)).alias(out))
 
 
+def count_by_district(
+    articles: DataFrame, gazetteer: DataFrame, location: str = "location", weight: str | None = None, label: str = NOT_ASSIGNED
+) -> DataFrame:
+    """``(district, count)`` as of ``map_articles(fallback="label")``: articles are counted per
+    place first, and only the places meet the districts."""
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    per_place = stage(articles.groupBy(F.lower(location).alias("place")).agg(rows.alias("_n")), "articles-per-place")
+    pairs = match_locations(per_place.select("place").where("place is not null"), stage(gazetteer.select("district"), "gazetteer"))
+    mapped = lookup_join(per_place, pairs, "place", "left", spread_by="place")
+    return mapped.groupBy(F.coalesce("district", F.lit(label)).alias("district")).agg(F.sum("_n").alias("count"))
+
+
 def map_articles(
     articles: DataFrame,
     gazetteer: DataFrame,

@@ -10,11 +10,12 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforecast.functions.columns import TOKEN_PATTERN, tokens
-from panelforecast.operators.joins import lookup_join
+from panelforecast.operators.joins import lookup_join, measured_bytes
 from panelforecast.sources.stages import stage
 from panelforecast.sources.tables import fill_cores, in_fixed_order
 
@@ -49,6 +50,8 @@ ALL_TAG_KEYWORDS = {**BASE_TAG_KEYWORDS, **{t: [t] for t in EXTRA_TAGS}}
 
 # Tasks of a clustering. Centres are drawn task by task, so it must not follow the cluster or the data.
 TOPIC_PARTS = 32
+# Topic centres that travel to the queries as one value.
+SHARE_BYTES = 8 * 1024 * 1024
 
 
 def fit_topics(
@@ -168,32 +171,40 @@ def keyword_similarity(weights: DataFrame, keywords: Sequence[str]) -> DataFrame
 
 
 def topic_vectors(vectors: DataFrame, topic: str = "topic", vector: str = "embedding") -> DataFrame:
-    """Mean vector per topic, summed element by element before the shuffle."""
-    parts = vectors.select(F.col(topic).alias("topic"), F.posexplode(vector).alias("pos", "x"))
-    means = parts.groupBy("topic", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("topic").agg(F.transform(ordered, lambda e: e["x"]).alias("centre"))
+    """Mean vector per topic; one vector per topic and task is shuffled."""
+    rows = vectors.select(F.col(topic).alias("topic"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return rows.groupBy("topic").agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centre"))
 
 
 def vector_similarity(
-    queries: DataFrame, centres: DataFrame, key: str, vector: str, at_once: int = 4096
+    queries: DataFrame, centres: DataFrame, key: str, vector: str, top_n: int | None = None, share_bytes: int = SHARE_BYTES
 ) -> DataFrame:
-    """Cosine of every query vector with every topic centre, one row each.
+    """Cosine of every query vector with its ``top_n`` nearest topic centres, or with all, one row each.
 
-    The centres travel to the queries, which do not move: as one value when they are a
-    few thousand, else in several passes, each with its share of them.
+    The centres travel to the queries, which do not move: as one value of at most about
+    ``share_bytes``, else in several passes, each with its share of them. The nearest are
+    kept in place; ties go to the smaller topic.
     """
     centres = stage(centres, "topic-centres")
-    passes = centres.count() // at_once + 1
+    passes = 1 + measured_bytes(centres) // share_bytes
     share = F.pmod(F.xxhash64("topic"), F.lit(passes))
 
     def against(i: int) -> DataFrame:
         some = centres.where(share == i).agg(F.collect_list(F.struct("topic", "centre"))).scalar()
-        near = cosine(F.col(vector).cast("array<double>"), F.col("_c.centre"))
-        paired = queries.withColumn("_c", F.explode(some))
-        return paired.select(key, F.col("_c.topic").alias("topic"), near.alias("similarity"))
-
-    return reduce(DataFrame.unionByName, [against(i) for i in range(passes)])
+        mine = F.col(vector).cast("array<double>")
+        if top_n is None:
+            paired = queries.withColumn("_c", F.explode(some))
+            return paired.select(key, F.col("_c.topic").alias("topic"), cosine(mine, F.col("_c.centre")).alias("similarity"))
+        near = F.transform("_all", lambda c: F.struct((-cosine(mine, c["centre"])).alias("far"), c["topic"].alias("topic")))
+        best = F.slice(F.array_sort(F.filter(near, lambda c: c["far"].isNotNull())), 1, top_n)
+        paired = queries.withColumn("_all", some).select(key, F.explode(best).alias("_c"))
+        return paired.select(key, F.col("_c.topic").alias("topic"), (-F.col("_c.far")).alias("similarity"))
+
+    found = reduce(DataFrame.unionByName, [against(i) for i in range(passes)])
+    if top_n is None or passes == 1:
+        return found
+    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "topic")
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top_n).drop("_rank")
 
 
 def topics_per_keyword(similarity: DataFrame, top_n: int = 10) -> DataFrame:

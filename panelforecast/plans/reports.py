@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelforecast.operators import confidence as cf
 from panelforecast.operators import regions as rg
-from panelforecast.operators.places import gazetteer_of, map_articles
+from panelforecast.operators.places import count_by_district, gazetteer_of
 from panelforecast.operators.series import monthly_topic_share
+from panelforecast.sources.stages import stage
 
 # The topics compared per score.
 CLASS_REPORT_TAGS = [
@@ -36,21 +37,21 @@ def articles_per_region(
     articles: DataFrame, panel: DataFrame, top: int = 10, percent: float = 2.3, weight: str | None = None
 ) -> DataFrame:
     """Article counts and shares of the biggest regions, small ones merged."""
-    slim = articles.select("doc_id", "location", *([weight] if weight else []))
-    mapped = map_articles(slim, gazetteer_of(panel), fallback="label")
-    counts = rg.count_per_region(mapped, weight=weight)
+    counts = count_by_district(articles, gazetteer_of(panel), weight=weight)
     return rg.share_of_total(rg.fold_long_tail(rg.top_regions(counts, top), percent))
 
 
-def confidence_report(confidence: DataFrame, points: int = 200) -> DataFrame:
-    """Histogram, density and accuracy by range in one long table (part, low, high, value)."""
-    histogram = cf.confidence_histogram(confidence).select(
+def confidence_report(confidence: DataFrame, points: int = 200, grid: int = cf.GRID) -> DataFrame:
+    """Histogram, density and accuracy by range in one long table (part, low, high, value).
+
+    The rows are read once, into counts per cell; all parts derive from these.
+    """
+    cells = stage(cf.confidence_cells(confidence, grid=grid), "confidence-cells")
+    histogram = cf.histogram_of(cells).select(
         F.lit("histogram").alias("part"), "low", "high", F.col("rows").cast("double").alias("value")
     )
-    density = cf.confidence_kde(confidence, points=points).select(
+    density = cf.density_of(cells, points, grid).select(
         F.lit("density").alias("part"), F.col("x").alias("low"), F.col("x").alias("high"), F.col("density").alias("value")
     )
-    accuracy = cf.accuracy_by_confidence(confidence).select(
-        F.lit("accuracy").alias("part"), "low", "high", F.col("accuracy").alias("value")
-    )
+    accuracy = cf.accuracy_of(cells).select(F.lit("accuracy").alias("part"), "low", "high", F.col("accuracy").alias("value"))
     return histogram.unionByName(density).unionByName(accuracy)

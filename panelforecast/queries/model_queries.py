@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from panelforecast.functions import columns as fc
+from panelforecast.operators import metrics as mt
 from panelforecast.operators import models as ml
 from panelforecast.operators.panel import LagSpec, lag_features
 from panelforecast.plans import datasets as ds
 from panelforecast.plans import evaluation as ev
-from panelforecast.queries.adapters import ARTICLES, NEWS, PANEL, TAG_WORDS, load, with_cte
+from panelforecast.queries.adapters import ARTICLES, FINE_PANEL, NEWS, PANEL, TAG_WORDS, load, with_cte
+from panelforecast.queries.registry import r6, registry
 from panelforecast.queries.panel_queries import COMPLETE, _kept_lag, _rolled
 from panelforecast.queries.text_queries import MATCHED, SERIES, TAGGED, TOP_N
-from panelforecast.sources.stages import stage
+from panelforecast.sources.stages import stage, stage_path
+from panelforecast.sources.tables import load_model, save_model
 
-QUERIES = {}
-ORACLES = {}
+QUERIES, ORACLES, query = registry()
 
 
-def query(name: str, sql: str | None = None):
-    def register(build):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
-
-def r6(column):
-    return F.round(column, 6)
-
 
 PAIR = """SELECT date, district, ipc, count_violence AS x1, food_price_idx / 100.0E0 AS x2 FROM ({panel}) AS p
           WHERE ipc IS NOT NULL""".replace("{panel}", PANEL)
@@ -73,14 +65,15 @@ FIT_STATISTICS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + ""
   SELECT n AS n_obs, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS r2_adj,
          round(r2 / 2 / ((1 - r2) / (n - 3)), 6) AS f_statistic, round(ll, 6) AS log_likelihood, round(-2 * ll + 6, 6) AS aic,
          round(-2 * ll + 3 * ln(n), 6) AS bic, round(sk, 6) AS skew, round(ku, 6) AS kurtosis,
-         round(n / 6.0E0 * (sk * sk + pow(ku - 3, 2) / 4), 6) AS jarque_bera, round(steps / ssr, 6) AS durbin_watson
+         round(n / 6.0E0 * (sk * sk + pow(ku - 3, 2) / 4), 6) AS jarque_bera, round(steps / ssr, 6) AS durbin_watson,
+         round(exp(-n / 12.0E0 * (sk * sk + pow(ku - 3, 2) / 4)), 6) AS jarque_bera_prob
   FROM f, w"""
 
 
 @query("ols_fit_statistics", with_cte(FIT_STATISTICS, d=PAIR))
 def ols_fit_statistics(spark, sf):
     _, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
-    return fit.select("n_obs", *[r6(c).alias(c) for c in fit.columns if c not in ("n_obs", "df_resid", "df_model")])
+    return fit.select("n_obs", *[r6(c).alias(c) for c in fit.columns if c not in ("n_obs", "df_resid", "df_model", "condition_number", "f_prob")])
 
 
 @query("ols_summary")
@@ -108,22 +101,122 @@ SMALL = ["count_violence", "ndvi_anom", "food_price_idx"]
 
 
 def _labelled_panel(spark, sf):
-    """Panel with lagged features, the shape every model is evaluated on."""
-    specs = [LagSpec(c, 3, rolling=6) for c in SMALL] + [LagSpec("ipc", 1, dropna=True)]
-    panel = stage(load(spark, sf, PANEL).select("date", "district", *SMALL, "ipc"), "panel")
+    """The supplier panel with lagged features, the shape every model is evaluated on; it grows with the facts."""
+    specs = [LagSpec(c, 3, rolling=6) for c in SMALL] + [LagSpec("ipc", 4)]
+    panel = stage(load(spark, sf, FINE_PANEL).select("date", "district", *SMALL, "ipc"), "panel")
     return stage(lag_features(panel, specs), "model-panel"), [s.name for s in specs]
 
 
-@query("evaluate_ols")
+# two features and labels from the first one on, so that every step has a closed form
+PAIRS = """SELECT date, district, count_violence AS x1, ndvi_anom / 10.0E0 AS x2, ipc FROM ({panel}) AS p
+           WHERE date >= DATE '1995-06-01'""".replace("{panel}", FINE_PANEL)
+
+
+def _evaluated(penalty: float, rounded: bool) -> str:
+    """SQL of an evaluation: positions, folds, interpolation per fold and place, closed form per fold."""
+    error = "abs(round_even(guess, 0) - ipc)" if rounded else "abs(guess - ipc)"
+    return f""", pos AS (SELECT *, row_number() OVER (ORDER BY date, district) - 1 AS i, count(*) OVER () AS n FROM d),
+      folds AS (SELECT date, district, x1, x2, ipc, CAST(g.f AS INTEGER) AS fold, i < n - (5 - g.f) * (n // 6) AS train
+                FROM pos, range(5) AS g(f) WHERE i < n - (4 - g.f) * (n // 6)),
+      rows AS (SELECT *, row_number() OVER w AS r, CASE WHEN ipc IS NOT NULL THEN row_number() OVER w END AS k FROM folds WHERE train
+               WINDOW w AS (PARTITION BY fold, district ORDER BY date)),
+      near AS (SELECT *, last_value(ipc IGNORE NULLS) OVER b AS y0, last_value(k IGNORE NULLS) OVER b AS k0,
+                      first_value(ipc IGNORE NULLS) OVER a AS y1, first_value(k IGNORE NULLS) OVER a AS k1 FROM rows
+               WINDOW b AS (PARTITION BY fold, district ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                      a AS (PARTITION BY fold, district ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+      filled AS (SELECT fold, x1, x2, CASE WHEN ipc IS NOT NULL THEN ipc WHEN k1 IS NULL THEN y0
+                                          ELSE y0 + (y1 - y0) / (k1 - k0) * (r - k0) END AS y FROM near),
+      known AS (SELECT *, avg(x1) OVER w AS m1, avg(x2) OVER w AS m2, avg(y) OVER w AS my FROM filled WHERE y IS NOT NULL
+                WINDOW w AS (PARTITION BY fold)),
+      c AS (SELECT fold, count(*) AS n_train, min(m1) AS m1, min(m2) AS m2, min(my) AS my,
+                   sum((x1 - m1) * (x1 - m1)) + {penalty} AS s11, sum((x2 - m2) * (x2 - m2)) + {penalty} AS s22, sum((x1 - m1) * (x2 - m2)) AS s12,
+                   sum((x1 - m1) * (y - my)) AS s1y, sum((x2 - m2) * (y - my)) AS s2y FROM known GROUP BY fold),
+      b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM c),
+      fit AS (SELECT b.fold, min(n_train) AS n_train, 1 - sum(pow(y - b.my - b1 * (x1 - b.m1) - b2 * (x2 - b.m2), 2)) / sum(pow(y - b.my, 2)) AS r2
+              FROM known JOIN b ON known.fold = b.fold GROUP BY b.fold),
+      test AS (SELECT folds.fold, ipc, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS guess FROM folds JOIN b ON folds.fold = b.fold
+               WHERE NOT train AND ipc IS NOT NULL),
+      basic AS (SELECT fold, avg({error}) AS mae, avg(CAST(round_even(guess, 0) = round_even(ipc, 0) AS DOUBLE)) AS accuracy,
+                       count(guess) AS n_scored, count(*) - count(guess) AS n_unscored FROM test GROUP BY fold),
+      sides AS (SELECT fold, CAST(ipc AS INTEGER) AS class, 1 AS s, 0 AS p, 0 AS h FROM test UNION ALL
+                SELECT fold, CAST(round_even(guess, 0) AS INTEGER), 0, 1, CASE WHEN round_even(guess, 0) = ipc THEN 1 ELSE 0 END FROM test),
+      classes AS (SELECT fold, class, sum(s) AS s, 2.0E0 * sum(h) / (sum(s) + sum(p)) AS f1 FROM sides GROUP BY 1, 2),
+      scores AS (SELECT fold, sum(f1 * s) / sum(s) AS weighted_f1 FROM classes GROUP BY 1),
+      metrics AS (SELECT fold, mae, accuracy, n_scored, n_unscored, weighted_f1, r2, n_train
+                  FROM fit JOIN basic USING (fold) JOIN scores USING (fold))"""
+
+
+METRICS = """ SELECT fold, round(mae, 6) AS mae, round(accuracy, 6) AS accuracy, n_scored, n_unscored, round(weighted_f1, 6) AS weighted_f1,
+  round(r2, 6) AS r2, n_train FROM metrics"""
+
+
+def _pairs_evaluated(spark, sf, kind):
+    return ev.model_eval(stage(load(spark, sf, PAIRS), "pairs"), ["x1", "x2"], kind)
+
+
+def _metrics(result):
+    return result.metrics.select("fold", "n_scored", "n_unscored", "n_train", *[r6(c).alias(c) for c in ("mae", "accuracy", "weighted_f1", "r2")])
+
+
+@query("evaluate_ols", with_cte(_evaluated(0.0, False) + METRICS, d=PAIRS))
 def evaluate_ols(spark, sf):
-    data, features = _labelled_panel(spark, sf)
-    return ev.model_eval(data, features, "OLS").metrics
+    return _metrics(_pairs_evaluated(spark, sf, "OLS"))
 
 
-@query("evaluate_ridge")
+@query("evaluate_ridge", with_cte(_evaluated(ml.RIDGE_ALPHA, True) + METRICS, d=PAIRS))
 def evaluate_ridge(spark, sf):
+    return _metrics(_pairs_evaluated(spark, sf, "Ridge"))
+
+
+@query(
+    "fold_means",
+    with_cte(
+        _evaluated(0.0, False)
+        + """ SELECT round(avg(mae), 6) AS mean_mae, round(avg(r2), 6) AS mean_r2, round(avg(accuracy), 6) AS mean_accuracy,
+                     round(avg(weighted_f1), 6) AS mean_weighted_f1 FROM metrics""",
+        d=PAIRS,
+    ),
+)
+def fold_means(spark, sf):
+    means = _pairs_evaluated(spark, sf, "OLS").means()
+    return means.select(*[r6(c).alias(c) for c in means.columns])
+
+
+@query("zero_based_label", with_cte(" SELECT date, district, CAST(ipc AS INTEGER) - 1 AS label FROM d WHERE ipc IS NOT NULL", d=FINE_PANEL))
+def zero_based_label(spark, sf):
+    rows = load(spark, sf, FINE_PANEL).where("ipc is not null")
+    return rows.select("date", "district", fc.zero_based_class(F.col("ipc")).cast("int").alias("label"))
+
+
+@query("model_save_load", with_cte(_two_feature_fit(0.0), d=PAIR))
+def model_save_load(spark, sf):
+    """Predictions of a model that was saved and loaded again."""
+    rows, path = _pair(spark, sf), stage_path(spark, "model")
+    assemble = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
+    save_model(PipelineModel([assemble, ml.fit_ols(rows, ["x1", "x2"])]), path)
+    loaded = load_model(path)
+    return _fitted(rows, loaded.stages[-1])
+
+
+COEFFICIENTS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + """,
+  e AS (SELECT count(*) AS n, sum(pow(ipc - (my + b1 * (x1 - m1) + b2 * (x2 - m2)), 2)) / (count(*) - 3) AS v FROM d, m, b),
+  q AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0, sqrt(v * s22 / (s11 * s22 - s12 * s12)) AS e1, sqrt(v * s11 / (s11 * s22 - s12 * s12)) AS e2,
+               sqrt(v * (1.0E0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / (s11 * s22 - s12 * s12))) AS e0 FROM m, c, b, e)
+  SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 6) AS t
+  FROM (SELECT 'x1' AS term, b1 AS coef, e1 AS std_err FROM q UNION ALL SELECT 'x2', b2, e2 FROM q UNION ALL SELECT 'const', b0, e0 FROM q) AS u"""
+
+
+@query("ols_coefficients", with_cte(COEFFICIENTS, d=PAIR))
+def ols_coefficients(spark, sf):
+    table, _ = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
+    return table.select("term", *[r6(c).alias(c) for c in ("coef", "std_err", "t")])
+
+
+@query("evaluate_trees")
+def evaluate_trees(spark, sf):
+    """Five time folds; 20 boosting rounds here, the model's own default is 100."""
     data, features = _labelled_panel(spark, sf)
-    return ev.model_eval(data.dropna(subset=["ipc_lag_1"]), features, "Ridge").metrics
+    return ev.model_eval(data, features, "XGboost", maxIter=20).metrics
 
 
 @query("gbt_fit")

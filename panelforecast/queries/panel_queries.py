@@ -8,26 +8,13 @@ from panelforecast.functions import columns as fc
 from panelforecast.operators import folds as fo
 from panelforecast.operators import panel as pa
 from panelforecast.queries.adapters import FINE_PANEL, PANEL, RAW_NAMES, load, table, with_cte
+from panelforecast.queries.registry import r6, registry
 from panelforecast.sources.stages import materialize, stage, stage_path
 from panelforecast.sources.tables import read_delimited, read_table, write_table
 
-QUERIES = {}
-ORACLES = {}
+QUERIES, ORACLES, query = registry()
 
 
-def query(name: str, sql: str | None = None):
-    def register(build):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
-
-def r6(column):
-    return F.round(column, 6)
-
 
 def _fine(spark, sf, *columns):
     """The supplier panel, for operators that read their input once."""

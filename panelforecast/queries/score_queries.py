@@ -10,24 +10,11 @@ from panelforecast.operators import metrics as mt
 from panelforecast.operators.models import CLASS_WEIGHTS
 from panelforecast.plans.reports import confidence_report as build_report
 from panelforecast.queries.adapters import PREDICTIONS, load, with_cte
+from panelforecast.queries.registry import r6, registry
 
-QUERIES = {}
-ORACLES = {}
+QUERIES, ORACLES, query = registry()
 
 
-def query(name: str, sql: str | None = None):
-    def register(build):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
-
-def r6(column):
-    return F.round(column, 6)
-
 
 def _predictions(spark, sf):
     return load(spark, sf, PREDICTIONS).withColumn("probability", F.array("p0", "p1", "p2", "p3", "p4"))
@@ -181,7 +168,8 @@ def confidence_histogram(spark, sf):
 
 KDE = """, st AS (SELECT count(*) AS n, min(pred_prob) AS low, max(pred_prob) AS high,
                  pow(count(*), -0.2E0) * stddev_samp(pred_prob) AS h FROM i),
-  d AS (SELECT pred_prob AS v, count(*) AS c FROM i GROUP BY 1),
+  q AS (SELECT CAST(floor(pred_prob * 4096) AS INTEGER) AS cell, pred_prob * 4096 - floor(pred_prob * 4096) AS up FROM i),
+  d AS (SELECT line / 4096.0E0 AS v, sum(c) AS c FROM (SELECT cell AS line, 1 - up AS c FROM q UNION ALL SELECT cell + 1, up FROM q) AS u GROUP BY 1),
   k AS (SELECT CAST(g.c AS INTEGER) AS point, min(low + (high - low) * g.c / 199.0E0) AS x,
           sum(d.c * exp(-0.5E0 * pow((low + (high - low) * g.c / 199.0E0 - v) / h, 2)) / (h * sqrt(2 * pi()) * n)) AS density
         FROM range(200) AS g(c), st, d GROUP BY 1)"""

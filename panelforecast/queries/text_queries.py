@@ -20,26 +20,13 @@ from panelforecast.queries.adapters import (
     table,
     with_cte,
 )
+from panelforecast.queries.registry import r6, registry
 
-QUERIES = {}
-ORACLES = {}
+QUERIES, ORACLES, query = registry()
 ARTICLE_TAGS = ["hunger", "refugees", "conflict", "humanitarian"]
 TOP_N = 5
 
 
-def query(name: str, sql: str | None = None):
-    def register(build):
-        QUERIES[name] = build
-        if sql is not None:
-            ORACLES[name] = sql
-        return build
-
-    return register
-
-
-def r6(column):
-    return F.round(column, 6)
-
 
 def _places(spark, sf):
     return load(spark, sf, RAW_NAMES)
@@ -80,6 +67,11 @@ def map_articles_label_fallback(spark, sf):
     return _mapped(spark, sf)
 
 
+def _counted(spark, sf):
+    articles = load(spark, sf, ARTICLES).select("doc_id", "location")
+    return pl.count_by_district(articles, pl.gazetteer_of(_places(spark, sf)))
+
+
 def _mapped(spark, sf):
     articles = load(spark, sf, ARTICLES).select("doc_id", "date", "location")
     return pl.map_articles(articles, pl.gazetteer_of(_places(spark, sf)), "label").drop("location")
@@ -191,12 +183,12 @@ FOLDED = (
     with_cte(COUNTS + " SELECT * FROM counts", articles=ARTICLES, gazetteer=GAZETTEER),
 )
 def articles_per_region_counts(spark, sf):
-    return rg.count_per_region(_mapped(spark, sf))
+    return _counted(spark, sf)
 
 
 @query("top_regions", with_cte(TOP + " SELECT * FROM top", articles=ARTICLES, gazetteer=GAZETTEER))
 def top_regions(spark, sf):
-    return rg.top_regions(rg.count_per_region(_mapped(spark, sf)))
+    return rg.top_regions(_counted(spark, sf))
 
 
 @query(
@@ -220,7 +212,7 @@ def fold_long_tail(spark, sf):
     ),
 )
 def region_share_pct(spark, sf):
-    shares = rg.share_of_total(rg.count_per_region(_mapped(spark, sf)))
+    shares = rg.share_of_total(_counted(spark, sf))
     return shares.withColumn("share_pct", r6("share_pct"))
 
 
@@ -245,6 +237,13 @@ def topic_assign(spark, sf):
     return tp.assign_topics(model, docs).select("doc_id", "topic")
 
 
+@query("topic_assign_outliers")
+def topic_assign_outliers(spark, sf):
+    """Topics at the default size of the vocabulary; -1 where a text is far from its centre."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tp.assign_topics(tp.fit_topics(docs, k=20), docs, outlier_distance=0.5).select("doc_id", "topic")
+
+
 @query("topic_assign_vectors")
 def topic_assign_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -320,6 +319,21 @@ def vector_topic_similarity(spark, sf):
     return tp.vector_similarity(vectors, centres, "vec_id", "embedding").withColumn("similarity", r6("similarity"))
 
 
+@query(
+    "vector_topics_nearest",
+    """WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+       means AS (SELECT label AS topic, pos, avg(x) AS c FROM parts GROUP BY 1, 2),
+       near AS (SELECT vec_id, topic, sum(x * c) / sqrt(sum(x * x)) / sqrt(sum(c * c)) AS similarity
+                FROM parts JOIN means ON parts.pos = means.pos GROUP BY 1, 2),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) AS k FROM near)
+       SELECT vec_id, topic, round(similarity, 6) AS similarity FROM ranked WHERE k <= 3""",
+)
+def vector_topics_nearest(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    near = tp.vector_similarity(vectors, tp.topic_vectors(vectors, "label"), "vec_id", "embedding", top_n=3)
+    return near.withColumn("similarity", r6("similarity"))
+
+
 @query(
     "topics_per_keyword",
     with_cte(

@@ -128,10 +128,25 @@ def test_ols_summary_equals_numpy(spark):
     z = (e - e.mean()) / e.std()
     assert got.jarque_bera == pytest.approx(n / 6 * (np.mean(z**3) ** 2 + (np.mean(z**4) - 3) ** 2 / 4))
     se = np.sqrt(np.diag(np.linalg.inv(ones.T @ ones)) * (e @ e) / (n - k))
+    assert got.condition_number == pytest.approx(np.linalg.cond(ones))
+    assert got.f_prob < 1e-12 and got.jarque_bera_prob == pytest.approx(np.exp(-got.jarque_bera / 2))
     rows = {r.term: r for r in table.collect()}
+    assert (rows["b"].high - rows["b"].low) / 2 / rows["b"].std_err == pytest.approx(1.965973, abs=1e-5)  # t, 396 degrees
     assert rows["const"].std_err == pytest.approx(se[0]) and rows["b"].std_err == pytest.approx(se[2])
 
 
+def test_tails_equal_sums_of_densities():
+    from panelforecast.functions.distributions import f_tail, t_quantile
+
+    assert t_quantile(0.95, 10) == pytest.approx(2.2281388, abs=1e-6) and t_quantile(0.95, 1) == pytest.approx(12.7062047, abs=1e-5)
+    for d1, d2, at in ((2, 10, 4.0), (3, 7, 0.5), (1, 30, 4.17)):
+        x = np.linspace(at, 4000, 4_000_001)
+        density = x ** (d1 / 2 - 1) * (1 + d1 * x / d2) ** (-(d1 + d2) / 2)
+        whole = np.linspace(1e-9, 1, 2_000_001) ** 4 * 4000  # finer near zero
+        all_density = whole ** (d1 / 2 - 1) * (1 + d1 * whole / d2) ** (-(d1 + d2) / 2)
+        assert f_tail(at, d1, d2) == pytest.approx(np.trapezoid(density, x) / np.trapezoid(all_density, whole), rel=1e-3)
+
+
 def test_missing_feature_gives_missing_prediction(spark):
     df, _, _ = linear_data(spark)
     model = ml.fit_ols(df, ["a", "b"])

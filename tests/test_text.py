@@ -207,16 +207,79 @@ def test_topic_model_is_repeatable_and_survives_saving(spark, tmp_path):
     tables.save_model(model, str(tmp_path / "m"))
     loaded = tables.load_model(str(tmp_path / "m"))
     assert topics == {r.doc_id: r.topic for r in tp.assign_topics(loaded, docs).collect()}
-    strict = tp.assign_topics(model, docs, outlier_distance=-1.0).select("topic").distinct().collect()
-    assert [r.topic for r in strict] in ([-1], [-1, -1]) or {r.topic for r in strict} <= {-1, *topics.values()}
 
 
-@pytest.mark.parametrize("at_once", [4096, 2])
-def test_vector_similarity_equals_numpy(spark, at_once):
+def test_topics_do_not_depend_on_the_partitions(spark):
+    words = [["rain", "crop", "field"], ["troop", "gun", "raid"], ["school", "book", "class"]]
+    rows = [(i, " ".join(random.Random(i).choices(words[i % 3], k=9))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [float(random.Random(i * 7 + k).random()) for k in range(4)]) for i in range(90)], "doc_id long, embedding array<float>")
+    topics, of_vectors = [], []
+    for n in (1, 2, 6):
+        model = tp.fit_topics(docs.repartition(n), k=4, features=256)
+        topics.append({r.doc_id: r.topic for r in tp.assign_topics(model, docs).collect()})
+        model = tp.fit_vector_topics(vectors.repartition(n), k=5)
+        of_vectors.append({r.doc_id: r.topic for r in tp.assign_vector_topics(model, vectors).collect()})
+    assert topics[0] == topics[1] == topics[2] and of_vectors[0] == of_vectors[1] == of_vectors[2]
+
+
+def test_outliers_are_what_is_far_from_its_centre(spark):
+    words = [["rain", "crop", "field"], ["troop", "gun", "raid"]]
+    rows = [(i, " ".join(random.Random(i).choices(words[i % 2], k=12))) for i in range(40)] + [(40, ""), (41, None), (42, "zebra rain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tp.fit_topics(docs, k=2, features=256)
+    centres = model.stages[-1].clusterCenters()
+    plain = {r.doc_id: r.topic for r in tp.assign_topics(model, docs).collect()}
+    units = {r.doc_id: r._unit.toArray() for r in model.transform(docs.na.fill("", ["text"])).collect()}
+    for limit in (0.05, 0.3, 0.9):
+        got = {r.doc_id: r.topic for r in tp.assign_topics(model, docs, outlier_distance=limit).collect()}
+        for i, u in units.items():
+            centre = centres[plain[i]]
+            near = u @ centre / np.linalg.norm(centre) if u.any() else 1.0
+            if abs(1 - near - limit) > 1e-9:
+                assert got[i] == (-1 if u.any() and 1 - near > limit else plain[i])
+    assert set(got.values()) <= {-1, 0, 1}
+
+
+def test_hot_keys_follow_the_size_of_a_task(spark):
+    from panelforecast.operators import joins as jn
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = [("half", i) for i in range(5000)] + [("rare", i) for i in range(10)] + [(None, i) for i in range(500)] + [(f"k{i}", i) for i in range(4990)]
+        facts = spark.createDataFrame(rows, "key string, id int")
+        hot = {r.key: r._slots for r in jn.hot_keys(facts, "key").collect()}
+        assert set(hot) == {"half"} and 19 <= hot["half"] <= 22
+        lookup = spark.createDataFrame([("half", 1), ("half", 2), ("rare", 3), ("k7", 4)], "key string, v int")
+        joined = jn.lookup_join(facts, lookup, "key", "left", spread_by="id", limit_bytes=0)
+        assert joined.count() == 5000 * 2 + 10 + 500 + 4990
+        assert joined.where("v is not null").groupBy("key").count().count() == 3
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spread = jn.spread_join(facts, lookup, "key", "left", "id").where("key = 'half' and v = 1").groupBy(F.spark_partition_id()).count()
+        assert spread.count() > 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_nearest_centres_in_one_pass_and_in_several(spark):
+    vectors = [(i, [float(x) for x in np.random.default_rng(i).normal(size=4)], i % 5) for i in range(20)]
+    df = spark.createDataFrame(vectors, "vec_id int, embedding array<float>, label int")
+    centres = tp.topic_vectors(df, "label")
+    every = tp.vector_similarity(df, centres, "vec_id", "embedding").collect()
+    want = {i: sorted([(-r.similarity, r.topic) for r in every if r.vec_id == i])[:2] for i in range(20)}
+    for share in (1 << 20, 60):
+        got = tp.vector_similarity(df, centres, "vec_id", "embedding", top_n=2, share_bytes=share).collect()
+        assert {i: sorted((-r.similarity, r.topic) for r in got if r.vec_id == i) for i in range(20)} == want
+
+
+@pytest.mark.parametrize("share_bytes", [1 << 20, 60])
+def test_vector_similarity_equals_numpy(spark, share_bytes):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(12)]
     df = spark.createDataFrame(vectors, "vec_id int, embedding array<float>, label int")
-    got = {(r.vec_id, r.topic): r.similarity for r in tp.vector_similarity(df, tp.topic_vectors(df, "label"), "vec_id", "embedding", at_once).collect()}
+    got = {(r.vec_id, r.topic): r.similarity for r in tp.vector_similarity(df, tp.topic_vectors(df, "label"), "vec_id", "embedding", share_bytes=share_bytes).collect()}
     data = np.array([v for _, v, _ in vectors], dtype=np.float32).astype(float)
     for t in range(3):
         centre = data[[i for i in range(12) if i % 3 == t]].mean(axis=0)
