@@ -202,8 +202,9 @@ def trim_to_first_label(
 
 
 def latest_lag_column(df: DataFrame, label: str = "ipc") -> str:
-    """The longest of the label's lags the dataset has: the third, else the first."""
-    return f"{label}_lag_3" if f"{label}_lag_3" in df.columns else f"{label}_lag_1"
+    """The lag of the label that rows are dropped by: the third, else the first, else the longest there is."""
+    lags = [int(c.rpartition("_")[2]) for c in df.columns if c.startswith(f"{label}_lag_") and c.rpartition("_")[2].isdigit()]
+    return f"{label}_lag_{3 if 3 in lags else 1 if 1 in lags or not lags else max(lags)}"
 
 
 def drop_null_lag(df: DataFrame, column: str | None = None) -> DataFrame:
