@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ ZIPF_SHIFT = 2.7  # fixed value: Zipf-Mandelbrot law of word ranks
 NEVER = -1e8  # fixed value: scores below it only mark pieces that merging never makes
 WIDTHS = (6, 9, 12, 16, 24, 48)
 WINDOW = 512
-KNOWN_SEGMENTS = 400_000
+KNOWN_SEGMENTS = 200_000
 
 
 def load_model(path: str = MODEL) -> dict:
@@ -251,6 +252,15 @@ def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
 
 
+def _null_where(lists: pa.ListArray, there: pa.BooleanArray) -> pa.Array:
+    return lists if pc.all(there).as_py() in (True, None) else pc.if_else(there, lists, pa.scalar(None, lists.type))
+
+
+def _joined(table: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of a text from its ids: pieces joined, without the space put before it."""
+    return b"".join([table[i] for i in ids]).removeprefix(b" ")
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: dict | str = MODEL) -> DataFrame:
     """``(id, ids)``: the best segmentation of every whole text into pieces.
 
@@ -267,9 +277,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for batch in batches:
             for part in slices(batch):
                 ids, counts = encoder.encode(part.column("text").cast(pa.large_binary()).to_pylist())
-                lists = _id_lists(ids, counts)
-                if part.column("text").null_count:
-                    lists = pc.if_else(part.column("text").is_valid(), lists, pa.scalar(None, lists.type))
+                lists = _null_where(_id_lists(ids, counts), part.column("text").is_valid())
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -297,7 +305,7 @@ def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids
                     texts.append(None)
                     continue
                 try:
-                    texts.append(b"".join([table[i] for i in flat[at : at + k]]).removeprefix(b" ").decode(errors="replace"))
+                    texts.append(_joined(table, flat[at : at + k]).decode(errors="replace"))
                 except (IndexError, TypeError):
                     texts.append(None)
                 at += k
@@ -308,37 +316,34 @@ def decode(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids
     return out.withColumnRenamed("id", id_column)
 
 
-def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: dict | str = MODEL) -> DataFrame:
     """``(id, ids, n_tokens, n_bytes, decoded_sha256)``: ids of every text, and the digest of what they decode to.
 
-    ``n_bytes`` counts the ids of the byte fallback. A null text has null ids, no
-    tokens and a null digest.
+    Both ways in one pass, run by run, as ``encode`` and ``decode`` do them. ``n_bytes``
+    counts the ids of the byte fallback. A null text has null ids, no tokens and a null
+    digest.
     """
-    loaded = load_model(model)
-    ids = encode(docs, id_column, text_column, loaded)
-    shared = docs.sparkSession.sparkContext.broadcast(loaded)
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model) if isinstance(model, str) else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        table = shared.value["table"]
-        fallback = np.zeros(len(table) + 1, np.int64)
+        encoder, table = Encoder(shared.value), shared.value["table"]
+        fallback = np.zeros(len(table), np.int64)
         fallback[shared.value["bytes"]] = 1
         for batch in batches:
-            lists = batch.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            fell = np.concatenate(([0], np.cumsum(fallback[flat])))
-            ends = np.cumsum(counts)
-            digests = []
-            for end, k, there in zip(ends.tolist(), counts.tolist(), lists.is_valid().to_pylist()):
-                data = b"".join(map(table.__getitem__, flat[end - k : end].tolist())).removeprefix(b" ")
-                digests.append(hashlib.sha256(data).hexdigest() if there else None)
-            columns = [batch.column("id"), lists, pa.array(counts), pa.array(fell[ends] - fell[ends - counts]), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_tokens", "n_bytes", "decoded_sha256"])
-
-    kind = ids.schema[id_column].dataType.simpleString()
-    out = ids.withColumnRenamed(id_column, "id").mapInArrow(
-        run, f"id {kind}, ids array<int>, n_tokens long, n_bytes long, decoded_sha256 string"
-    )
+            for part in slices(batch):
+                there = part.column("text").is_valid()
+                ids, counts = encoder.encode(part.column("text").cast(pa.large_binary()).to_pylist())
+                fell = np.concatenate(([0], np.cumsum(fallback[ids])))
+                ends = np.cumsum(counts)
+                digests = [
+                    hashlib.sha256(_joined(table, ids[end - k : end].tolist())).hexdigest() if known else None
+                    for end, k, known in zip(ends.tolist(), counts.tolist(), there.to_pylist())
+                ]
+                lists = _null_where(_id_lists(ids, counts), there)
+                columns = [part.column("id"), lists, pa.array(counts), pa.array(fell[ends] - fell[ends - counts]), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_tokens", "n_bytes", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, n_bytes long, decoded_sha256 string")
     return out.withColumnRenamed("id", id_column)
