@@ -154,6 +154,5 @@ def _network(data, features, label, settings) -> Evaluation:
     rows = stage(network_parts(data, features, label), "network-rows", "role")
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     choice = ml.select_by_holdout_loss(train, test, features, **settings)
-    predictions = stage(ml.predict_classes(choice.model, test, KEYS), "predictions")
-    metrics = mt.fold_metrics(predictions.withColumn("fold", F.lit(0)))
-    return Evaluation(metrics, predictions, [choice.model], [list(features)], choice.losses, NETWORK_CLASSES)
+    predictions = stage(ml.predict_classes(choice.model, test, KEYS).withColumn("fold", F.lit(0)), "predictions")
+    return Evaluation(mt.fold_metrics(predictions), predictions.drop("fold"), [choice.model], [list(features)], choice.losses, NETWORK_CLASSES)
