@@ -15,31 +15,57 @@ from panelforecast.llm.common import mix, slices
 from panelforecast.sources.stages import stage
 
 SAMPLES = 128
-BYTES = 2
 SEED = 9
-KNOWN_TERMS = 40_000
+KNOWN_TERMS = 100_000
+AT_ONCE = 512
+_LOW_31 = np.uint64(0x7FFFFFFF7FFFFFFF)
+_HALF = np.float32(0.5)
+_LOG_SCALE = np.float32(62 * np.log(2.0))  # of two draws
 
 
-def _uniform(keys: np.ndarray, samples: int, kind: int) -> np.ndarray:
-    """In (0, 1): one number a key and sample, the same everywhere and always."""
-    lane = mix(np.arange(samples, dtype=np.uint64) * np.uint64(8) + np.uint64(kind + 1000 * SEED))
-    return ((mix(keys[:, None] ^ lane[None, :]) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+def gamma_table(bits: int = 16) -> np.ndarray:
+    """The gamma(2, 1) distribution as equally likely values, by halving its distribution function 1 - (1 + x) exp(-x)."""
+    wanted = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    low, high = np.zeros(1 << bits), np.full(1 << bits, 64.0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < wanted
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return high.astype(np.float32)
 
 
-def samples_of(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+def samples_of(keys: np.ndarray, weights: np.ndarray, samples: int, gamma: np.ndarray) -> np.ndarray:
     """For every term and sample its value ``a``; a document's sample is the term with the smallest.
 
-    r and c are gamma(2, 1), b uniform, all from the term's hash. With
-    t = floor(ln w / r + b) and y = exp(r (t - b)), a = c / (y exp(r)). Two documents
-    have the same smallest value with a probability of exactly their generalised Jaccard
-    similarity, the sum of smaller over the sum of larger weights, and as a is settled by
-    the term and t, equal values mean equal samples.
+    r and c are gamma(2, 1), b uniform, all from the term's hash: r one of the equally
+    likely values of ``gamma``, c the sum of two exponential draws. With
+    t = floor(ln w / r + b) and y = exp(r (t - b)), a = c / (y exp(r)); here is ln a.
+    Two documents have the same term and t at the smallest value with a probability of
+    exactly their generalised Jaccard similarity, the sum of smaller over the sum of
+    larger weights. What is returned holds ln a to a thousandth in its upper 16 bits and
+    a mark of the term and t in its lower 16, which also settles ties: the least value
+    carries its own mark.
     """
-    r = -np.log(_uniform(keys, samples, 0) * _uniform(keys, samples, 1))
-    c = -np.log(_uniform(keys, samples, 2) * _uniform(keys, samples, 3))
-    b = _uniform(keys, samples, 4)
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    return np.log(c) - r * (t - b) - r
+    lane = mix(np.arange(samples, dtype=np.uint64) + np.uint64(1000 * SEED))
+    bits = mix(keys[:, None] ^ lane[None, :])
+    halves = (bits & _LOW_31).view(np.int32)  # both halves of every word, without their signs
+    product = (halves[:, 0::2].astype(np.float32) + _HALF) * (halves[:, 1::2].astype(np.float32) + _HALF)
+    a = np.log(_LOG_SCALE - np.log(product))
+    bits *= np.uint64(0x9E3779B97F4A7C15)
+    bits ^= bits >> np.uint64(29)
+    quarters = bits.view(np.uint16)
+    r = gamma[quarters[:, 0::4]]
+    b = (quarters[:, 1::4].astype(np.float32) + _HALF) * np.float32(2.0**-16)
+    mark = quarters[:, 3::4].astype(np.uint32)
+    heavy = np.flatnonzero(weights > 1)  # of a weight of 1 t is always 0
+    if len(heavy):
+        t = np.floor(np.log(weights[heavy].astype(np.float32))[:, None] / r[heavy] + b[heavy])
+        a[heavy] -= r[heavy] * t
+        turned = (bits[heavy] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        mark[heavy] = np.where(t > 0, (turned >> np.uint64(48)).astype(np.uint32), mark[heavy])
+    a += r * (b - 1)
+    steps = np.clip((a + np.float32(48)) * np.float32(1024), 0, 65535).astype(np.uint32)  # of ln a from -48 to 16
+    return steps << np.uint32(16) | mark
 
 
 class Sampler:
@@ -47,32 +73,37 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.known: dict[tuple[bytes, int], int] = {}
-        self.values = np.empty((0, samples))
+        self.known: dict[bytes | tuple[bytes, int], int] = {}
+        self.values = np.empty((0, samples), np.uint32)
+        self.room = np.empty((1024, samples), np.uint32)
+        self.gamma = gamma_table()
 
     def fingerprints(self, texts: list[bytes]) -> list[bytes]:
         """Two bytes a sample. A text without words has the empty fingerprint."""
         if len(self.known) > KNOWN_TERMS:
             self.known, self.values = {}, self.values[:0]
-        bags = [list(Counter(t.split()).items()) for t in texts]
+        # a term is a word with its count, a count of 1 left out
+        bags = [[word if n == 1 else (word, n) for word, n in Counter(t.split()).items()] for t in texts]
         new = [term for term in dict.fromkeys(term for bag in bags for term in bag) if term not in self.known]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         if new:
-            keys = np.fromiter((xxhash.xxh64_intdigest(word, SEED) for word, _ in new), np.uint64, len(new))
-            weights = np.fromiter((count for _, count in new), np.float64, len(new))
-            parts = [samples_of(keys[i : i + 4096], weights[i : i + 4096], self.samples) for i in range(0, len(new), 4096)]
+            words = [term if type(term) is bytes else term[0] for term in new]
+            keys = np.fromiter((xxhash.xxh64_intdigest(word, SEED) for word in words), np.uint64, len(new))
+            weights = np.array([1 if type(term) is bytes else term[1] for term in new], np.float64)
+            parts = [samples_of(keys[i : i + AT_ONCE], weights[i : i + AT_ONCE], self.samples, self.gamma) for i in range(0, len(new), AT_ONCE)]
             self.values = np.concatenate((self.values, *parts))
         out = []
         for bag in bags:
             if not bag:
                 out.append(b"")
                 continue
-            codes = np.fromiter((self.known[term] for term in bag), np.int64, len(bag))
-            least = self.values[codes[:8192]].min(axis=0)
-            for at in range(8192, len(codes), 8192):
-                least = np.minimum(least, self.values[codes[at : at + 8192]].min(axis=0))
-            marks = mix(least.view(np.uint64)).astype(np.uint16)
-            out.append(marks.astype("<u2").tobytes())
+            codes = np.fromiter(map(self.known.__getitem__, bag), np.int64, len(bag))
+            least = None
+            for at in range(0, len(codes), len(self.room)):
+                some = codes[at : at + len(self.room)]
+                part = np.take(self.values, some, axis=0, out=self.room[: len(some)], mode="clip").min(axis=0)
+                least = part if least is None else np.minimum(least, part)
+            out.append(least.astype("<u2").tobytes())  # the lower 16 bits
         return out
 
 
@@ -116,8 +147,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FIELDS = (("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
-_RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = (("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+_RESULT = "id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(sampler: Sampler, ids: list, texts: list[str], marks: list[bytes]) -> list[tuple]:
@@ -125,7 +156,7 @@ def _compared(sampler: Sampler, ids: list, texts: list[str], marks: list[bytes])
     changed = [edited(a, b).encode(errors="replace") for a, b in zip(texts, texts[1:])]
     edits = sampler.fingerprints(changed)
     return [
-        (i, len(t), hashlib.sha256(c).hexdigest(), m.hex(), e.hex(), likeness(m, e), likeness(m, n))
+        (i, len(t), hashlib.sha256(c).hexdigest(), m, e, likeness(m, e), likeness(m, n))
         for i, t, c, m, e, n in zip(ids, texts, changed, marks, edits, marks[1:])
     ]
 
@@ -180,7 +211,8 @@ def edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 yield _batch(_compared(sampler, [i, None], [a, b], marks), None)
 
     result = inner.unionByName(pairs.mapInArrow(meet, _RESULT))
-    return result.withColumnRenamed("id", id_column)
+    readable = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return result.withColumns(readable).withColumnRenamed("id", id_column)
 
 
 def _batch(rows: list[tuple], borders: list[tuple] | None) -> pa.RecordBatch:
