@@ -23,7 +23,7 @@ RATE = 0.3
 DECAY = 1e-4
 SEED = 6
 CHUNK = 128
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = np.array([0x51, 0x52, 0x53, 0x54, 0x55, 0x56], np.uint64) << np.uint64(56)
@@ -257,11 +257,12 @@ def train(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_colum
     """Fit on at most ``fit_docs`` of the usable rows, the first by a hash of their id.
 
     Bounded by ``fit_docs`` texts of at most ``FIT_WORDS`` words each, taken from a place
-    chosen at random. Rows without text or language teach nothing.
+    chosen at random. Rows without text or language teach nothing. Ids are chosen without
+    reading texts; the texts of the chosen are then read with the filter pushed down.
     """
-    rows = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    chosen = rows.select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("y"))
-    ids = fitting_rows(chosen.select("h", "id", "y"), F.struct("h", "y"), fit_docs)
+    rows = docs.where(usable & F.col(lang_column).isNotNull())
+    chosen = rows.select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col(lang_column).cast("string").alias("y"), F.col(id_column).alias("id"))
+    ids = fitting_rows(chosen, fit_docs)
     if not ids:
         return fit([], [])
     # the cut of a text around a place that its id's hash chooses, so that what comes to the driver is bounded

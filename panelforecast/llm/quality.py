@@ -141,8 +141,8 @@ def train(stats: DataFrame, labels: DataFrame, usable: Column, id_column: str =
     known = labels.where(usable & F.col(label_column).isNotNull()).groupBy(id_column).agg(
         F.min(label_column).alias("y"), F.max(label_column).alias("other")
     )
-    rows = stats.join(known.where("y = other"), id_column).select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), "statistics", F.col("y").cast("double").alias("y"))
-    chosen = fitting_rows(rows, F.struct("h", "y", "statistics"), fit_rows)
+    rows = stats.join(known.where("y = other"), id_column).select(F.xxhash64(F.col(id_column).cast("string")).alias("h"), F.col("y").cast("double").alias("y"), "statistics")
+    chosen = fitting_rows(rows, fit_rows)
     x = np.array([r.statistics for r in chosen], dtype=np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.y for r in chosen], dtype=np.float64))
 
