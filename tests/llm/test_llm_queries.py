@@ -103,6 +103,52 @@ def test_near_copy_stage_keeps_the_smallest_of_each_group(stages):
     assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
 
 
+def plain_near_copies(texts):
+    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by comparing all."""
+    sets = {}
+    for i, text in texts.items():
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "", re.A)]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    ids = sorted(sets)
+    pairs = ((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    return [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_near_copy_stage_against_brute_force_jaccard(stages):
+    from test_llm_operators import union_find
+
+    _, before, after, _ = stages[1]
+    texts = {r.doc_id: r.text for r in before}
+    groups = union_find(sorted(texts), plain_near_copies(texts))
+    assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_near_copies_of_edited_texts(spark, monkeypatch, chunk):
+    """Edited copies on both sides of 0.8, chains, short texts, copies and a line that most texts share."""
+    import random
+
+    from panelforecast.llm import shingles
+    from test_llm_operators import docs_frame, union_find
+
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    rng, line = random.Random(8), "this very line is found in most of the texts of this test"
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = ["", " ", "one", "ONE", "one two three", "one two three four five", "one two three four five"]
+    for group in range(25):
+        base = [word() for _ in range(rng.choice([12, 60, 150]))]
+        for copy in range(rng.choice([2, 3, 12])):
+            edited = [word() if rng.random() < 0.008 * (copy % 4) else w for w in base]
+            texts.append(" ".join(edited) + (f" {line}" if group % 3 else ""))
+            if copy % 5 == 4:
+                base = edited
+    rng.shuffle(texts)
+    frame = docs_frame(spark, texts)
+    want = union_find(range(len(texts)), plain_near_copies(dict(enumerate(texts))))
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(frame).collect()}
+    assert got == want
+
+
 def test_secret_stage_masks_all_and_only_secrets(stages):
     from test_llm_operators import plain_base
 
