@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-PERIOD = 1000
 BLOCK_ROWS = 16
 ROWS_A_BUCKET = 1_000
+BROADCAST_SLOTS = 1 << 20
 
 
 def schedule(shares: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -20,12 +25,19 @@ def schedule(shares: dict[int, int]) -> list[tuple[int, int, int]]:
     """
     period = sum(shares.values())
     done = dict.fromkeys(shares, 0)
+    coming = [(0, s) for s in shares]
+    heapq.heapify(coming)
+    ready: list[tuple[int, int]] = []
     out = []
     for slot in range(period):
-        due = [(-(-(done[s] + 1) * period // a), s) for s, a in shares.items() if done[s] < a and done[s] * period // a <= slot]
-        source = min(due)[1]
+        while coming and coming[0][0] <= slot:
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * period // shares[s]), s))
+        source = heapq.heappop(ready)[1]
         out.append((source, done[source], slot))
         done[source] += 1
+        if done[source] < shares[source]:
+            heapq.heappush(coming, (done[source] * period // shares[source], source))
     return out
 
 
@@ -35,17 +47,19 @@ def source_weights(docs: DataFrame, source_column: str = "source") -> DataFrame:
     return counts.select("source", F.floor(F.sqrt("n")).cast("long").alias("weight"))
 
 
-def _shares(weights: list[tuple], period: int) -> list[tuple[int, object, int]]:
-    """Whole slots of a period, at least one a source, by largest remainders; ties by the source's order."""
+def _shares(weights: list[tuple], period: int | None = None) -> list[tuple[int, object, int]]:
+    """``(number, source, share)`` in the order of the sources: the weights without their common divisor.
+
+    They add up to the shortest period that holds the weights exactly; with ``period`` to
+    the longest repeat of it that is no longer. Where not even one fits, nothing is rounded.
+    """
     ranked = sorted(weights, key=lambda w: (w[0] is not None, w[0] or ""))
-    if len(ranked) > period:
-        raise ValueError(f"{len(ranked)} sources need a period of more than {period} slots")
-    total, free = sum(w for _, w in ranked), period - len(ranked)
-    whole = [w * free // total for _, w in ranked]
-    rest = sorted(range(len(ranked)), key=lambda i: (-(ranked[i][1] * free % total), i))
-    for i in rest[: free - sum(whole)]:
-        whole[i] += 1
-    return [(i, s, 1 + k) for i, ((s, _), k) in enumerate(zip(ranked, whole))]
+    common = math.gcd(*(w for _, w in ranked)) or 1
+    exact = sum(w for _, w in ranked) // common
+    if period is not None and exact > period:
+        raise ValueError(f"{len(ranked)} sources with these weights need a period of {exact} slots, more than {period}")
+    repeat = period // exact if period is not None and exact else 1
+    return [(i, s, w // common * repeat) for i, (s, w) in enumerate(ranked)]
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -70,7 +84,7 @@ def pfair_mix(
     weights: DataFrame | dict | None = None,
     id_column: str = "doc_id",
     source_column: str = "source",
-    period: int = PERIOD,
+    period: int | None = None,
     block_rows: int = BLOCK_ROWS,
     whole_rows: bool = False,
 ) -> DataFrame:
@@ -78,39 +92,46 @@ def pfair_mix(
 
     A source's rows are shuffled by the MD5 of their id and cut into blocks of
     ``block_rows``; its k-th block takes the slot that the schedule gives it. The schedule
-    repeats every ``period`` slots, so only one period is ever worked out and blocks
-    beyond it follow by arithmetic, whatever their number. While a source lasts, it is
-    less than one block off its weight at every slot; slots of a source that has ended
-    stay empty, which leaves the others' proportions as they are. No row is dropped or
-    repeated: reading by slot, then ``source_row``, gives the mixture.
-
-    ``weights`` (source to positive whole number) default to ``source_weights``; a source
-    without a weight gets 1, more sources than slots of a period raise ``ValueError``. A
-    null source is a source of its own. Rows with equal ids come next to each other. With
-    ``whole_rows`` the rows themselves come along as the struct ``row``. Rows are numbered
-    within buckets of a source, so that the largest source is never sorted in one task.
-    Empty input gives no rows.
+    repeats after the sum of the weights (without their common divisor), so only one period
+    is ever worked out and blocks beyond it follow by arithmetic, whatever their number.
+    While a source lasts, it is less than one block off the weight asked for at every slot;
+    slots of a source that has ended stay empty, which leaves the others' proportions as
+    they are. No row is dropped or repeated: reading by slot, then ``source_row``, gives the
+    mixture.
+
+    ``weights`` (source to positive whole number, a dict or a table ``(source, weight)``,
+    the largest of several) default to ``source_weights``; a source without a weight gets 1.
+    The sources and one period pass through the driver. With ``period`` weights that no
+    period of so many slots holds exactly raise ``ValueError``. A null source is a source of
+    its own. Rows with equal ids come next to each other. With ``whole_rows`` the rows
+    themselves come along as the struct ``row``. Rows are numbered within buckets of a
+    source, so that the largest source is never sorted in one task. Empty input gives no rows.
     """
     spark = docs.sparkSession
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), *row)
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    counted = source_weights(rows).limit(period + 1).collect()
-    if weights is None:
-        given = {r.source: r.weight for r in counted}
-    else:
-        given = weights if isinstance(weights, dict) else {r.source: r.weight for r in weights.limit(period + 1).collect()}
-    shares = _shares([(r.source, max(1, int(given.get(r.source, 1)))) for r in counted], period)
-    plan = spark.createDataFrame(schedule({i: a for i, _, a in shares}), "number int, k int, at int")
-    share = spark.createDataFrame(shares, "number int, name string, share int")
-    # both tables have at most ``period`` rows
-    numbered = _numbered(rows.join(F.broadcast(share), rows["source"].eqNullSafe(share["name"])).drop("name"))
-    placed = numbered.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("k", F.pmod("block", "share").cast("int"))
-    return placed.join(F.broadcast(plan), ["number", "k"]).select(
+    counted = source_weights(rows)
+    if isinstance(weights, DataFrame):
+        given = weights.groupBy(F.col("source").cast("string").alias("name")).agg(F.max("weight").alias("given"))
+        counted = counted.join(given, counted["source"].eqNullSafe(given["name"]), "left").select("source", F.col("given").alias("weight"))
+    asked = [(r.source, r.weight) for r in counted.collect()]
+    if isinstance(weights, dict):
+        asked = [(s, weights.get(s)) for s, _ in asked]
+    shares = _shares([(s, max(1, int(w or 1))) for s, w in asked], period)
+    slots = sum(a for *_, a in shares)
+    planned = np.array(schedule({i: a for i, _, a in shares}), np.int64).reshape(-1, 3)
+    plan = spark.createDataFrame(pa.table({c: planned[:, i] for i, c in enumerate(("number", "k", "at"))}))
+    share = spark.createDataFrame(shares, "number long, name string, share long")
+    if slots <= BROADCAST_SLOTS:  # there are no more sources than slots
+        plan, share = F.broadcast(plan), F.broadcast(share)
+    numbered = _numbered(rows.join(share, rows["source"].eqNullSafe(share["name"])).drop("name"))
+    placed = numbered.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("k", F.pmod("block", "share"))
+    return placed.join(plan, ["number", "k"]).select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
         "source_row",
         "block",
-        (F.floor(F.col("block") / F.col("share")) * period + F.col("at")).alias("slot"),
+        (F.floor(F.col("block") / F.col("share")) * slots + F.col("at")).alias("slot"),
         *(["row"] if whole_rows else []),
     )

@@ -261,6 +261,33 @@ def test_too_many_sources(spark):
         mixing.pfair_mix(spark.createDataFrame([(i, "x", "en", str(i), 1) for i in range(5)], DOC), period=4)
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_mixture_is_within_one_block_of_the_weights_asked_for(spark, as_table):
+    """Weights that no period of 1,000 slots holds, over more than three thousand slots."""
+    asked = {"a": 1, "b": 2, "c": 4}
+    blocks = {"a": 450, "b": 900, "c": 1800}
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in blocks.items() for _ in range(n))], "doc_id long, source string")
+    weights = spark.createDataFrame(list(asked.items()), "source string, weight long") if as_table else asked
+    got = {r.slot: r.source for r in mixing.pfair_mix(frame, weights=weights, block_rows=1).collect()}
+    assert sorted(got) == list(range(3150))
+    had = Counter()
+    for slot in range(3150):
+        had[got[slot]] += 1
+        assert all(abs(had[s] - (slot + 1) * w / 7) < 1 for s, w in asked.items())
+
+
+def test_one_heavy_source_and_more_sources_than_a_thousand(spark):
+    asked = {f"s{i:04}": 1 for i in range(1200)} | {"s0000": 1199}
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate([*asked, *["s0000"] * 1198])], "doc_id long, source string")
+    weights = spark.createDataFrame(list(asked.items()), "source string, weight long")
+    got = {r.slot: r.source for r in mixing.pfair_mix(frame, weights=weights, block_rows=1).collect()}
+    assert sorted(got) == list(range(2398))
+    heavy = 0
+    for slot in range(2398):
+        heavy += got[slot] == "s0000"
+        assert abs(heavy - (slot + 1) / 2) < 1
+
+
 # ---- 5 secrets
 
 
