@@ -184,6 +184,14 @@ def test_token_stage_decodes_to_its_input(stages):
     assert {r.doc_id: r.decoded_sha256 for r in after} == want
 
 
+def test_final_table_has_the_order_of_the_mixture(spark, stages):
+    _, before, after, _ = stages[4]
+    frame = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(r.doc_id, r.slot, r.source_row) for r in mixing.pfair_mix(frame).orderBy("slot", "source_row").collect()]
+    assert [(r.doc_id, r.slot, r.source_row) for r in sorted(after, key=lambda r: (r.slot, r.source_row))] == want
+    assert len({(r.slot, r.source_row) for r in after}) == len(after)
+
+
 def test_pipeline_survives_hostile_tables(spark, tmp_path):
     rows = [(1, "a plain text", "en", "s", 12), (1, "a plain text", "en", "s", 12), (2, None, None, None, None), (None, "no id here", "en", None, 9), (3, "", "de", "t", 0), (4, "token = abcdefghijklmnop", "en", "t", 24)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
