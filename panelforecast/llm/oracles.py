@@ -57,3 +57,46 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reac
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT c.vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
 """
+
+URLS = r"""
+WITH a AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1), '') AS query FROM pages),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS r(verdict, h, p)),
+b AS (SELECT page_id, host, path, arg_max(struct_pack(verdict := r.verdict, rule := h || p), (length(h || p), length(h))) AS found,
+             regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\.+$', '') AS bare,
+             regexp_replace('/' || path, '/(\.?/)+', '/', 'g') AS way, CASE WHEN query = '?' THEN '' ELSE query END AS query
+      FROM a LEFT JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path, query),
+c AS (SELECT *, CASE WHEN bare <> '' THEN bare || way || query END AS canonical, CASE WHEN found.rule IS NOT NULL THEN found END AS f FROM b)
+SELECT page_id, host, path, f.rule AS rule,
+       coalesce(f.verdict, CASE WHEN canonical IN (SELECT canonical FROM c WHERE f.verdict = 'block' AND canonical IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c
+"""
+
+# crc32 by its table of 256 steps, over the distinct words
+DRAWS = r"""
+WITH RECURSIVE
+bits AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS r(i)
+         UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents),
+m AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) AS e GROUP BY doc_id, w),
+mw AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM m) AS e GROUP BY w),
+hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM mw) AS u),
+bytes AS (SELECT w, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || x[2 * i - 1:2 * i] AS BIGINT)) AS b FROM hexed),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, step[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket
+           FROM bytes, steps),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM mw JOIN hashed USING (w) GROUP BY bucket),
+g AS (SELECT r.i AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0E0) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+               / ((coalesce(s.n, 0) + 1.0E0) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+      FROM range(10000) AS r(i) LEFT JOIN s ON s.bucket = r.i LEFT JOIN t ON t.bucket = r.i),
+x AS (SELECT doc_id, sum(n) AS f, sum(n * gain) AS total FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+y AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce((total - ((total % f) + f) % f) // f, 0) AS BIGINT) AS weight,
+             CAST('0x' || sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+      FROM d LEFT JOIN x ON d.doc_id = x.doc_id),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5E0) / 4294967296.0E0))) AS BIGINT) AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN CAST(place AS BIGINT) END AS rank FROM r
+"""

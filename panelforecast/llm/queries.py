@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforecast.llm import extraction, language, mixing, oracles, pieces, quality, repeats, sampling, secrets
+from panelforecast.llm import extraction, language, mixing, oracles, pieces, quality, repeats, resampling, sampling, secrets, urls, whitening
 from panelforecast.llm.common import held_out, read
 from panelforecast.llm.simhash import near_duplicates
 from panelforecast.llm.vectors import near_vectors
@@ -67,6 +67,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(read(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages")).select("page_id", "judged.*")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +92,9 @@ QUERIES = {
         op8_html_extraction,
         op9_weighted_fingerprints,
         op10_embedding_dedup,
+        op11_embedding_whitening,
+        op12_url_filter,
+        op13_importance_resampling,
     )
 }
 ORACLES: dict[str, str] = {
@@ -87,4 +102,6 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": oracles.REPEATS,
     "op8_html_extraction": oracles.PAGES,
     "op10_embedding_dedup": oracles.VECTORS,
+    "op12_url_filter": oracles.URLS,
+    "op13_importance_resampling": oracles.DRAWS,
 }
