@@ -9,9 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforecast.llm import language, mixing, pieces, secrets, shingles
-from panelforecast.llm.common import lean_stage, read
-from panelforecast.sources.stages import stage
+from panelforecast.llm import language, mixing, pieces, secrets, simhash
+from panelforecast.llm.common import in_written_order, lean_stage, read
 
 #: Documents whose language has less than this mean share of their words are rejected, and those without a letter.
 LEAST_SHARE = 0.4
@@ -37,11 +36,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard), directly or through
-    others; the narrower fingerprints of op1 are not asked here. Rows of one id are one document and stay together; rows without an id stay.
+    Near copies have fingerprints of three-word shingles that differ in at most 3 bits, directly or
+    through others. Rows of one id and other texts are documents of their own; of equal rows one stays.
     """
-    groups = shingles.near_copies(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(stage(groups, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,13 +62,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, the digest of what they decode to, and the document's place in the mixture.
 
-    Files are read in an order of their sizes, so what ``source_mixing`` has written in order
-    comes in another one. The same mixture of the same rows gives the place again: ordered by
-    ``slot``, then ``source_row``, the table is the mixture.
+    Files are read in an order of their sizes, so the order that ``source_mixing`` has written
+    is taken from the part numbers and the rows in them: ordered by ``place`` the table is the mixture.
     """
-    placed = mixing.pfair_mix(docs, whole_rows=True)
-    encoded = pieces.round_trip(placed.select(F.struct("doc_id", "slot", "source_row").alias("place"), "row.text"), "place")
-    return encoded.select("place.doc_id", *[c for c in encoded.columns if c != "place"], "place.slot", "place.source_row")
+    placed = in_written_order(docs.select("doc_id", "text"), "place")
+    encoded = pieces.round_trip(placed.select(F.struct("doc_id", "place").alias("placed"), "text"), "placed")
+    return encoded.select("placed.doc_id", *[c for c in encoded.columns if c != "placed"], "placed.place")
 
 
 STAGES: list[tuple[str, Stage]] = [

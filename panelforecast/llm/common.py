@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from panelforecast.operators.joins import lookup_join
 from panelforecast.sources.stages import stage
 
 SLICE_BYTES = 2 << 20
@@ -75,3 +77,24 @@ def lean_stage(df: DataFrame, name: str) -> DataFrame:
         return stage(df, name)
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def in_written_order(docs: DataFrame, out: str) -> DataFrame:
+    """The rows with their position, from 0, in the order in which their files were written.
+
+    Parts are ordered by their number, and rows as they lie in them: the order that a sorted
+    table had when Spark wrote it, which reading does not keep. Rows that come from no file
+    are written first, as they come.
+    """
+    file, row = "_file of the row", "_row in the file"
+    try:
+        rows = docs.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return in_written_order(stage(docs, "as-given"), out)
+    name = F.element_at(F.split(F.col(f"`{file}`"), "/"), -1)
+    part = F.coalesce(F.try_to_number(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("9999999999")), F.lit(0))
+    files = rows.groupBy(f"`{file}`").agg((F.max(f"`{row}`") + 1).alias("rows")).withColumn("part", part)
+    before = Window.orderBy("part", f"`{file}`").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    starts = files.select(f"`{file}`", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(out))
+    placed = lookup_join(rows, starts, file, "inner", spread_by=row)
+    return placed.withColumn(out, F.col(out) + F.col(f"`{row}`")).drop(file, row)

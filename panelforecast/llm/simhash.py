@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforecast.llm.common import slices
 from panelforecast.llm.graph import components
+from panelforecast.operators.joins import lookup_join
 from panelforecast.sources.stages import stage
 
 BITS = 64
@@ -39,12 +40,13 @@ def _fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(set_bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
     """``(id, fp)``: the 64-bit SimHash of every row's whole text, as a signed long.
 
     Words are runs without ASCII white space, A-Z in lower case; shingles are
     space-joined runs of words, repeats counted. Fewer words make one shingle; a
-    null text and one without words have fingerprint zero.
+    null text and one without words have fingerprint zero. ``digest`` adds
+    ``text_digest``, which tells rows of one id and other texts apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +54,18 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for part in slices(batch):
                 texts = part.column("text").cast(pa.large_binary()).to_pylist()
                 marks = pa.array([_fingerprint(t or b"", shingle) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), marks], ["id", "fp"])
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], marks], [*kept, "fp"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.col(text_column).cast("string")
+    also = [text_digest(text).alias("text_digest")] if digest else []
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), *also)
+    return rows.mapInArrow(run, "id long, text_digest binary, fp long" if digest else "id long, fp long")
+
+
+def text_digest(text: Column) -> Column:
+    """256 bits of a text; a null one is like an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -102,9 +112,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     gives no rows.
     """
     marked = stage(fingerprints(docs, id_column, text_column, shingle), "simhash")
-    classes = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    roots = components(links(classes.select("fp")), "fp", "near")
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _rooted(marked)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = stage(placed.join(named, "root").select("fp", "component_id"), "simhash-components")
     return marked.join(of_fp, "fp").select(
@@ -112,3 +120,42 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def _rooted(marked: DataFrame) -> DataFrame:
+    """``(fp, least, root)`` of every fingerprint: its smallest id, and the smallest fingerprint that links reach."""
+    classes = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    roots = components(links(classes.select("fp")), "fp", "near")
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of every group of near duplicates, with all its columns.
+
+    Groups are those of ``near_duplicates``. The row with the smallest id stays; a row with an id
+    comes before one without, then the smaller digest of the text, then the smaller row in the
+    order of its columns decide. So rows of one id and unlike texts are documents of their own, and
+    of equal rows one stays. Empty input gives no rows.
+
+    Only ids, digests and fingerprints are grouped. Texts move once, to meet the rows that are to
+    go; where these are few they do not move.
+    """
+    rows = stage(fingerprints(docs, id_column, text_column, shingle, digest=True), "simhash")
+    rooted = stage(_rooted(rows).select("fp", "root"), "simhash-roots")
+    each = rows.groupBy("fp", "id", "text_digest").agg(F.count(F.lit(1)).alias("copies")).join(rooted, "fp")
+    each = stage(each.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "text_digest").alias("row"), "copies"), "simhash-rows")
+    first = each.groupBy("root").agg(F.min("row").alias("first"))
+    told = lookup_join(each.withColumn("spread", F.col("row.text_digest")), first, "root", "inner", spread_by="spread")
+    stays = F.col("row") == F.col("first")
+    fate = stage(told.where(~stays | (F.col("copies") > 1)).select("row.id", "row.text_digest", stays.alias("stays")), "simhash-fates")
+    name = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*name)
+    own_id, text = (F.col(name[docs.columns.index(c)]) for c in (id_column, text_column))
+    keys = (own_id.cast("long").eqNullSafe(F.col("id"))) & (text_digest(text.cast("string")) == F.col("text_digest"))
+    if fate.where("stays").isEmpty():
+        return named.join(fate, keys, "left_anti").toDF(*docs.columns)
+    joined = named.join(fate, keys, "left")
+    alone = joined.where("stays is null").select(*name)
+    # equal keys: the smallest of the rows, found on the map side first, however many there are
+    several = joined.where("stays").groupBy("id", "text_digest").agg(F.min(F.struct(*name)).alias("row")).select("row.*")
+    return alone.unionByName(several).toDF(*docs.columns)

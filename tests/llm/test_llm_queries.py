@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, duck
 from panelforecast.llm import language, mixing, queries, secrets, simhash
-from panelforecast.llm.common import read
+from panelforecast.llm.common import in_written_order, read
 
 COLUMNS = {
     "op1_simhash": ["doc_id", "fingerprint", "component_id"],
@@ -23,6 +23,8 @@ COLUMNS = {
     "op8_html_extraction": ["page_id", "url", "text", "n_chars"],
     "op9_weighted_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op10_embedding_dedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op12_url_filter": ["page_id", "host", "path", "rule", "verdict"],
+    "op13_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
@@ -33,7 +35,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_has_a_row_for_every_row(spark, sf_dir, name):
-    table = {"op8_html_extraction": "pages", "op10_embedding_dedup": "embeddings"}.get(name, "documents")
+    table = {"op8_html_extraction": "pages", "op10_embedding_dedup": "embeddings", "op12_url_filter": "pages"}.get(name, "documents")
     got = entry.queries()[name](spark, sf_dir)
     assert got.columns == COLUMNS[name]
     key = got.columns[0]
@@ -103,50 +105,24 @@ def test_near_copy_stage_keeps_the_smallest_of_each_group(stages):
     assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
 
 
-def plain_near_copies(texts):
-    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, by comparing all."""
-    sets = {}
-    for i, text in texts.items():
-        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "", re.A)]
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-    ids = sorted(sets)
-    pairs = ((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
-    return [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+def test_near_copy_stage_with_shared_ids_and_equal_rows(spark):
+    rng = __import__("random").Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    a, b, c, d = (text(200) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (None, d), (None, d), (None, a), (5, ""), (4, None), (None, " "), (6, b + " one"), (7, b)]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k % 2}", k // 3, "x", True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, id string, stays boolean")
+    got = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(1, a), (2, b), (3, c), (0, d), (4, "")])
+    assert {(r.source, r.n_chars) for r in got.collect() if r.doc_id == 3} == {("s0", 1)}  # the smallest of the three rows
+    distinct = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(distinct).collect()) == [(1, a), (2, b)]
 
 
-def test_near_copy_stage_against_brute_force_jaccard(stages):
-    from test_llm_operators import union_find
-
-    _, before, after, _ = stages[1]
-    texts = {r.doc_id: r.text for r in before}
-    groups = union_find(sorted(texts), plain_near_copies(texts))
-    assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
-
-
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_near_copies_of_edited_texts(spark, monkeypatch, chunk):
-    """Edited copies on both sides of 0.8, chains, short texts, copies and a line that most texts share."""
-    import random
-
-    from panelforecast.llm import shingles
-    from test_llm_operators import docs_frame, union_find
-
-    monkeypatch.setattr(shingles, "CHUNK", chunk)
-    rng, line = random.Random(8), "this very line is found in most of the texts of this test"
-    word = lambda: f"w{rng.randrange(400)}"
-    texts = ["", " ", "one", "ONE", "one two three", "one two three four five", "one two three four five"]
-    for group in range(25):
-        base = [word() for _ in range(rng.choice([12, 60, 150]))]
-        for copy in range(rng.choice([2, 3, 12])):
-            edited = [word() if rng.random() < 0.008 * (copy % 4) else w for w in base]
-            texts.append(" ".join(edited) + (f" {line}" if group % 3 else ""))
-            if copy % 5 == 4:
-                base = edited
-    rng.shuffle(texts)
-    frame = docs_frame(spark, texts)
-    want = union_find(range(len(texts)), plain_near_copies(dict(enumerate(texts))))
-    got = {r.doc_id: r.component_id for r in shingles.near_copies(frame).collect()}
-    assert got == want
+def test_rows_of_one_key_may_be_most_of_the_table(spark):
+    rows = [(7, "the same words " * 20)] * 3000 + [(i, f"text {i} of its own {i * 37}") for i in range(100)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sum(r.doc_id == 7 and r.text.startswith("the") for r in kept) == 1
 
 
 def test_secret_stage_masks_all_and_only_secrets(stages):
@@ -185,11 +161,24 @@ def test_token_stage_decodes_to_its_input(stages):
 
 
 def test_final_table_has_the_order_of_the_mixture(spark, stages):
-    _, before, after, _ = stages[4]
-    frame = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
-    want = [(r.doc_id, r.slot, r.source_row) for r in mixing.pfair_mix(frame).orderBy("slot", "source_row").collect()]
-    assert [(r.doc_id, r.slot, r.source_row) for r in sorted(after, key=lambda r: (r.slot, r.source_row))] == want
-    assert len({(r.slot, r.source_row) for r in after}) == len(after)
+    _, mixed, _, _ = stages[3]
+    frame = spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r.doc_id for r in mixing.pfair_mix(frame).orderBy("slot", "source_row").collect()]
+    _, _, after, _ = stages[4]
+    assert [r.doc_id for r in sorted(after, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in after) == list(range(len(after)))
+
+
+def test_written_order_of_many_files_and_of_no_file(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("n"), F.xxhash64("id").alias("rows"), F.lit(1).alias("part"))
+    rows.repartitionByRange(12, "rows").sortWithinPartitions("rows").write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/t")
+    placed = in_written_order(spark.read.parquet(f"{tmp_path}/t"), "place")
+    assert placed.columns == ["n", "rows", "part", "place"]
+    got = placed.orderBy("place").collect()
+    assert [r.place for r in got] == list(range(5000)) and [r["rows"] for r in got] == sorted(r["rows"] for r in got)
+    made = spark.createDataFrame([(i,) for i in range(50)], "n int")
+    assert sorted(r.place for r in in_written_order(made, "place").collect()) == list(range(50))
+    assert in_written_order(made.where("n < 0"), "place").collect() == []
 
 
 def test_pipeline_survives_hostile_tables(spark, tmp_path):
@@ -204,5 +193,5 @@ def test_pipeline_survives_hostile_tables(spark, tmp_path):
 
 def test_entry_registers_all(spark):
     names = list(entry.queries())
-    assert [n for n in names if re.match(r"op\d+_", n)] == list(COLUMNS) and "pipeline" in names
+    assert [n for n in names if re.match(r"op\d+_", n)] == sorted([*COLUMNS, "op11_embedding_whitening"], key=lambda n: int(re.search(r"\d+", n)[0])) and "pipeline" in names
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
