@@ -7,16 +7,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_ROWS = 16
 ROWS_A_BUCKET = 1_000
 BROADCAST_SLOTS = 1 << 20
 
 
-def schedule(shares: dict[int, int]) -> list[tuple[int, int, int]]:
+def schedule(shares: dict[int, int], blocks: dict[int, int] | None = None) -> list[tuple[int, int, int]]:
     """``(source, k, slot)`` of one period, by earliest deadline first.
 
+    With ``blocks``, how many blocks each source has, it ends as soon as these have their slots.
+
     A source with the share a of a period of Q slots has its k-th block (from 0)
     released at slot floor(k Q / a) and due by slot ceil((k + 1) Q / a). In every slot the
     released block with the earliest deadline goes, of equal ones the source with the
@@ -29,22 +31,25 @@ def schedule(shares: dict[int, int]) -> list[tuple[int, int, int]]:
     heapq.heapify(coming)
     ready: list[tuple[int, int]] = []
     out = []
+    left = sum(min(a, blocks[s]) for s, a in shares.items()) if blocks is not None else period
     for slot in range(period):
+        if not left:
+            break
         while coming and coming[0][0] <= slot:
             s = heapq.heappop(coming)[1]
             heapq.heappush(ready, (-(-(done[s] + 1) * period // shares[s]), s))
         source = heapq.heappop(ready)[1]
         out.append((source, done[source], slot))
+        left -= blocks is None or done[source] < blocks[source]
         done[source] += 1
         if done[source] < shares[source]:
             heapq.heappush(coming, (done[source] * period // shares[source], source))
     return out
 
 
-def source_weights(docs: DataFrame, source_column: str = "source") -> DataFrame:
-    """``(source, weight)``: the root of a source's row count, rounded down, the usual flattening of large sources."""
-    counts = docs.groupBy(F.col(source_column).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("source", F.floor(F.sqrt("n")).cast("long").alias("weight"))
+def flattened(rows: Column) -> Column:
+    """The default weight of a source: the root of its row count, rounded down, the usual flattening of large sources."""
+    return F.floor(F.sqrt(rows)).cast("long")
 
 
 def _shares(weights: list[tuple], period: int | None = None) -> list[tuple[int, object, int]]:
@@ -92,15 +97,16 @@ def pfair_mix(
 
     A source's rows are shuffled by the MD5 of their id and cut into blocks of
     ``block_rows``; its k-th block takes the slot that the schedule gives it. The schedule
-    repeats after the sum of the weights (without their common divisor), so only one period
-    is ever worked out and blocks beyond it follow by arithmetic, whatever their number.
+    repeats after the sum of the weights (without their common divisor), so at most one period
+    is ever worked out, no further than there are blocks, and blocks beyond it follow by
+    arithmetic, whatever their number.
     While a source lasts, it is less than one block off the weight asked for at every slot;
     slots of a source that has ended stay empty, which leaves the others' proportions as
     they are. No row is dropped or repeated: reading by slot, then ``source_row``, gives the
     mixture.
 
     ``weights`` (source to positive whole number, a dict or a table ``(source, weight)``,
-    the largest of several) default to ``source_weights``; a source without a weight gets 1.
+    the largest of several) default to ``flattened``; a source without a weight gets 1.
     The sources and one period pass through the driver. With ``period`` weights that no
     period of so many slots holds exactly raise ``ValueError``. A null source is a source of
     its own. Rows with equal ids come next to each other. With ``whole_rows`` the rows
@@ -111,19 +117,22 @@ def pfair_mix(
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), *row)
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    counted = source_weights(rows)
+    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("weight", flattened(F.col("n")))
     if isinstance(weights, DataFrame):
         given = weights.groupBy(F.col("source").cast("string").alias("name")).agg(F.max("weight").alias("given"))
-        counted = counted.join(given, counted["source"].eqNullSafe(given["name"]), "left").select("source", F.col("given").alias("weight"))
-    asked = [(r.source, r.weight) for r in counted.collect()]
+        counted = counted.join(given, counted["source"].eqNullSafe(given["name"]), "left").select("source", "n", F.col("given").alias("weight"))
+    found = counted.collect()
+    asked = [(r.source, r.weight) for r in found]
     if isinstance(weights, dict):
         asked = [(s, weights.get(s)) for s, _ in asked]
     shares = _shares([(s, max(1, int(w or 1))) for s, w in asked], period)
     slots = sum(a for *_, a in shares)
-    planned = np.array(schedule({i: a for i, _, a in shares}), np.int64).reshape(-1, 3)
+    blocks = {r.source: -(-r.n // block_rows) for r in found}
+    planned = np.array(schedule({i: a for i, _, a in shares}, {i: blocks[s] for i, s, _ in shares}), np.int64).reshape(-1, 3)
     plan = spark.createDataFrame(pa.table({c: planned[:, i] for i, c in enumerate(("number", "k", "at"))}))
     share = spark.createDataFrame(shares, "number long, name string, share long")
-    if slots <= BROADCAST_SLOTS:  # there are no more sources than slots
+    if len(planned) <= BROADCAST_SLOTS:  # there are no more sources than slots worked out
         plan, share = F.broadcast(plan), F.broadcast(share)
     numbered = _numbered(rows.join(share, rows["source"].eqNullSafe(share["name"])).drop("name"))
     placed = numbered.withColumn("block", F.floor(F.col("source_row") / block_rows)).withColumn("k", F.pmod("block", "share"))

@@ -2,25 +2,22 @@
 
 MIX = """
 WITH RECURSIVE
-w AS (SELECT source, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS w, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
+c AS (SELECT source, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS w, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
       FROM documents GROUP BY source),
-t AS (SELECT CAST(sum(w) AS BIGINT) AS total, 1000 - count(*) AS free FROM w),
-b AS (SELECT source, i, w * free // total AS q, (w * free) % total AS rem FROM w, t),
-r AS (SELECT *, row_number() OVER (ORDER BY rem DESC, i) AS rk, (SELECT free FROM t) - sum(q) OVER () AS extra FROM b),
-shares AS (SELECT source, i, CAST(1 + q + CASE WHEN rk <= extra THEN 1 ELSE 0 END AS BIGINT) AS a FROM r),
-lists AS (SELECT list(a ORDER BY i) AS a FROM shares),
+shares AS (SELECT source, i, w // (SELECT list_reduce(list(w), lambda x, y: greatest(gcd(x, y), 1)) FROM c) AS a FROM c),
+lists AS (SELECT list(a ORDER BY i) AS a, CAST(sum(a) AS BIGINT) AS q FROM shares),
 steps AS (
-  SELECT 0 AS t, a, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS k FROM lists
+  SELECT 0 AS t, a, q, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS k FROM lists
   UNION ALL
-  SELECT t + 1, a, list_transform(range(1, len(a) + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p, done[p]
-  FROM (SELECT t, a, done, list_position(due, list_min(due)) AS p
-        FROM (SELECT t, a, done, list_transform(range(1, len(a) + 1), lambda j:
-                CASE WHEN done[j] < a[j] AND done[j] * 1000 // a[j] <= t THEN ((done[j] + 1) * 1000 + a[j] - 1) // a[j] ELSE 1000000000 END) AS due
-              FROM steps WHERE t < 1000))),
+  SELECT t + 1, a, q, list_transform(range(1, len(a) + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p, done[p]
+  FROM (SELECT t, a, q, done, list_position(due, list_min(due)) AS p
+        FROM (SELECT t, a, q, done, list_transform(range(1, len(a) + 1), lambda j:
+                CASE WHEN done[j] < a[j] AND done[j] * q // a[j] <= t THEN ((done[j] + 1) * q + a[j] - 1) // a[j] END) AS due
+              FROM steps WHERE t < q))),
 plan AS (SELECT pick - 1 AS i, k, t - 1 AS at FROM steps WHERE t > 0),
 n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS source_row FROM documents)
 SELECT n.doc_id, n.source, n.source_row, n.source_row // 16 AS block,
-       CAST((n.source_row // 16) // s.a * 1000 + p.at AS BIGINT) AS slot
+       CAST((n.source_row // 16) // s.a * (SELECT q FROM lists) + p.at AS BIGINT) AS slot
 FROM n JOIN shares s ON n.source IS NOT DISTINCT FROM s.source JOIN plan p ON p.i = s.i AND p.k = (n.source_row // 16) % s.a
 """
 

@@ -276,6 +276,20 @@ def test_mixture_is_within_one_block_of_the_weights_asked_for(spark, as_table):
         assert all(abs(had[s] - (slot + 1) * w / 7) < 1 for s, w in asked.items())
 
 
+def test_long_periods_are_worked_out_no_further_than_the_blocks(spark):
+    weights = {"a": 1_000_003, "b": 999_999_937}
+    frame = spark.createDataFrame([(i, "a" if i % 5 == 0 else "b") for i in range(200)], "doc_id long, source string")
+    got = mixing.pfair_mix(frame, weights=weights, block_rows=20).collect()
+    total = sum(weights.values())
+    slots = {(r.source, r.block): r.slot for r in got}
+    assert len(slots) == 10 and len(set(slots.values())) == 10
+    for (s, k), slot in slots.items():
+        assert k * total // weights[s] <= slot < -(-(k + 1) * total // weights[s])
+    whole = {(s, k): slot for s, k, slot in mixing.schedule({0: 7, 1: 30, 2: 5})}
+    some = {(s, k): slot for s, k, slot in mixing.schedule({0: 7, 1: 30, 2: 5}, {0: 2, 1: 40, 2: 0})}
+    assert some.items() <= whole.items() and {(0, 1), (1, 29)} <= some.keys()
+
+
 def test_one_heavy_source_and_more_sources_than_a_thousand(spark):
     asked = {f"s{i:04}": 1 for i in range(1200)} | {"s0000": 1199}
     frame = spark.createDataFrame([(i, s) for i, s in enumerate([*asked, *["s0000"] * 1198])], "doc_id long, source string")

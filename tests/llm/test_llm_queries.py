@@ -33,6 +33,15 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert compare(entry.queries()[name](spark, sf_dir), queries.ORACLES[name], duck(sf_dir)) == ""
 
 
+def test_mixing_sql_holds_for_unequal_sources(spark, sf_dir, tmp_path):
+    sizes = {"a": 900, "b": 250, None: 40, "d": 37, "e": 3}
+    rows = [(i, "x", "en", s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck(sf_dir)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(queries.op4_source_mixing(spark, str(tmp_path)), queries.ORACLES["op4_source_mixing"], con) == ""
+
+
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_has_a_row_for_every_row(spark, sf_dir, name):
     table = {"op8_html_extraction": "pages", "op10_embedding_dedup": "embeddings", "op12_url_filter": "pages"}.get(name, "documents")
