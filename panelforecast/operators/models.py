@@ -16,10 +16,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforecast.functions.distributions import f_tail, t_quantile
+from panelforecast.operators.least_squares import LinearFit, moments, solve
 from panelforecast.operators.metrics import weighted_log_loss
 from panelforecast.sources.stages import prepare_checkpoints, stage
 from panelforecast.sources.tables import in_fixed_order
@@ -54,31 +55,18 @@ def add_intercept(df: DataFrame, features: Sequence[str], skip_if_constant: bool
     return df.withColumn("const", F.lit(1.0))
 
 
-def _assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    rows = df.select(*features, F.col(label).cast("double").alias("label")).dropna()
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-
-
-def fit_ols(train: DataFrame, features: Sequence[str], label: str = "ipc") -> LinearRegressionModel:
-    """Ordinary least squares on the complete rows, one distributed pass."""
-    solver = LinearRegression(solver="normal", regParam=0.0, standardization=False)
-    return solver.fit(_assembled(train, features, label))
+def fit_ols(train: DataFrame, features: Sequence[str], label: str = "ipc") -> LinearFit:
+    """Ordinary least squares on the complete rows, of any rank: two aggregates, nothing else moves.
 
+    Collinear columns get the shortest solution, the pseudo-inverse's. Without a complete row
+    the intercept is null and predicts nothing.
+    """
+    return solve(moments(train, features, label))
 
-def fit_ridge(
-    train: DataFrame, features: Sequence[str], label: str = "ipc", alpha: float = RIDGE_ALPHA
-) -> LinearRegressionModel:
-    """Ridge with the penalty ``alpha * |b|^2`` on the plain sum of squares, intercept free.
 
-    Spark divides the loss by n and scales the label by its standard deviation, so
-    the same penalty is ``alpha * stddev_pop(y) / n`` there.
-    """
-    rows = _assembled(train, features, label)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
-    solver = LinearRegression(
-        solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * (size["sd"] or 0.0) / size["n"]
-    )
-    return solver.fit(rows)
+def fit_ridge(train: DataFrame, features: Sequence[str], label: str = "ipc", alpha: float = RIDGE_ALPHA) -> LinearFit:
+    """Ridge with the penalty ``alpha * |b|^2`` on the plain sum of squares, intercept free."""
+    return solve(moments(train, features, label), alpha)
 
 
 @dataclass
@@ -94,14 +82,7 @@ def fit_mean(train: DataFrame, label: str = "ipc") -> MeanModel:
     return MeanModel(*train.agg(F.avg(label), F.count(label)).first())
 
 
-def fit_quality(model: LinearRegressionModel | MeanModel) -> tuple[float | None, int]:
-    """(R2, rows) of the training data."""
-    if isinstance(model, MeanModel):
-        return (0.0 if model.rows else None), model.rows
-    return float(model.summary.r2), int(model.summary.numInstances)
-
-
-def linear_prediction(model: LinearRegressionModel | MeanModel, features: Sequence[str]) -> Column:
+def linear_prediction(model: LinearFit | MeanModel, features: Sequence[str]) -> Column:
     """The fitted line as a plain expression: a missing feature gives a missing prediction."""
     terms = (F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, features))
     total = F.lit(model.intercept).cast("double")
@@ -110,30 +91,23 @@ def linear_prediction(model: LinearRegressionModel | MeanModel, features: Sequen
     return total
 
 
-def ols_coefficients(model: LinearRegressionModel, features: Sequence[str], spark, level: float = 0.95) -> DataFrame:
-    """Coefficient table: one row per feature and one for the intercept, with confidence bounds."""
-    summary = model.summary
-    reach = t_quantile(level, summary.degreesOfFreedom)
-    rows = [
-        (name, float(b), float(se), float(t), float(p), float(b - reach * se), float(b + reach * se))
-        for name, b, se, t, p in zip(
-            [*features, "const"],
-            [*model.coefficients, model.intercept],
-            summary.coefficientStandardErrors,
-            summary.tValues,
-            summary.pValues,
-        )
-    ]
-    return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p double, low double, high double")
-
+def ols_coefficients(model: LinearFit, features: Sequence[str], spark: SparkSession, level: float = 0.95) -> DataFrame:
+    """Coefficient table: one row per feature and one for the intercept, with confidence bounds.
 
-def condition_number(rows: DataFrame, features: Sequence[str]) -> float:
-    """Of the design matrix with its constant: the root of the ratio of the extreme
-    eigenvalues of its Gram matrix, which one aggregate gives."""
-    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
-    sums = rows.agg(F.array(*[F.sum(a * b) for a in columns for b in columns])).first()[0]
-    values = np.linalg.eigvalsh(np.array(sums, dtype=float).reshape(len(columns), -1))
-    return float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else math.inf
+    Errors, t and p are those of the shortest solution where columns are collinear. Without a
+    degree of freedom left they are null; a coefficient without error has t and p null.
+    """
+    free = model.df_resid
+    line = np.array([*model.coefficients, math.nan if model.intercept is None else model.intercept])
+    spans = np.diagonal(model.covariance)
+    errors = np.sqrt(np.append(spans[1:], spans[0]) * model.squared_errors / free) if free > 0 else np.full(len(line), math.nan)
+    reach = t_quantile(level, free) if free > 0 else math.nan
+    rows = []
+    for name, b, error in zip([*features, "const"], line.tolist(), errors.tolist()):
+        t = b / error if error > 0 else math.nan
+        p = f_tail(t * t, 1, free) if error > 0 else math.nan
+        rows.append((name, *[None if math.isnan(v) else v for v in (b, error, t, p, b - reach * error, b + reach * error)]))
+    return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p double, low double, high double")
 
 
 def ols_summary(
@@ -143,45 +117,76 @@ def ols_summary(
 
     Durbin-Watson needs each residual's predecessor in time; the rows are cut into
     ranges of ``order`` and only the last residual of each range is passed on.
+    Degrees of freedom count the rank, not the columns. The omnibus test adds up the squares of
+    the normal scores of skewness and kurtosis; it is null below 8 rows, where they have none.
     """
     spark = train.sparkSession
     rows = stage(train.select(*order, *features, label).dropna(), "ols-rows")
     model = fit_ols(rows, features, label)
     residuals = rows.select(*order, (F.col(label) - linear_prediction(model, features)).alias("e"), F.col(label).alias("y"))
     e = F.col("e")
-    moments = residuals.agg(
+    fit = residuals.agg(
         F.count(F.lit(1)).alias("n_obs"),
         F.sum(e * e).alias("ssr"),
         F.var_pop("y").alias("var_y"),
         F.skewness("e").alias("skew"),
         (F.kurtosis("e") + 3).alias("kurtosis"),
     )
-    dw = _durbin_watson(residuals, order)
-    k = len(features)
-    n, ssr = F.col("n_obs"), F.col("ssr")
-    loglik = -n / 2 * (F.log(2 * F.pi()) + F.log(ssr / n) + 1)
-    r2 = 1 - ssr / (F.col("var_y") * n)
-    fit = moments.select(
+    free, used = F.lit(model.df_resid), F.lit(model.df_model)
+    n, ssr = F.col("n_obs").cast("double"), F.col("ssr")
+    loglik = -n / 2 * (F.log(2 * F.pi()) + F.log(F.try_divide(ssr, n)) + 1)
+    r2 = 1 - F.try_divide(ssr, F.col("var_y") * n)
+    fit = fit.select(
         "n_obs",
-        (n - k - 1).alias("df_resid"),
-        F.lit(k).alias("df_model"),
+        free.cast("long").alias("df_resid"),
+        used.cast("int").alias("df_model"),
         r2.alias("r2"),
-        (1 - (1 - r2) * (n - 1) / (n - k - 1)).alias("r2_adj"),
-        ((r2 / k) / ((1 - r2) / (n - k - 1))).alias("f_statistic"),
+        (1 - (1 - r2) * F.try_divide(n - 1, free)).alias("r2_adj"),
+        F.try_divide(F.try_divide(r2, used), F.try_divide(1 - r2, free)).alias("f_statistic"),
         loglik.alias("log_likelihood"),
-        (-2 * loglik + 2 * (k + 1)).alias("aic"),
-        (-2 * loglik + F.log(n) * (k + 1)).alias("bic"),
+        (-2 * loglik + 2 * (used + 1)).alias("aic"),
+        (-2 * loglik + F.log(n) * (used + 1)).alias("bic"),
         "skew",
         "kurtosis",
-        (n / 6 * (F.pow("skew", 2) + F.pow(F.col("kurtosis") - 3, 2) / 4)).alias("jarque_bera"),
-        dw.alias("durbin_watson"),
-        F.lit(condition_number(rows, features)).alias("condition_number"),
+        (n / 6 * (F.pow("skew", F.lit(2)) + F.pow(F.col("kurtosis") - 3, F.lit(2)) / 4)).alias("jarque_bera"),
+        _durbin_watson(residuals, order).alias("durbin_watson"),
+        F.lit(model.condition).alias("condition_number"),
+        F.when(F.col("n_obs") >= 8, omnibus(n, F.col("skew"), F.col("kurtosis"))).alias("omnibus"),
     )
-    fit = fit.withColumn("jarque_bera_prob", F.exp(-F.col("jarque_bera") / 2))
-    size = int(model.summary.numInstances)
-    r_squared, free = float(model.summary.r2), size - k - 1
-    statistic = (r_squared / k) / ((1 - r_squared) / free) if k and free > 0 and r_squared < 1 else math.inf
-    return ols_coefficients(model, features, spark), fit.withColumn("f_prob", F.lit(f_tail(statistic, k, free) if statistic < math.inf else 0.0))
+    tails = {"jarque_bera_prob": F.exp(-F.col("jarque_bera") / 2), "omnibus_prob": F.exp(-F.col("omnibus") / 2), "f_prob": F.lit(_f_prob(model)).cast("double")}
+    return ols_coefficients(model, features, spark), fit.withColumns(tails)
+
+
+def _f_prob(model: LinearFit) -> float | None:
+    if model.df_resid <= 0 or model.df_model == 0:
+        return None
+    if model.r2 >= 1:
+        return 0.0
+    return f_tail(model.r2 / model.df_model / ((1 - model.r2) / model.df_resid), model.df_model, model.df_resid)
+
+
+def omnibus(n: Column, skew: Column, kurtosis: Column) -> Column:
+    """The normality statistic of D'Agostino and Pearson, chi-squared with two degrees of freedom."""
+    return F.pow(skew_score(n, skew), F.lit(2)) + F.pow(kurtosis_score(n, kurtosis), F.lit(2))
+
+
+def skew_score(n: Column, skew: Column) -> Column:
+    """D'Agostino's transformation of a sample's skewness to a normal score."""
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (b2 - 1)) - 1
+    return F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(F.log(w2) / 2)
+
+
+def kurtosis_score(n: Column, kurtosis: Column) -> Column:
+    """Anscombe and Glynn's transformation of a sample's kurtosis (3 for a normal one) to a normal score."""
+    spread = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (kurtosis - 3 * (n - 1) / (n + 1)) / F.sqrt(spread)
+    third = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    ratio = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
+    root = F.signum(ratio) * F.pow(F.abs(ratio), F.lit(1 / 3))
+    return (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a))
 
 
 def _durbin_watson(residuals: DataFrame, order: Sequence[str]) -> Column:
@@ -200,7 +205,7 @@ def _durbin_watson(residuals: DataFrame, order: Sequence[str]) -> Column:
     across = joints.agg(F.sum(F.pow(F.col("first") - F.col("_before"), 2)))
     total = ranged.agg(F.sum(F.col("e") * F.col("e")))
     steps = F.coalesce(inner.scalar(), F.lit(0.0)) + F.coalesce(across.scalar(), F.lit(0.0))
-    return steps / total.scalar()
+    return F.try_divide(steps, total.scalar())
 
 
 def with_missing_flags(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -7,12 +7,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from panelforecast.operators import metrics as mt
 from panelforecast.operators import models as ml
-from panelforecast.operators.folds import column_coverage, holdout_split, time_series_folds
-from panelforecast.operators.panel import drop_null_lag, interpolate_linear, row_position
+from panelforecast.operators.folds import block_starts, first_fold, holdout_split, interpolated_versions
+from panelforecast.operators.least_squares import Moments, product_sums, read_sums, solve
+from panelforecast.operators.panel import drop_null_lag, row_position
 from panelforecast.sources.stages import stage
 
 KEYS = ["date", "district"]
@@ -54,9 +56,9 @@ def model_eval(
     """Evaluate "OLS", "Ridge" or "XGboost" over time folds, or "NN" on a hashed holdout."""
     features = [c for c in features if c != "const"]
     if model_type == "OLS":
-        return _linear(data, features, label, splits, ml.fit_ols, rounded_mae=False)
+        return _linear(data, features, label, splits, 0.0, rounded_mae=False)
     if model_type == "Ridge":
-        return _linear(data, features, label, splits, lambda *a: ml.fit_ridge(*a, **settings), rounded_mae=True)
+        return _linear(data, features, label, splits, settings.get("alpha", ml.RIDGE_ALPHA), rounded_mae=True)
     if model_type == "XGboost":
         return _trees(data, features, label, splits, settings)
     if model_type == "NN":
@@ -64,43 +66,49 @@ def model_eval(
     raise ValueError(f"unknown model_type {model_type!r}")
 
 
-def folded(data: DataFrame, features: Sequence[str], label: str, splits: int) -> tuple[DataFrame, dict[int, list[str]]]:
-    """Staged (row, fold, role) table and the usable features of each fold, none for some folds perhaps.
-
-    All folds share one pass. What comes back to the driver is one flag per fold and
-    feature.
-    """
-    rows = row_position(data.select(*KEYS, *features, label), KEYS)
-    folds = stage(time_series_folds(rows, splits), "folds", "fold")
-    live = column_coverage(folds, features).where("values > 0 and varies").groupBy("fold").agg(
-        F.collect_list("column").alias("columns")
-    )
-    found = {r["fold"]: set(r["columns"]) for r in live.collect()}
-    return folds, {f: [c for c in features if c in found.get(f, ())] for f in range(splits)}
-
-
-def _linear(data, features, label, splits, fit, rounded_mae) -> Evaluation:
-    folds, chosen = folded(data, features, label, splits)
-    train = folds.where("role = 'train'")
-    train = stage(interpolate_linear(train, [*features, label], ["fold", "district"]), "interpolated", "fold")
-    numbers = sorted(chosen)
-
-    def fitted(fold: int):
-        rows, columns = train.where(F.col("fold") == fold), chosen[fold]
-        if not columns or rows.select(*columns, label).dropna().isEmpty():
-            return ml.fit_mean(rows, label)
-        return fit(rows, columns, label)
-
-    models = ml.fit_side_by_side(data.sparkSession, fitted, numbers)
-    used = [chosen[f] if m.coefficients else [] for f, m in zip(numbers, models)]
-    scores, parts = [], []
-    for fold, model, columns in zip(numbers, models, used):
-        scores.append((fold, *ml.fit_quality(model)))
-        test = folds.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        guess = ml.linear_prediction(model, columns)
-        parts.append(test.select("fold", *KEYS, F.col(label).alias("label"), guess.alias("prediction")))
-    predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
-    fits = data.sparkSession.createDataFrame(scores, "fold int, r2 double, n_train long")
+def _positioned(data: DataFrame, features: Sequence[str], label: str, splits: int) -> tuple[DataFrame, list[int]]:
+    """Staged rows in time order with their ``epoch``, the first fold that trains on them, and the test blocks' starts."""
+    rows = stage(row_position(data.select(*KEYS, *features, label), KEYS), "positions")
+    starts = block_starts(rows.count(), splits)
+    return rows.withColumn("epoch", first_fold(starts)), starts
+
+
+def _linear(data, features, label, splits, alpha, rounded_mae) -> Evaluation:
+    """One pass gives the sums of all folds: a training row counts from its epoch on, and
+    only rows whose gaps a later fold fills otherwise count twice (``interpolated_versions``).
+    What reaches the driver is a few sums per pair of columns and block."""
+    rows, _ = _positioned(data, features, label, splits)
+    columns = [*features, label]
+    stats = F.array(*[F.struct(F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high"), F.sum(F.col(c).cast("double")).alias("total")) for c in columns])
+    seen = {r.epoch: r.stats for r in rows.where(F.col("epoch") < splits).groupBy("epoch").agg(stats.alias("stats")).collect()}
+
+    def varies(i: int, fold: int) -> bool:
+        values = [s[i] for e, s in seen.items() if e <= fold and s[i].n]
+        return bool(values) and min(v.low for v in values) < max(v.high for v in values)
+
+    chosen = [[c for i, c in enumerate(features) if varies(i, f)] for f in range(splits)]
+    shift = {c: sum(s[i].total or 0.0 for s in seen.values()) / max(1, sum(s[i].n for s in seen.values())) for i, c in enumerate(columns)}
+    sets = list(dict.fromkeys([(), *map(tuple, chosen)]))
+    versions = interpolated_versions(rows, columns, splits)
+    versions = versions.select("since", "until", *[(F.col(c) - F.lit(float(shift[c]))).alias(c) for c in columns])
+    sums = [F.array(*product_sums([F.col(c) for c in (*s, label)])).alias(f"s{i}") for i, s in enumerate(sets)]
+    parts = versions.groupBy("since", "until").agg(*sums).collect()  # at most splits squared rows
+
+    def fitted(fold: int, used: tuple[str, ...]):
+        found = np.sum([p[f"s{sets.index(used)}"] for p in parts if p.since <= fold < p.until] or [[0.0] * len(product_sums([F.lit(0)] * (len(used) + 1)))], axis=0)
+        return solve(Moments.of_sums(*read_sums(found, len(used) + 1), np.array([shift[c] for c in (*used, label)])), alpha)
+
+    models, used = [], []
+    for fold in range(splits):
+        model, names = fitted(fold, tuple(chosen[fold])), chosen[fold]
+        if not model.rows:  # no row is complete: the mean label
+            model, names = fitted(fold, ()), []
+        models.append(model)
+        used.append(names)
+    tested = rows.where("epoch > 0").withColumn("fold", F.col("epoch") - 1)
+    guess = F.coalesce(*[F.when(F.col("fold") == f, ml.linear_prediction(m, names)) for f, (m, names) in enumerate(zip(models, used))])
+    predictions = stage(tested.select("fold", *KEYS, F.col(label).alias("label"), guess.alias("prediction")), "predictions")
+    fits = data.sparkSession.createDataFrame([(f, m.r2, m.rows) for f, m in enumerate(models)], "fold int, r2 double, n_train long")
     return Evaluation(_of_all_folds(fits, mt.fold_metrics(predictions, rounded_mae=rounded_mae)), predictions, models, used)
 
 

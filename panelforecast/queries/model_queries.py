@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from panelforecast.functions import columns as fc
 from panelforecast.operators import metrics as mt
 from panelforecast.operators import models as ml
+from panelforecast.operators.least_squares import LinearFit
 from panelforecast.operators.panel import LagSpec, lag_features
 from panelforecast.plans import datasets as ds
 from panelforecast.plans import evaluation as ev
@@ -23,8 +22,9 @@ QUERIES, ORACLES, query = registry()
 
 
 
-PAIR = """SELECT date, district, ipc, count_violence AS x1, food_price_idx / 100.0E0 AS x2 FROM ({panel}) AS p
-          WHERE ipc IS NOT NULL""".replace("{panel}", PANEL)
+# the labelled rows of the supplier panel, with two features, so that fits have a closed form
+PAIR = """SELECT date, district, ipc, count_violence AS x1, ndvi_anom / 10.0E0 AS x2 FROM ({panel}) AS p
+          WHERE ipc IS NOT NULL""".replace("{panel}", FINE_PANEL)
 
 
 def _pair(spark, sf):
@@ -56,33 +56,41 @@ def ridge_fit(spark, sf):
     return _fitted(rows, ml.fit_ridge(rows, ["x1", "x2"]))
 
 
+# omnibus test: normal scores of skewness and kurtosis
+OMNIBUS = """
+  o1 AS (SELECT *, sk * sqrt((x + 1) * (x + 3) / (6 * (x - 2))) AS y,
+                3 * (x * x + 27 * x - 70) * (x + 1) * (x + 3) / ((x - 2) * (x + 5) * (x + 7) * (x + 9)) AS b2,
+                (ku - 3 * (x - 1) / (x + 1)) / sqrt(24 * x * (x - 2) * (x - 3) / ((x + 1) * (x + 1) * (x + 3) * (x + 5))) AS z,
+                6 * (x * x - 5 * x + 2) / ((x + 7) * (x + 9)) * sqrt(6 * (x + 3) * (x + 5) / (x * (x - 2) * (x - 3))) AS g
+         FROM (SELECT *, CAST(n AS DOUBLE) AS x FROM s) AS u),
+  o2 AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / g * (2 / g + sqrt(1 + 4 / (g * g))) AS a FROM o1),
+  o3 AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS zs,
+                (1 - 2 / (9 * a) - sign((1 - 2 / a) / (1 + z * sqrt(2 / (a - 4)))) * pow(abs((1 - 2 / a) / (1 + z * sqrt(2 / (a - 4)))), 1.0E0 / 3))
+                / sqrt(2 / (9 * a)) AS zk FROM o2),
+  o AS (SELECT zs * zs + zk * zk AS omnibus FROM o3)"""
+
 FIT_STATISTICS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + """,
   r AS (SELECT ipc AS y, ipc - (my + b1 * (x1 - m1) + b2 * (x2 - m2)) AS e, row_number() OVER (ORDER BY date, district) AS i FROM d, m, b),
   s AS (SELECT count(*) AS n, sum(e * e) AS ssr, var_pop(y) AS v, avg(e * e * e) / pow(avg(e * e), 1.5E0) AS sk,
                avg(e * e * e * e) / pow(avg(e * e), 2) AS ku FROM r),
   w AS (SELECT sum(pow(e - p, 2)) AS steps FROM (SELECT e, lag(e) OVER (ORDER BY i) AS p FROM r) AS x),
-  f AS (SELECT *, 1 - ssr / (v * n) AS r2, -n / 2.0E0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll FROM s)
+  f AS (SELECT *, 1 - ssr / (v * n) AS r2, -n / 2.0E0 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll FROM s),""" + OMNIBUS + """,
+  stats AS (
   SELECT n AS n_obs, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS r2_adj,
          round(r2 / 2 / ((1 - r2) / (n - 3)), 6) AS f_statistic, round(ll, 6) AS log_likelihood, round(-2 * ll + 6, 6) AS aic,
          round(-2 * ll + 3 * ln(n), 6) AS bic, round(sk, 6) AS skew, round(ku, 6) AS kurtosis,
          round(n / 6.0E0 * (sk * sk + pow(ku - 3, 2) / 4), 6) AS jarque_bera, round(steps / ssr, 6) AS durbin_watson,
-         round(exp(-n / 12.0E0 * (sk * sk + pow(ku - 3, 2) / 4)), 6) AS jarque_bera_prob
-  FROM f, w"""
+         round(exp(-n / 12.0E0 * (sk * sk + pow(ku - 3, 2) / 4)), 6) AS jarque_bera_prob,
+         round(omnibus, 6) AS omnibus, round(exp(-omnibus / 2), 6) AS omnibus_prob
+  FROM f, w, o)"""
 
 
-@query("ols_fit_statistics", with_cte(FIT_STATISTICS, d=PAIR))
+@query("ols_fit_statistics", with_cte(FIT_STATISTICS + " SELECT * FROM stats", d=PAIR))
 def ols_fit_statistics(spark, sf):
     _, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
     return fit.select("n_obs", *[r6(c).alias(c) for c in fit.columns if c not in ("n_obs", "df_resid", "df_model", "condition_number", "f_prob")])
 
 
-@query("ols_summary")
-def ols_summary(spark, sf):
-    coefficients, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
-    named = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("coef")) for c in fit.columns])))
-    return coefficients.unionByName(named, allowMissingColumns=True)
-
-
 @query(
     "standard_scale",
     with_cte(
@@ -192,18 +200,17 @@ def zero_based_label(spark, sf):
 def model_save_load(spark, sf):
     """Predictions of a model that was saved and loaded again."""
     rows, path = _pair(spark, sf), stage_path(spark, "model")
-    assemble = VectorAssembler(inputCols=["x1", "x2"], outputCol="features")
-    save_model(PipelineModel([assemble, ml.fit_ols(rows, ["x1", "x2"])]), path)
-    loaded = load_model(path)
-    return _fitted(rows, loaded.stages[-1])
+    save_model(ml.fit_ols(rows, ["x1", "x2"]), path)
+    return _fitted(rows, load_model(path, LinearFit))
 
 
-COEFFICIENTS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + """,
+LINE = """,
   e AS (SELECT count(*) AS n, sum(pow(ipc - (my + b1 * (x1 - m1) + b2 * (x2 - m2)), 2)) / (count(*) - 3) AS v FROM d, m, b),
   q AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0, sqrt(v * s22 / (s11 * s22 - s12 * s12)) AS e1, sqrt(v * s11 / (s11 * s22 - s12 * s12)) AS e2,
-               sqrt(v * (1.0E0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / (s11 * s22 - s12 * s12))) AS e0 FROM m, c, b, e)
-  SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 6) AS t
-  FROM (SELECT 'x1' AS term, b1 AS coef, e1 AS std_err FROM q UNION ALL SELECT 'x2', b2, e2 FROM q UNION ALL SELECT 'const', b0, e0 FROM q) AS u"""
+               sqrt(v * (1.0E0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / (s11 * s22 - s12 * s12))) AS e0 FROM m, c, b, e),
+  line AS (SELECT 'x1' AS term, b1 AS coef, e1 AS std_err FROM q UNION ALL SELECT 'x2', b2, e2 FROM q UNION ALL SELECT 'const', b0, e0 FROM q)"""
+COEFFICIENTS = _two_feature_fit(0.0).rsplit("SELECT date", 1)[0].rstrip() + LINE + """
+  SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(coef / std_err, 6) AS t FROM line"""
 
 
 @query("ols_coefficients", with_cte(COEFFICIENTS, d=PAIR))
@@ -212,6 +219,62 @@ def ols_coefficients(spark, sf):
     return table.select("term", *[r6(c).alias(c) for c in ("coef", "std_err", "t")])
 
 
+# t tails by the finite sum for whole degrees of freedom, the t bound by its expansion in 1 / df, the F tail for two
+# degrees in closed form, the condition number by the roots of the 3 x 3 products' characteristic polynomial
+SUMMARY = FIT_STATISTICS + LINE + """,
+  k AS (SELECT n - 3 AS k, (n - 3) % 2 AS odd, 1.959963984540054E0 AS z FROM e),
+  bound AS (SELECT z + (pow(z, 3) + z) / 4 / k + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(k, 2)
+                   + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(k, 3)
+                   + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / 92160 / pow(k, 4) AS reach FROM k),
+  angle AS (SELECT *, coef / std_err AS t, atan(abs(coef / std_err) / sqrt(k)) AS a FROM line, k, bound),
+  terms AS (SELECT term, sum(CASE WHEN odd = 1 THEN exp(lgamma(j + 1.0E0) - lgamma(j + 1.5E0) + 2 * j * ln(cos(a))) * sqrt(pi()) / 2
+                                  ELSE exp(lgamma(j + 0.5E0) - lgamma(j + 1.0E0) + 2 * j * ln(cos(a))) / sqrt(pi()) END) AS total
+            FROM angle, (SELECT unnest(range(0, (SELECT (k - odd) // 2 FROM k))) AS j) AS u GROUP BY term),
+  tails AS (SELECT angle.*, 1 - CASE WHEN odd = 1 THEN 2 / pi() * (a + sin(a) * cos(a) * total) ELSE sin(a) * total END AS p
+            FROM angle JOIN terms USING (term)),
+  h AS (SELECT CAST(n AS DOUBLE) AS x, s11, s22, s12, m1, m2, s11 * s22 - s12 * s12 AS det2 FROM c, m, e),
+  h1 AS (SELECT x + s11 + s22 + x * (m1 * m1 + m2 * m2) AS tr, x * det2 AS det,
+                x * s11 + x * s22 + det2 + x * (m1 * m1 * s22 + m2 * m2 * s11 - 2 * m1 * m2 * s12) AS e2 FROM h),
+  h2 AS (SELECT *, sqrt((tr * tr - 3 * e2) / 9) AS rad FROM h1),
+  h3 AS (SELECT *, tr / 3 + 2 * rad * cos(acos(least(1.0E0, (2 * pow(tr, 3) - 9 * tr * e2 + 27 * det) / 54 / pow(rad, 3))) / 3) AS big FROM h2),
+  h4 AS (SELECT big, det / big AS prod, (e2 - det / big) / big AS total FROM h3),
+  h5 AS (SELECT sqrt(big / (prod / ((total + sqrt(total * total - 4 * prod)) / 2))) AS cond FROM h4),
+  one AS (SELECT stats.*, n_obs - 3 AS df_resid, 2 AS df_model, round(cond, 6) AS condition_number,
+                 round(pow(1 + 2 * (f.r2 / 2 / ((1 - f.r2) / (n - 3))) / (n - 3), -(n - 3) / 2.0E0), 6) AS f_prob FROM stats, h5, f),
+  named AS (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM one) ON COLUMNS(*) INTO NAME term VALUE coef)
+  SELECT term, round(coef, 6) AS coef, round(std_err, 6) AS std_err, round(t, 6) AS t, round(p, 6) AS p,
+         round(coef - reach * std_err, 6) AS low, round(coef + reach * std_err, 6) AS high FROM tails
+  UNION ALL SELECT term, coef, NULL, NULL, NULL, NULL, NULL FROM named"""
+
+
+@query("ols_summary", with_cte(SUMMARY, d=PAIR))
+def ols_summary(spark, sf):
+    coefficients, fit = ml.ols_summary(_pair(spark, sf), ["x1", "x2"])
+    named = fit.select(F.inline(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("coef")) for c in fit.columns])))
+    both = coefficients.unionByName(named, allowMissingColumns=True)
+    return both.select("term", *[r6(c).alias(c) for c in both.columns if c != "term"])
+
+
+@query(
+    "ols_collinear",
+    with_cte(
+        """, m AS (SELECT avg(x1) AS m1, avg(ipc) AS my, count(*) AS n FROM d),
+             c AS (SELECT sum((x1 - m1) * (x1 - m1)) AS s11, sum((x1 - m1) * (ipc - my)) AS s1y, sum((ipc - my) * (ipc - my)) AS syy FROM d, m),
+             f AS (SELECT *, s1y / s11 AS b, sqrt((syy - s1y * s1y / s11) / (n - 2) / s11) AS se, (syy - s1y * s1y / s11) / (n - 2) AS v FROM m, c)
+           SELECT 'x1' AS term, round(b / 5, 6) AS coef, round(se / 5, 6) AS std_err, n - 2 AS df_resid FROM f
+           UNION ALL SELECT 'twice', round(2 * b / 5, 6), round(2 * se / 5, 6), n - 2 FROM f
+           UNION ALL SELECT 'const', round(my - b * m1, 6), round(sqrt(v * (1.0E0 / n + m1 * m1 / s11)), 6), n - 2 FROM f""",
+        d=PAIR,
+    ),
+)
+def ols_collinear(spark, sf):
+    """A feature and its double: one slope, shared as the shortest solution shares it, and one degree of freedom more."""
+    rows = _pair(spark, sf).withColumn("twice", 2 * F.col("x1"))
+    model = ml.fit_ols(rows, ["x1", "twice"])
+    table = ml.ols_coefficients(model, ["x1", "twice"], spark)
+    return table.select("term", r6("coef").alias("coef"), r6("std_err").alias("std_err"), F.lit(model.df_resid).cast("long").alias("df_resid"))
+
+
 @query("evaluate_trees")
 def evaluate_trees(spark, sf):
     """Five time folds; 20 boosting rounds here, the model's own default is 100."""

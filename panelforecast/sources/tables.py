@@ -114,9 +114,15 @@ def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
     writer.format(format).save(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(model, path: str) -> None:
+    """Save a Spark ML pipeline, or a fit of this library, which is a small table."""
+    if hasattr(model, "to_table"):
+        write_table(model.to_table(SparkSession.active()), path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str, kind: type = PipelineModel):
+    if hasattr(kind, "from_table"):
+        return kind.from_table(SparkSession.active().read.parquet(path))
+    return kind.load(path)

@@ -256,10 +256,12 @@ def test_hot_keys_follow_the_size_of_a_task(spark):
         assert joined.count() == 5000 * 2 + 10 + 500 + 4990
         assert joined.where("v is not null").groupBy("key").count().count() == 3
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
         spread = jn.spread_join(facts, lookup, "key", "left", "id").where("key = 'half' and v = 1").groupBy(F.spark_partition_id()).count()
         assert spread.count() > 5
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
