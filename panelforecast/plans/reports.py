@@ -44,13 +44,14 @@ def articles_per_region(
 def confidence_report(confidence: DataFrame, points: int = 200, grid: int = cf.GRID) -> DataFrame:
     """Histogram, density and accuracy by range in one long table (part, low, high, value).
 
-    The rows are read once, into counts per cell; all parts derive from these.
+    The rows are read once, into sums per cell; all parts derive from these. Only where the
+    density's bandwidth is narrower than a cell are they read once more, into finer cells.
     """
     cells = stage(cf.confidence_cells(confidence, grid=grid), "confidence-cells")
     histogram = cf.histogram_of(cells).select(
         F.lit("histogram").alias("part"), "low", "high", F.col("rows").cast("double").alias("value")
     )
-    density = cf.density_of(cells, points, grid).select(
+    density = cf.density_of(cells, points, grid, cf.finer_cells(confidence)).select(
         F.lit("density").alias("part"), F.col("x").alias("low"), F.col("x").alias("high"), F.col("density").alias("value")
     )
     accuracy = cf.accuracy_of(cells).select(F.lit("accuracy").alias("part"), "low", "high", F.col("accuracy").alias("value"))

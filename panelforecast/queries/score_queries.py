@@ -168,11 +168,9 @@ def confidence_histogram(spark, sf):
 
 KDE = """, st AS (SELECT count(*) AS n, min(pred_prob) AS low, max(pred_prob) AS high,
                  pow(count(*), -0.2E0) * stddev_samp(pred_prob) AS h FROM i),
-  q AS (SELECT CAST(floor(pred_prob * 4096) AS INTEGER) AS cell, pred_prob * 4096 - floor(pred_prob * 4096) AS up FROM i),
-  d AS (SELECT line / 4096.0E0 AS v, sum(c) AS c FROM (SELECT cell AS line, 1 - up AS c FROM q UNION ALL SELECT cell + 1, up FROM q) AS u GROUP BY 1),
-  k AS (SELECT CAST(g.c AS INTEGER) AS point, min(low + (high - low) * g.c / 199.0E0) AS x,
-          sum(d.c * exp(-0.5E0 * pow((low + (high - low) * g.c / 199.0E0 - v) / h, 2)) / (h * sqrt(2 * pi()) * n)) AS density
-        FROM range(200) AS g(c), st, d GROUP BY 1)"""
+  xs AS (SELECT CAST(c AS INTEGER) AS point, low + (high - low) * c / 199.0E0 AS x FROM range(200) AS r(c), st),
+  k AS (SELECT point, min(x) AS x, sum(exp(-0.5E0 * pow((x - pred_prob) / h, 2)) / (h * sqrt(2 * pi()) * n)) AS density
+        FROM xs, st, i GROUP BY point)"""
 
 
 @query(

@@ -81,6 +81,28 @@ def test_kde_equals_numpy(spark):
     assert parts == {"histogram": 10, "density": 50, "accuracy": 8}
 
 
+@pytest.mark.parametrize("spread", [0.2, 1e-3, 3e-6])
+def test_density_is_that_of_all_kernels_however_narrow(spark, spread):
+    """From bandwidths of many cells to some that need finer cells than the given grid."""
+    rng = np.random.default_rng(7)
+    values = np.clip(np.concatenate([rng.normal(0.4, spread, 700), rng.normal(0.4 + 9 * spread, spread / 3, 300)]), 1e-9, 1 - 1e-9)
+    df = spark.createDataFrame([(0, 0, float(v)) for v in values], "true_val int, pred_val int, pred_prob double").repartition(3)
+    got = cf.confidence_kde(df, points=80).orderBy("point").toPandas()
+    h = len(values) ** -0.2 * values.std(ddof=1)
+    x = np.linspace(values.min(), values.max(), 80)
+    want = np.exp(-0.5 * ((x[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose(got["x"], x)
+    np.testing.assert_allclose(got["density"], want, rtol=0, atol=2e-9 / (h * np.sqrt(2 * np.pi)))
+
+
+def test_density_of_equal_few_or_no_values(spark):
+    schema = "true_val int, pred_val int, pred_prob double"
+    assert cf.confidence_kde(spark.createDataFrame([], schema)).collect() == []
+    for rows in ([(0, 0, 0.5)], [(0, 0, 0.5)] * 4, [(0, 0, 0.5), (1, 0, None), (1, 1, 1.0)]):
+        got = cf.confidence_kde(spark.createDataFrame(rows, schema), points=3).collect()
+        assert [(r.point, r.x, r.density) for r in sorted(got)] == [(i, 0.5, None) for i in range(3)]
+
+
 def test_long_tail_is_strictly_below_the_threshold(spark):
     counts = spark.createDataFrame([("a", 500), ("b", 477), ("c", 23), ("d", 22), ("e", 1)], "district string, count long")
     top = rg.top_regions(counts, 4)
