@@ -1,4 +1,4 @@
-"""Model steps on Spark ML: linear, ridge, boosted trees and a small neural classifier."""
+"""Model steps: linear, ridge, boosted trees and a small neural classifier."""
 
 from __future__ import annotations
 
@@ -16,18 +16,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelforecast.functions.distributions import f_tail, t_quantile
+from panelforecast.operators.boosting import Forest, Settings, fit_forests, predict_forests
 from panelforecast.operators.least_squares import LinearFit, moments, solve
 from panelforecast.operators.metrics import weighted_log_loss
-from panelforecast.sources.stages import prepare_checkpoints, stage
-from panelforecast.sources.tables import in_fixed_order
+from panelforecast.sources.stages import stage
 
 # Settings of the four models.
 RIDGE_ALPHA = 3.0
-TREE_SETTINGS = {"maxDepth": 4, "stepSize": 0.02, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.7", "maxIter": 100}
+TREE_SETTINGS = {"maxDepth": 4, "stepSize": 0.02, "subsamplingRate": 0.7, "columnRate": 0.7, "maxIter": 100}
 CLASS_WEIGHTS = [1.0, 1.0, 2.0, 2.0, 2.0]
 HIDDEN_UNITS = 64
 CLASSES = 5
@@ -36,11 +35,6 @@ CLASSES = 5
 MOST_REPEATS = 100
 # Iterations after which the network is scored.
 LOSS_STEPS = (25, 50, 100)
-# Tasks of a tree fit. Rows are sampled task by task, so it must not follow the cluster or the data.
-TREE_PARTS = 32
-
-# Stands in for a missing value in a tree's feature vector; below any covariate.
-MISSING = -1.0e9
 
 
 def add_intercept(df: DataFrame, features: Sequence[str], skip_if_constant: bool = False) -> DataFrame:
@@ -69,20 +63,7 @@ def fit_ridge(train: DataFrame, features: Sequence[str], label: str = "ipc", alp
     return solve(moments(train, features, label), alpha)
 
 
-@dataclass
-class MeanModel:
-    """The fit without a usable feature: the mean label, null without a labelled row."""
-
-    intercept: float | None
-    rows: int
-    coefficients: tuple = ()
-
-
-def fit_mean(train: DataFrame, label: str = "ipc") -> MeanModel:
-    return MeanModel(*train.agg(F.avg(label), F.count(label)).first())
-
-
-def linear_prediction(model: LinearFit | MeanModel, features: Sequence[str]) -> Column:
+def linear_prediction(model: LinearFit, features: Sequence[str]) -> Column:
     """The fitted line as a plain expression: a missing feature gives a missing prediction."""
     terms = (F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, features))
     total = F.lit(model.intercept).cast("double")
@@ -208,31 +189,21 @@ def _durbin_watson(residuals: DataFrame, order: Sequence[str]) -> Column:
     return F.try_divide(steps, total.scalar())
 
 
-def with_missing_flags(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Trees on Spark ML take no nulls: a far-away value plus a 0/1 column lets them split on missing."""
-    flags = {f"{c}_is_null": F.col(c).isNull().cast("double") for c in features}
-    return df.withColumns(flags).fillna(MISSING, subset=list(features)), [*features, *flags]
-
-
-def tree_pipeline(features: Sequence[str], label: str = "ipc", seed: int = 69, **settings) -> Pipeline:
-    trees = GBTRegressor(labelCol=label, seed=seed, checkpointInterval=10, **{**TREE_SETTINGS, **settings})
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), trees])
+def fit_trees(train: DataFrame, features: Sequence[str], label: str = "ipc", key: Sequence[str] | None = None, **settings) -> tuple[Forest, list[str]]:
+    """Boosted trees, the same for the same rows and seed, whatever order and partitions they come in.
 
-
-def fit_trees(
-    train: DataFrame, features: Sequence[str], label: str = "ipc", parts: int = TREE_PARTS, **settings
-) -> tuple[PipelineModel, list[str]]:
-    """Boosted trees, the same for the same rows and seed: rows are dealt by a hash of their
-    values to ``parts`` tasks and sorted there, whatever order and partitions they come in."""
-    prepare_checkpoints(train.sparkSession)
-    rows = in_fixed_order(train.where(F.col(label).isNotNull()).select(*features, label), parts)
-    rows, columns = with_missing_flags(rows, features)
-    return tree_pipeline(columns, label, **settings).fit(rows), columns
+    Missing values are known as such: every split learns the side they go to. ``key`` names the
+    columns that tell rows apart (``date`` and ``district`` where the table has them).
+    """
+    if key is None and {"date", "district"} <= set(train.columns):
+        key = ["date", "district"]
+    rows = train.withColumn("epoch", F.lit(0))
+    return fit_forests(rows, features, label, 1, key, Settings(**{**TREE_SETTINGS, **settings}))[0], list(features)
 
 
-def predict_trees(model: PipelineModel, df: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "ipc") -> DataFrame:
-    rows, _ = with_missing_flags(df.select(*keys, *features, label), features)
-    return model.transform(rows).select(*keys, F.col(label).alias("label"), "prediction")
+def predict_trees(model: Forest, df: DataFrame, features: Sequence[str], keys: Sequence[str], label: str = "ipc") -> DataFrame:
+    rows = df.select(*keys, *[c for c in features if c not in keys], F.col(label).alias("label"))
+    return predict_forests(rows, [model], features, [*keys, "label"])
 
 
 def scaling(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:

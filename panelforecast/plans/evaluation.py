@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelforecast.operators import metrics as mt
 from panelforecast.operators import models as ml
+from panelforecast.operators.boosting import Settings, fit_forests, predict_forests
 from panelforecast.operators.folds import block_starts, first_fold, holdout_split, interpolated_versions
 from panelforecast.operators.least_squares import Moments, product_sums, read_sums, solve
 from panelforecast.operators.panel import drop_null_lag, row_position
@@ -119,35 +119,16 @@ def _of_all_folds(folds: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def _trees(data, features, label, splits, settings) -> Evaluation:
-    """Training rows are a prefix of the time order and test rows a block of it, so the folds
-    are ranges of one positioned table and no row is copied. Columns without a training
-    value are left out; one that is constant stays, as its gaps may tell something."""
-    rows = stage(row_position(data.select(*KEYS, *features, label), KEYS), "positions")
-    size = rows.count()
-    block = size // (splits + 1)
-    starts = [size - (splits - f) * block for f in range(splits)]
-    before = [F.struct(*[F.count(F.when(F.col("position") < s, F.col(c))).alias(c) for c in features]).alias(f"f{f}") for f, s in enumerate(starts)]
-    known = rows.agg(*before, F.array(*[F.count(F.when(F.col("position") < s, F.col(label))) for s in starts]).alias("labels")).first()
-    chosen = {f: [c for c in features if known[f"f{f}"][c]] for f in range(splits)}
-
-    def fitted(f: int):
-        train = rows.where(F.col("position") < starts[f])
-        if not chosen[f] or not known["labels"][f]:
-            return ml.fit_mean(train, label)
-        return ml.fit_trees(train, chosen[f], label, **settings)[0]
-
-    models = ml.fit_side_by_side(data.sparkSession, fitted, range(splits))
-    parts = []
-    for f, model in enumerate(models):
-        test = rows.where(F.col("position").between(starts[f], starts[f] + block - 1)).withColumn("fold", F.lit(f))
-        if isinstance(model, ml.MeanModel):
-            guess = ml.linear_prediction(model, []).alias("prediction")
-            parts.append(test.select("fold", *KEYS, F.col(label).alias("label"), guess))
-        else:
-            parts.append(ml.predict_trees(model, test, chosen[f], ["fold", *KEYS], label))
-    predictions = stage(reduce(DataFrame.unionByName, parts), "predictions")
+    """The forests of all folds are grown side by side: training rows are a prefix of the time
+    order, so a row belongs to the folds from its epoch on and is held once. Missing values
+    stay missing, no column is left out; one without a training value is never split on."""
+    rows, _ = _positioned(data, features, label, splits)
+    forests = fit_forests(rows, features, label, splits, KEYS, Settings(**{**ml.TREE_SETTINGS, **settings}))
+    tested = rows.where("epoch > 0").withColumn("fold", F.col("epoch") - 1).withColumn("label", F.col(label))
+    guesses = predict_forests(tested, forests, features, ["fold", *KEYS, "label"], "fold")
+    predictions = stage(guesses, "predictions")
     folds = data.sparkSession.createDataFrame([(f,) for f in range(splits)], "fold int")
-    return Evaluation(_of_all_folds(folds, mt.fold_metrics(predictions)), predictions, models, [chosen[f] for f in range(splits)])
+    return Evaluation(_of_all_folds(folds, mt.fold_metrics(predictions)), predictions, forests, [list(features)] * splits)
 
 
 def network_parts(data: DataFrame, features: Sequence[str], label: str, test_size=0.2, seed=69) -> DataFrame:

@@ -290,15 +290,6 @@ def test_class_weights_are_kept_in_proportion(spark):
     assert got == {"a": 1, "c": 5}
 
 
-def test_trees_do_not_depend_on_the_partitions(spark, signal):
-    data, features = signal
-    rows = data.dropna(subset=["ipc"])
-    fits = [ml.fit_trees(rows.repartition(n), features, maxIter=5)[0] for n in (1, 2, 6)]
-    out = [ml.predict_trees(m, rows, features, ["date", "district"]).orderBy("date", "district").toPandas() for m in fits]
-    for other in out[1:]:
-        np.testing.assert_allclose(other["prediction"], out[0]["prediction"], atol=1e-9)
-
-
 def test_loss_curve_goes_on_from_step_to_step(spark, signal):
     data, features = signal
     rows = stage(ev.network_parts(data, features, "ipc"), "curve-rows")
