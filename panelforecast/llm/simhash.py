@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Words are runs without ASCII white space, A-Z in lower case; shingles are
     space-joined runs of words, repeats counted. Fewer words make one shingle; a
     null text and one without words have fingerprint zero. ``digest`` adds
-    ``text_digest``, which tells rows of one id and other texts apart.
+    ``row_key``, which tells rows of one id and other texts apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,14 +58,15 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], marks], [*kept, "fp"])
 
     text = F.col(text_column).cast("string")
-    also = [text_digest(text).alias("text_digest")] if digest else []
+    also = [_row_key(F.col(id_column), text).alias("row_key")] if digest else []
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), *also)
-    return rows.mapInArrow(run, "id long, text_digest binary, fp long" if digest else "id long, fp long")
+    return rows.mapInArrow(run, "id long, row_key string, fp long" if digest else "id long, fp long")
 
 
-def text_digest(text: Column) -> Column:
-    """256 bits of a text; a null one is like an empty one."""
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+def _row_key(row_id: Column, text: Column) -> Column:
+    """128 bits of an id and a text; a null text is like an empty one, a null id like no other."""
+    named = F.coalesce(row_id.cast("long").cast("string"), F.lit("none"))
+    return F.md5(F.concat(named, F.lit(" "), F.coalesce(text, F.lit(""))))
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -133,29 +134,30 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     """One row of every group of near duplicates, with all its columns.
 
     Groups are those of ``near_duplicates``. The row with the smallest id stays; a row with an id
-    comes before one without, then the smaller digest of the text, then the smaller row in the
-    order of its columns decide. So rows of one id and unlike texts are documents of their own, and
+    comes before one without, then a hash of id and text decides, then the smaller row in the
+    order of its columns. So rows of one id and unlike texts are documents of their own, and
     of equal rows one stays. Empty input gives no rows.
 
-    Only ids, digests and fingerprints are grouped. Texts move once, to meet the rows that are to
-    go; where these are few they do not move.
+    Only ids, keys and fingerprints are grouped. The rows that are to go are staged and
+    measured: within the broadcast limit no text moves, beyond it texts move once to meet
+    them, with hot keys spread.
     """
     rows = stage(fingerprints(docs, id_column, text_column, shingle, digest=True), "simhash")
     rooted = stage(_rooted(rows).select("fp", "root"), "simhash-roots")
-    each = rows.groupBy("fp", "id", "text_digest").agg(F.count(F.lit(1)).alias("copies")).join(rooted, "fp")
-    each = stage(each.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "text_digest").alias("row"), "copies"), "simhash-rows")
+    each = rows.groupBy("fp", "id", "row_key").agg(F.count(F.lit(1)).alias("copies")).join(rooted, "fp")
+    each = stage(each.select("root", "row_key", F.struct(F.col("id").isNull().alias("none"), "id", "row_key").alias("row"), "copies"), "simhash-rows")
     first = each.groupBy("root").agg(F.min("row").alias("first"))
-    told = lookup_join(each.withColumn("spread", F.col("row.text_digest")), first, "root", "inner", spread_by="spread")
+    told = lookup_join(each, first, "root", "inner", spread_by="row_key")
     stays = F.col("row") == F.col("first")
-    fate = stage(told.where(~stays | (F.col("copies") > 1)).select("row.id", "row.text_digest", stays.alias("stays")), "simhash-fates")
+    fate = stage(told.where(~stays | (F.col("copies") > 1)).select("row_key", stays.alias("stays")), "simhash-fates")
     name = [f"c{i}" for i in range(len(docs.columns))]
     named = docs.toDF(*name)
     own_id, text = (F.col(name[docs.columns.index(c)]) for c in (id_column, text_column))
-    keys = (own_id.cast("long").eqNullSafe(F.col("id"))) & (text_digest(text.cast("string")) == F.col("text_digest"))
+    named = named.withColumn("row_key", _row_key(own_id, text.cast("string"))).withColumn("spread", F.xxhash64(*name))
     if fate.where("stays").isEmpty():
-        return named.join(fate, keys, "left_anti").toDF(*docs.columns)
-    joined = named.join(fate, keys, "left")
+        return lookup_join(named, fate.select("row_key"), "row_key", "left_anti", spread_by="spread").select(*name).toDF(*docs.columns)
+    joined = lookup_join(named, fate, "row_key", "left", spread_by="spread")
     alone = joined.where("stays is null").select(*name)
     # equal keys: the smallest of the rows, found on the map side first, however many there are
-    several = joined.where("stays").groupBy("id", "text_digest").agg(F.min(F.struct(*name)).alias("row")).select("row.*")
+    several = joined.where("stays").groupBy("row_key").agg(F.min(F.struct(*name)).alias("row")).select("row.*")
     return alone.unionByName(several).toDF(*docs.columns)
