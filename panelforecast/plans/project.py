@@ -7,8 +7,10 @@
 Inputs are ``food_crises_cleaned.csv`` and ``articles_summary_cleaned.csv`` (or
 folders of that name without ``.csv`` holding Parquet, which is what to use at
 scale). Every stage is a Parquet table under the stage folder, built on first use
-and then reused as long as the settings it depends on stay the same; these are
-written beside it. ``force=True`` rebuilds.
+and then reused as long as the settings and the input rows it depends on stay the same; the
+settings and a digest of the rows are written beside it. Input files that were merely written
+anew change nothing. A project looks at its inputs once, when it first needs them.
+``force=True`` rebuilds.
 """
 
 from __future__ import annotations
@@ -50,18 +52,29 @@ class Project:
         self.topics, self.top_n, self.fanout, self.force = topics, top_n, fanout, force
         self.tags = {tag: list(keywords) for tag, keywords in tags.items()}
         self._built: set[str] = set()
+        self._digests: dict[str, str] = {}
 
     def _settings(self, name: str) -> dict:
-        """What a stage and the stages before it depend on; nothing for the inputs."""
+        """What a stage and the stages before it depend on, the rows of their inputs included."""
+        both = name == "districted" or name.startswith("dataset")
+        settings: dict = {"rows": [self._digest(i) for i in (["panel", "corpus"] if both else ["panel"] if name == "panel" else ["corpus"])]}
         if name in ("panel", "corpus"):
-            return {}
-        settings: dict = {"topics": self.topics}
+            return settings
+        settings["topics"] = self.topics
         if name not in ("topic-model", "topics"):
             settings |= {"top_n": self.top_n, "tags": self.tags}
         if name not in ("topic-model", "topics", "tagged"):
             settings["fanout"] = self.fanout
         return settings
 
+    def _digest(self, name: str) -> str:
+        """The digest of an input's rows; they are read only if its files are not those of last time."""
+        if name not in self._digests:
+            file, read = (PANEL_FILE, self._raw_panel) if name == "panel" else (CORPUS_FILE, self._raw_corpus)
+            source = f"{self.data_dir}/{file}" + ("" if self._has_parquet(file) else ".csv")
+            self._digests[name] = stages.known_digest(self.spark, source, f"{self.stage_dir}/_rows-{name}.json", read)
+        return self._digests[name]
+
     def _stage(self, name: str, build) -> DataFrame:
         force = self.force and name not in self._built
         self._built.add(name)
@@ -74,14 +87,12 @@ class Project:
     def panel(self) -> DataFrame:
         """The keyed panel; duplicate (date, district) keys are an error."""
 
-        def build() -> DataFrame:
-            if self._has_parquet(PANEL_FILE):
-                raw = self.spark.read.parquet(f"{self.data_dir}/{PANEL_FILE}")
-            else:
-                raw = tables.read_delimited(self.spark, f"{self.data_dir}/{PANEL_FILE}.csv", tables.PANEL_SCHEMA)
-            return assert_unique_key(tables.as_panel(raw))
+        return self._stage("panel", lambda: assert_unique_key(tables.as_panel(self._raw_panel())))
 
-        return self._stage("panel", build)
+    def _raw_panel(self) -> DataFrame:
+        if self._has_parquet(PANEL_FILE):
+            return self.spark.read.parquet(f"{self.data_dir}/{PANEL_FILE}")
+        return tables.read_delimited(self.spark, f"{self.data_dir}/{PANEL_FILE}.csv", tables.PANEL_SCHEMA)
 
     def _raw_corpus(self) -> DataFrame:
         if self._has_parquet(CORPUS_FILE):

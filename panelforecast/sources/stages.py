@@ -6,10 +6,11 @@ Catalyst the real size of a table, so that joins with it are planned on facts.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -87,9 +88,9 @@ def _settings_path(path: str) -> str:
     return f"{path}/_settings.json"
 
 
-def read_settings(spark: SparkSession, path: str) -> str | None:
-    """The settings that were written beside a table, None where there are none."""
-    fs, at = _filesystem(spark, _settings_path(path))
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    fs, at = _filesystem(spark, path)
     if not fs.exists(at):
         return None
     source = fs.open(at)
@@ -99,16 +100,65 @@ def read_settings(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
-def write_settings(spark: SparkSession, path: str, settings: str) -> None:
-    """Write them last: a table without them is not complete for a caller who asks for some."""
-    fs, at = _filesystem(spark, _settings_path(path))
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _filesystem(spark, path)
     target = fs.create(at, True)
     try:
-        target.write(bytearray(settings, "utf-8"))
+        target.write(bytearray(text, "utf-8"))
     finally:
         target.close()
 
 
+def read_settings(spark: SparkSession, path: str) -> str | None:
+    """The settings that were written beside a table, None where there are none."""
+    return read_text(spark, _settings_path(path))
+
+
+def write_settings(spark: SparkSession, path: str, settings: str) -> None:
+    """Write them last: a table without them is not complete for a caller who asks for some."""
+    write_text(spark, _settings_path(path), settings)
+
+
+def file_listing(spark: SparkSession, path: str) -> list[list]:
+    """Name, size and time of every file at ``path``, hidden ones aside; empty where there is nothing."""
+    fs, at = _filesystem(spark, path)
+    if not fs.exists(at):
+        return []
+    found, out = fs.listFiles(at, True), []
+    while found.hasNext():
+        file = found.next()
+        if not file.getPath().getName().startswith(("_", ".")):
+            out.append([file.getPath().toString(), file.getLen(), file.getModificationTime()])
+    return sorted(out)
+
+
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows, whatever their order, partitions and files: one aggregate, whose parts merge.
+
+    The count and the sums of two hashes of every row with its nulls; a row more, less, twice
+    or with another value changes it, and so does another column name.
+    """
+    row = [part for c in df.columns for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    sums = [F.sum(F.xxhash64(F.lit(salt), *row).cast("decimal(38,0)")) for salt in ("first", "second")]
+    found = df.agg(F.count(F.lit(1)), *sums).first()
+    return ":".join(str(v) for v in (",".join(df.columns), *found))
+
+
+def known_digest(spark: SparkSession, source: str, record: str, read: Callable[[], DataFrame]) -> str:
+    """The digest of the rows at ``source``, kept in the file ``record`` with the listing it was taken from.
+
+    As long as the files are the same ones the rows are not read again; where the listing
+    differs they are, so that files that were merely written anew give the same digest.
+    """
+    listing = file_listing(spark, source)
+    kept = json.loads(read_text(spark, record) or "{}")
+    if kept.get("listing") == listing:
+        return kept["digest"]
+    digest = content_digest(read())
+    write_text(spark, record, json.dumps({"listing": listing, "digest": digest}))
+    return digest
+
+
 def materialize(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False, settings: str | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 
 from panelforecast.operators.topics import ALL_TAG_KEYWORDS
 from panelforecast.plans import datasets as ds
+from panelforecast.sources import stages
 from panelforecast.plans.project import Project
 from panelforecast.sources.tables import PANEL_COVARIATES
 
@@ -124,6 +125,59 @@ def test_changed_settings_rebuild_what_depends_on_them(spark, folder, tmp_path):
     assert copies[1] == 1
 
 
+def test_changed_rows_rebuild_what_depends_on_them(spark, folder, tmp_path):
+    """A row more rebuilds every stage that it reaches; the same rows in other files rebuild none."""
+    import os
+    import shutil
+
+    data, out = tmp_path / "data", tmp_path / "stages"
+    data.mkdir()
+    names = ("food_crises_cleaned.csv", "articles_summary_cleaned.csv")
+    for name in names:
+        shutil.copy(folder / name, data / name)
+
+    def built():
+        project = Project(spark, str(data), str(out), topics=3, top_n=2)
+        project.dataset("Standard")
+        project.districted()
+        return {p.name: (p / "_settings.json").stat().st_mtime_ns for p in out.iterdir() if (p / "_settings.json").exists()}, project
+
+    first, _ = built()
+    assert {"panel", "corpus", "topic-model", "topics", "tagged", "articles", "districted", "dataset-Standard"} <= set(first)
+    for name in names:  # the same rows, in another order, written later
+        lines = (data / name).read_text().splitlines(keepends=True)
+        (data / name).write_text("".join([lines[0], *lines[:0:-1]]) if name == names[0] else "".join(lines))
+        os.utime(data / name, ns=(first["panel"] + 10**10, first["panel"] + 10**10))
+    again, _ = built()
+    assert again == first
+    panel = (data / names[0]).read_text().splitlines(keepends=True)
+    cells = panel[1].rstrip("\n").split(",")
+    header = panel[0].rstrip("\n").split(",")
+    cells[header.index("district")] = "Another place"
+    (data / names[0]).write_text("".join([*panel, ",".join(cells) + "\n"]))
+    second, project = built()
+    assert {n for n in first if second[n] != first[n]} == {"panel", "districted", "dataset-Standard"}
+    assert project.panel().where("district = 'Another place'").count() == 1
+    with (data / names[1]).open("a") as corpus:
+        corpus.write("hunger and rain,2010-01-05,Bor,1,2\n")
+    third, _ = built()
+    assert {n for n in first if third[n] != second[n]} == set(first) - {"panel"}
+
+
+def test_digest_of_rows(spark):
+    rows = [(1, "a", 1.5), (2, None, None), (2, None, None), (None, "b", 0.0)]
+    schema = "i int, s string, x double"
+    whole = stages.content_digest(spark.createDataFrame(rows, schema))
+    assert stages.content_digest(spark.createDataFrame(rows[::-1], schema).repartition(3)) == whole
+    others = [rows[:3], rows + rows[:1], [*rows[:1], *rows[3:]], [(1, "a", 1.5), (2, None, None), (2, None, None), (None, "b", 0.5)]]
+    digests = {stages.content_digest(spark.createDataFrame(r, schema)) for r in others}
+    digests.add(stages.content_digest(spark.createDataFrame(rows, "i int, t string, x double")))
+    assert len(digests) == 5 and whole not in digests
+    swapped = [spark.createDataFrame([(None, "a")], "s string, t string"), spark.createDataFrame([("a", None)], "s string, t string")]
+    assert stages.content_digest(swapped[0]) != stages.content_digest(swapped[1])
+    assert stages.content_digest(spark.createDataFrame([], schema)) != whole
+
+
 def test_stages_are_reused_and_rebuilt(spark, project, folder):
     before = project.corpus().count()
     again = Project(spark, str(folder), topics=12, top_n=3)
