@@ -306,7 +306,7 @@ def select_by_holdout_loss(spark, sf):
 @query("evaluate_network")
 def evaluate_network(spark, sf):
     data, features = _labelled_panel(spark, sf)
-    return ev.model_eval(data, features, "NN", iterations=(50, 100)).metrics
+    return ev.model_eval(data, features, "NN").metrics
 
 
 def _lagged_sql(specs, extra: str) -> str:

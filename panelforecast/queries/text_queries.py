@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforecast.operators import cooccurrence as co
 from panelforecast.operators import places as pl
 from panelforecast.operators import regions as rg
 from panelforecast.operators import series as se
@@ -233,15 +234,14 @@ def articles_by_region_report(spark, sf):
 @query("topic_assign")
 def topic_assign(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    model = tp.fit_topics(docs, k=20, features=1 << 12)
-    return tp.assign_topics(model, docs).select("doc_id", "topic")
+    return tp.assign_topics(tp.fit_topics(docs), docs).select("doc_id", "topic")
 
 
 @query("topic_assign_outliers")
 def topic_assign_outliers(spark, sf):
-    """Topics at the default size of the vocabulary; -1 where a text is far from its centre."""
+    """Topics, -1 where a text is far from its centre."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return tp.assign_topics(tp.fit_topics(docs, k=20), docs, outlier_distance=0.5).select("doc_id", "topic")
+    return tp.assign_topics(tp.fit_topics(docs), docs, outlier_distance=0.5).select("doc_id", "topic")
 
 
 @query("topic_assign_vectors")
@@ -306,6 +306,13 @@ def keyword_topic_similarity(spark, sf):
     return _similarity(spark, sf).withColumn("similarity", r6("similarity"))
 
 
+@query("context_topic_similarity")
+def context_topic_similarity(spark, sf):
+    """Topics near a keyword in the space of word vectors learned from the news, whether or not they hold it."""
+    news = load(spark, sf, NEWS)
+    return co.context_similarity(tp.class_tfidf(news), co.word_vectors(news), ALL_WORDS)
+
+
 @query(
     "vector_topic_similarity",
     """WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
