@@ -510,6 +510,73 @@ def test_template_is_shared_and_nested():
     assert not any("section" in p for p in template)
 
 
+PROSE = "The harbour was quiet on day {i}, and nothing but gulls {i} were heard."
+
+
+def hosted(inside, before="", after="", wrap="article", attributes="", body=""):
+    return [
+        f"<html><body{body.format(i=i)}>{before}<{wrap}{attributes.format(i=i)}>{inside.format(i=i)}<p>{PROSE.format(i=i)}</p></{wrap}>{after}</body></html>"
+        for i in range(20)
+    ]
+
+
+def prose(*lines):
+    return ["\n".join([*[line.format(i=i) for line in lines], PROSE.format(i=i)]) for i in range(20)]
+
+
+def test_words_of_a_name_do_not_remove_parts_of_the_article():
+    parts = "<h2 id='social-impact'>Social impact</h2><section id='related-work'><p>Others {i}</p></section><p class='side-note'>A note</p>"
+    assert extraction.texts_of(hosted(parts)) == prose("Social impact", "Others {i}", "A note")
+    assert extraction.texts_of(hosted(parts)[:1]) == prose("Social impact", "Others {i}", "A note")[:1]
+    names = "<div class='ad-slot-2'>Buy {i}</div><div id='related-posts'>See {i}</div><ul class='share-buttons'><li>Send {i}</ul><aside>Side {i}</aside>"
+    assert extraction.texts_of(hosted(names)) == prose()
+
+
+def test_the_articles_own_header_stays():
+    head = "<header><h1>Story {i}</h1></header>"
+    assert extraction.texts_of(hosted(head, wrap="main", before="<header>The paper {i}</header>")) == prose("Story {i}")
+    around = [f"<body><main><header><h1>Story {i}</h1></header><article><p>{PROSE.format(i=i)}</p></article><div>Next: {i}</div></main></body>" for i in range(20)]
+    assert extraction.texts_of(around) == prose("Story {i}")
+
+
+def test_texts_that_pages_share_belong_to_the_template():
+    push = "<div class='push'>Get our <b>app</b> today</div>"
+    assert extraction.texts_of(hosted(push, before=push, after=push)) == prose()
+    bare = [f"<body><div class='x'>Get our app today</div><div class='y'><p>{PROSE.format(i=i)}</p></div></body>" for i in range(20)]
+    assert extraction.texts_of(bare) == prose()
+
+
+def test_without_its_template_boilerplate_would_stay(monkeypatch):
+    pages = hosted("<div class='push'>Get our app today</div>")
+    assert extraction.texts_of(pages) == prose()
+    monkeypatch.setattr(extraction, "deduce", lambda group, some, support=0.6: ({0}, set()))
+    assert extraction.texts_of(pages) == prose("Get our app today")
+
+
+def test_names_of_one_page_do_not_hide_the_template():
+    push = "<div class='push'>Get our app today</div>"
+    pages = hosted(push, before=push, after="<div>Read on: {i}</div>", attributes=" id='post-{i}'", body=" class='page-{i}'")
+    assert extraction.texts_of(pages) == prose()
+
+
+def test_copies_of_an_article_are_no_template():
+    same = "<body><article><div class='t'>A text that is on many addresses of this host, whole but for its end.</div><div class='u'>It has two parts.</div></article></body>"
+    want = "A text that is on many addresses of this host, whole but for its end.\nIt has two parts."
+    assert extraction.texts_of([same] * 20) == [want] * 20
+    near = [same.replace("two parts", f"two parts or {i}") for i in range(20)]
+    assert extraction.texts_of(near) == [want.replace("two parts", f"two parts or {i}") for i in range(20)]
+
+
+def test_tokens_out_of_order_leave_a_class():
+    assert extraction._in_order([list("abcd"), list("abdc"), list("abcd")]) in ({"a", "b", "c"}, {"a", "b", "d"})
+    assert extraction._in_order([list("abc")]) == set("abc")
+
+
+def test_deep_nesting_takes_no_more_than_its_length():
+    deep = "<span>" * 20000 + "end" + "</b>" * 20000
+    assert extraction.texts_of([deep]) == ["end"]
+
+
 def test_odd_markup_is_survived():
     odd = ["<", "<p", "a < b", "<a href='x>y", "</p></p>", "<!-- open", "<script>never closed", "<p>" * 3000, "&#xZZ; &unknown; &#0;", "<div/><br/>x", "\x00<p>\x00</p>"]
     assert len(extraction.texts_of(odd)) == len(odd)
