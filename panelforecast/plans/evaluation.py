@@ -14,6 +14,7 @@ from panelforecast.operators import models as ml
 from panelforecast.operators.boosting import Settings, fit_forests, predict_forests
 from panelforecast.operators.folds import block_starts, first_fold, holdout_split, interpolated_versions
 from panelforecast.operators.least_squares import Moments, product_sums, read_sums, solve
+from panelforecast.operators.network import predict_network, train_network
 from panelforecast.operators.panel import drop_null_lag, row_position
 from panelforecast.sources.stages import stage
 
@@ -140,8 +141,15 @@ def network_parts(data: DataFrame, features: Sequence[str], label: str, test_siz
 
 
 def _network(data, features, label, settings) -> Evaluation:
+    """The network of the lowest held-out loss, scored every epoch. With ``iterations`` Spark ML's
+    perceptron is fitted instead, scored after those numbers of iterations."""
     rows = stage(network_parts(data, features, label), "network-rows", "role")
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
-    choice = ml.select_by_holdout_loss(train, test, features, **settings)
-    predictions = stage(ml.predict_classes(choice.model, test, KEYS).withColumn("fold", F.lit(0)), "predictions")
+    if "iterations" in settings:
+        choice = ml.select_by_holdout_loss(train, test, features, **settings)
+        guesses = ml.predict_classes(choice.model, test, KEYS)
+    else:
+        choice = train_network(train, test, features, **{"weights": ml.CLASS_WEIGHTS, "units": ml.HIDDEN_UNITS, **settings})
+        guesses = predict_network(choice.model, test, features, KEYS)
+    predictions = stage(guesses.withColumn("fold", F.lit(0)), "predictions")
     return Evaluation(mt.fold_metrics(predictions), predictions.drop("fold"), [choice.model], [list(features)], choice.losses, NETWORK_CLASSES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforecast.functions import columns as fc
 from panelforecast.operators import metrics as mt
 from panelforecast.operators import models as ml
+from panelforecast.operators import network as nw
 from panelforecast.operators.least_squares import LinearFit
 from panelforecast.operators.panel import LagSpec, lag_features
 from panelforecast.plans import datasets as ds
@@ -293,8 +294,8 @@ def gbt_fit(spark, sf):
 def mlp_fit(spark, sf):
     data, features = _labelled_panel(spark, sf)
     rows = stage(ev.network_parts(data, features, "ipc"), "network-rows", "role")
-    model = ml.fit_network(rows.where("role = 'train'"), features)
-    return ml.predict_classes(model, rows, ["date", "district", "role"])
+    fit = nw.train_network(rows.where("role = 'train'"), None, features, weights=ml.CLASS_WEIGHTS, units=ml.HIDDEN_UNITS)
+    return nw.predict_network(fit.model, rows, features, ["date", "district", "role"])
 
 
 @query("select_by_holdout_loss")
