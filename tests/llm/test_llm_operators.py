@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelforecast.llm import extraction, language, mixing, pieces, quality, repeats, sampling, secrets, simhash, vectors
 from panelforecast.llm.common import held_out, read
 from panelforecast.llm.graph import components
+from panelforecast.sources.stages import stage
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -674,6 +675,36 @@ def test_estimates_are_unbiased_and_within_their_bounds():
     assert (np.abs(guess - x @ x.T) <= vectors.CONFIDENCE * off).mean() > 0.999
 
 
+@pytest.mark.parametrize("dim", [1, 5, 64, 100, 200])
+def test_codes_are_read_as_they_were_stored(dim):
+    x = np.random.default_rng(dim).normal(size=(30, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = vectors.Codes(x)
+    again = vectors.Codes.read(codes.stored(), dim)
+    assert len(codes.stored()[0]) == 32 + 40 * -(-dim // 64)
+    for got, want in zip(again.estimate(slice(3, 20), again), codes.estimate(slice(3, 20), codes)):
+        np.testing.assert_array_equal(got, want)
+    turned = x @ vectors.rotations(dim)[0].T
+    c = np.minimum((turned - codes.low[:, None]) / codes.step[:, None] + np.random.default_rng(vectors.ROTATION_SEED + 1).random(dim), 15).astype(int)
+    asked = codes.low[:, None] + codes.step[:, None] * c
+    plain = np.where(turned >= 0, 1.0, -1.0) @ asked.T / np.sqrt(dim) / codes.own[:, None]
+    np.testing.assert_allclose(codes.estimate(slice(0, 30), codes)[0], plain, atol=1e-9)
+
+
+def test_vectors_travel_for_chosen_pairs_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=(200, 64)).tolist()
+    rows = [(i, v, 0) for i, v in enumerate([*far, [x + 1e-4 for x in far[0]]])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    kept = {}
+    monkeypatch.setattr(vectors, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    got = {r.vec_id: r for r in vectors.near_vectors(frame, bits=2, bands=3).collect()}
+    assert got[200].component_id == 0 and got[0].n_links == got[200].n_links == 1 and sum(r.n_links for r in got.values()) == 2
+    assert {"keys", "code"}.isdisjoint(kept["vector-pairs"].columns)
+    assert kept["vector-pairs"].where("rep in (0, 200)").count() >= 2
+    assert kept["vector-pairs"].count() < 3 * len(rows) / 3
+
+
 # ---- every operator, hostile tables
 
 
