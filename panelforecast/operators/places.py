@@ -1,10 +1,12 @@
 """Mapping article locations to districts by substring match in either direction.
 
-The match is found by equality: every substring of a location that is as long as
-some district name is looked up among the names, and the other way round. Only
-true matches ever meet, the work per name is bounded by its length, and Spark is
-free to shuffle both sides, so neither many locations nor a long gazetteer turns
-into a nested loop.
+The match is an equality join on pieces of the texts. A text that may lie inside others is
+filed under one piece of its own, the rarest among the texts it may lie in; those look up
+their pieces, and the whole text is verified where a piece is met. Pieces are as long as the
+largest power of two that fits (at most 64), so a text has a piece for every start and few
+lengths, however many lengths the gazetteer's names have, and a met piece is over half of a
+text of usual length.
+Neither many locations nor a long gazetteer turns into a nested loop.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from panelforecast.sources.stages import stage
 
 NOT_ASSIGNED = "Not assigned"
 ROW_NAMES = 100_000
+# A power of two; it bounds the bytes of a long text's pieces by its length.
+LONGEST_PIECE = 64
 
 
 def gazetteer_of(panel: DataFrame, entity: str = "district") -> DataFrame:
@@ -27,28 +31,52 @@ def gazetteer_of(panel: DataFrame, entity: str = "district") -> DataFrame:
     return names.where(F.col("district").isNotNull()).distinct()
 
 
-def _with_pieces(rows: DataFrame, text: str, other: DataFrame, other_text: str, out: str) -> DataFrame:
-    """Every distinct substring of ``text`` that is as long as some text of the other side.
+def _piece_size(text: str) -> Column:
+    """The largest power of two up to ``LONGEST_PIECE`` that is no longer than the text, 0 for the empty text."""
+    size = F.least(F.length(text), F.lit(LONGEST_PIECE))
+    return F.when(size > 0, F.pow(F.lit(2), F.length(F.bin(size)) - 1).cast("int")).otherwise(0)
 
-    Size 0 gives the empty text, which is contained in everything.
+
+def _pieces(text: Column | str, size: Column) -> Column:
+    """Every distinct part of ``text`` of that size; size 0 gives the empty text, contained in everything."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of the distinct texts of two one-column tables where ``outer`` holds ``inner``.
+
+    Every inner text is filed under its rarest piece, by the number of outer texts with it,
+    ties to the smaller piece. A text of which some piece is in no outer text is in none itself
+    and goes before anything is compared. Missing texts match nothing. A piece of the outer
+    texts moves only if an inner text has it, and hot ones are spread.
     """
-    sizes = other.agg(F.collect_set(F.length(other_text))).scalar()
-    sized = rows.withColumn("_size", F.explode(sizes)).where(F.col("_size") <= F.length(text))
-    starts = F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_size"))))
-    return sized.withColumn(out, F.explode(pieces)).drop("_size")
+    own = inner.withColumn("piece", F.explode(_pieces("inner", _piece_size("inner"))))
+    # no more sizes than a text's length has bits
+    sizes = inner.where("inner is not null").agg(F.collect_set(_piece_size("inner"))).scalar()
+    sized = outer.withColumn("_size", F.explode(sizes)).where(F.col("_size") <= F.length("outer"))
+    parts = sized.select("outer", F.explode(_pieces("outer", F.col("_size"))).alias("piece"))
+    known = lookup_join(parts, own.select("piece").distinct(), "piece", "left_semi", spread_by="outer")
+    known = stage(known.select("outer", "piece"), "pieces")
+    frequency = known.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    counted = lookup_join(own, frequency, "piece", "left", spread_by="inner")
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("piece")))
+    filed = counted.groupBy("inner").agg(rarest.alias("_r")).where("_r.n > 0").select("inner", F.col("_r.piece").alias("piece"))
+    met = lookup_join(known, filed, "piece", "inner", spread_by="outer")
+    return met.where(F.contains("outer", "inner")).select("inner", "outer")
 
 
 def match_locations(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Pairs (place, district) for distinct lower-case places that contain a district
     name or are contained in one. An empty text is contained in everything."""
-    names = gazetteer.select("district", F.lower("district").alias("name"))
-    inside = _with_pieces(locations.select("place"), "place", names, "name", "name")
-    holds = lookup_join(inside, names, "name", "inner", spread_by="place").select("place", "district")
-    # the whole name is left out here: an equal pair was found above
-    parts = _with_pieces(names, "name", locations, "place", "place").where(F.col("place") != F.col("name"))
-    held = lookup_join(parts, locations.select("place"), "place", "inner", spread_by="district").select("place", "district")
-    return holds.unionByName(held)
+    names = gazetteer.select("district", F.lower("district").alias("name")).where("name is not null")
+    distinct = stage(names.select("name").distinct(), "names")
+    places = locations.select("place").where("place is not null")
+    holds = contained(distinct.toDF("inner"), places.toDF("outer")).toDF("name", "place")
+    # an equal pair is among the first ones
+    held = contained(places.toDF("inner"), distinct.toDF("outer")).where("inner != outer").toDF("place", "name")
+    pairs = stage(holds.unionByName(held), "place-names")
+    return lookup_join(pairs, names, "name", "inner", spread_by="place").select("place", "district")
 
 
 def _distinct_places(articles: DataFrame, location: str) -> DataFrame:

@@ -68,6 +68,30 @@ def map_articles_label_fallback(spark, sf):
     return _mapped(spark, sf)
 
 
+# every customer is a place name; locations hold one, lie in some, or match none
+SHOPS = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'Remote' WHEN 1 THEN concat(c_name, ' market')
+             WHEN 2 THEN substring(c_name, 1, length(c_name) - 1) ELSE concat('near ', lower(c_name)) END AS location
+           FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+CUSTOMERS = "SELECT DISTINCT c_name AS district FROM {customer}"
+
+
+@query(
+    "map_articles_long_gazetteer",
+    with_cte(
+        """, spots AS (SELECT DISTINCT location FROM articles),
+           pairs AS (SELECT s.location, g.district FROM spots s JOIN gazetteer g
+                     ON contains(lower(s.location), lower(g.district)) OR contains(lower(g.district), lower(s.location)))
+           SELECT doc_id, coalesce(district, 'Not assigned') AS district
+           FROM articles LEFT JOIN pairs ON articles.location = pairs.location""",
+        articles=SHOPS,
+        gazetteer=CUSTOMERS,
+    ),
+)
+def map_articles_long_gazetteer(spark, sf):
+    """Locations against a gazetteer that grows with the data: every customer's name."""
+    return pl.map_articles(load(spark, sf, SHOPS), load(spark, sf, CUSTOMERS), "label").drop("location")
+
+
 def _counted(spark, sf):
     articles = load(spark, sf, ARTICLES).select("doc_id", "location")
     return pl.count_by_district(articles, pl.gazetteer_of(_places(spark, sf)))

@@ -53,6 +53,31 @@ def test_mapping_equals_brute_force_on_random_names(spark):
     assert {r.doc_id: r.districts for r in weights} == want
 
 
+def test_contained_equals_brute_force_at_any_length(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab\u00e9 ") for _ in range(n))
+    long = word(400)
+    inner = {word(rng.randint(0, 9)) for _ in range(80)} | {long[i : i + n] for i, n in [(0, 64), (3, 65), (50, 127), (100, 128), (90, 300)]}
+    outer = {word(rng.randint(0, 40)) for _ in range(80)} | {long, long[3:60], "", "x"}
+    frame = lambda texts, name: spark.createDataFrame([(t,) for t in [*sorted(texts), None]], f"{name} string")
+    got = sorted((r.inner, r.outer) for r in pl.contained(frame(inner, "inner"), frame(outer, "outer")).collect())
+    assert got == sorted((i, o) for i in inner for o in outer if i in o)
+    assert pl.contained(frame(set(), "inner"), frame(outer, "outer")).count() == 0
+    assert pl.contained(frame(inner, "inner"), frame(set(), "outer")).count() == 0
+
+
+def test_a_name_is_filed_under_its_rarest_piece(spark, monkeypatch):
+    """Names of one common beginning meet only the places that hold the rest of them."""
+    names = [f"customer#{i:09d}" for i in range(300)]
+    places = [f"{n} market" for n in names] + ["customer# of old"]
+    met = []
+    join = pl.lookup_join
+    monkeypatch.setattr(pl, "lookup_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    frame = lambda texts, name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    assert pl.contained(frame(names, "inner"), frame(places, "outer")).count() == 300
+    assert met[-1].count() == 300
+
+
 def test_long_gazetteer_goes_in_several_passes(spark):
     mapped = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "doc_id long, district string")
     gazetteer = spark.range(95).select(F.concat(F.lit("d"), "id").alias("district"))
