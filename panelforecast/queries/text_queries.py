@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforecast.operators import cooccurrence as co
+from panelforecast.operators import density as dn
 from panelforecast.operators import places as pl
 from panelforecast.operators import regions as rg
 from panelforecast.operators import series as se
@@ -274,6 +275,19 @@ def topic_assign_vectors(spark, sf):
     return tp.assign_vector_topics(tp.fit_vector_topics(vectors), vectors).select("vec_id", "topic")
 
 
+@query("topic_density")
+def topic_density(spark, sf):
+    """Topics of the texts by density, as many as there are; -1 for texts that lie apart."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dn.density_topics(dn.text_vectors(docs), "doc_id", "vector")
+
+
+@query("topic_density_vectors")
+def topic_density_vectors(spark, sf):
+    """The same for vectors that come with the rows."""
+    return dn.density_topics(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 WEIGHTS = r""", words AS (SELECT topic, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM news),
   counts AS (SELECT topic, term, count(*) AS tf FROM words GROUP BY 1, 2),
   totals AS (SELECT term, sum(tf) AS total FROM counts GROUP BY 1),
