@@ -114,7 +114,9 @@ def word_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIO
     schema = "term string, vector array<double>"
     if not named:
         return docs.sparkSession.createDataFrame([], schema)
-    matrix = stage(positive_pmi(cooccurrences(docs, terms, text, window)), "positive-pmi")
+    # a word's row, no longer than the vocabulary, lies in one file: tasks then have lines of their own
+    # words only, and a step moves the vocabulary's lines once instead of once a task
+    matrix = stage(positive_pmi(cooccurrences(docs, terms, text, window)).repartition("a"), "positive-pmi")
     vectors = leading_vectors(matrix, len(named), dimensions, seed)
     return docs.sparkSession.createDataFrame([(named[i], v.tolist()) for i, v in enumerate(vectors)], schema)
 
