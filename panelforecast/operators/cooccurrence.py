@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,13 +17,16 @@ from pyspark.sql import DataFrame, functions as F
 from panelforecast.functions.columns import tokens
 from panelforecast.operators.joins import lookup_join
 from panelforecast.operators.topics import vector_similarity
-from panelforecast.sources.stages import stage
+from panelforecast.sources.stages import lean_shuffles, stage
+from panelforecast.sources.tables import fill_cores
 
 # what runs inside tasks travels with them: executors need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Most frequent words that get a vector: it bounds what the driver and a broadcast hold.
 VOCABULARY = 1 << 14
+# Pairs that a task holds before they move, and texts that it pairs up at a time.
+PAIRS_HELD, TEXTS_A_STEP = 1 << 21, 256
 WINDOW, DIMENSIONS, OVERSAMPLE, POWER_STEPS = 5, 50, 20, 2
 
 
@@ -33,23 +37,78 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> D
     return docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(top)], "term string, id int")
 
 
-def cooccurrences(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(a, b, n)``: how often two words of the vocabulary stand at most ``window`` words apart, both ways round.
+def _added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in rising order, with the sum of its numbers."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    return (codes[starts], np.add.reduceat(n, starts)) if len(codes) else (codes, n)
+
+
+def word_ids(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column of word lists: every word's place among the terms, -1 for others, and where each list starts and the last one ends."""
+    ids = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
+
+
+def pair_counts(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(lo, hi, n)``: how often two words of the vocabulary stand at most ``window`` words apart, in either order.
 
-    A word meets the words after it, so pairs grow with the text and not with its square. The
-    vocabulary is bounded and broadcast; pairs are counted before they move.
+    A word meets the words after it, so pairs grow with the text and not with its square. Tasks
+    add up what they have met, at most ``PAIRS_HELD`` pairs at a time, and only sums move.
     """
+    listed = terms.orderBy("id").toArrow()
+    known, size = listed.column("term").combine_chunks(), listed.num_rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        waiting: list[np.ndarray] = []
+
+        def rows(pairs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            lo, hi = np.divmod(pairs[0], max(size, 1))
+            return pa.RecordBatch.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(pairs[1])], ["lo", "hi", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new = np.concatenate(waiting or [np.zeros(0, np.int64)])
+            waiting.clear()
+            return _added(np.concatenate([held[0], new]), np.concatenate([held[1], np.ones(len(new), np.int64)]))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_A_STEP):
+                ids, starts = word_ids(batch.column("w").slice(at, TEXTS_A_STEP), known)
+                own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                for apart in range(1, min(window, max(len(ids) - 1, 0)) + 1):
+                    a, b = ids[:-apart], ids[apart:]
+                    met = (own[:-apart] == own[apart:]) & (a >= 0) & (b >= 0)
+                    waiting.append(np.minimum(a, b)[met] * size + np.maximum(a, b)[met])
+                if sum(map(len, waiting)) >= PAIRS_HELD:
+                    held = merged()
+                    if len(held[0]) >= PAIRS_HELD:
+                        yield rows(held)
+                        held = (held[0][:0], held[1][:0])
+        yield rows(merged())
+
     words = docs.select(tokens(F.col(text)).alias("w")).where(F.size("w") > 1)
-    after = F.transform("w", lambda t, i: F.struct(t.alias("term"), F.slice(F.col("w"), i + 2, F.lit(window)).alias("near")))
-    first = words.select(F.explode(after).alias("p")).select("p.*").join(F.broadcast(terms), "term").select(F.col("id").alias("a"), F.explode("near").alias("term"))
-    pairs = first.join(F.broadcast(terms), "term").select("a", F.col("id").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return both.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(count, "lo int, hi int, n long").groupBy("lo", "hi").agg(F.sum("n").alias("n"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """``(a, b, n)`` of ``(lo, hi, n)``: a word beside itself counts for either place."""
+    there, back = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), "n"), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b"), "n")
+    twice = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), (F.col("n") * 2).alias("n"))
+    return pairs.select(F.inline(F.when(F.col("lo") == F.col("hi"), F.array(twice)).otherwise(F.array(there, back))))
+
+
+def cooccurrences(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(a, b, n)``: how often two words of the vocabulary stand at most ``window`` words apart, both ways round."""
+    return both_ways(stage(pair_counts(docs, terms, text, window), "pair-counts"))
 
 
 def positive_pmi(counts: DataFrame) -> DataFrame:
-    """``(a, b, v)``: ln(n N / (n_a n_b)) where it is above zero; the totals are one row a word."""
-    counts = stage(counts, "cooccurrences")
+    """``(a, b, v)``: ln(n N / (n_a n_b)) where it is above zero; the totals are one row a word.
+
+    ``counts`` are read twice.
+    """
     own = F.broadcast(counts.groupBy("a").agg(F.sum("n").alias("own")))  # no more rows than the vocabulary
     total = counts.agg(F.sum("n")).scalar()
     joined = counts.join(own, "a").join(own.select(F.col("a").alias("b"), F.col("own").alias("other")), "b")
@@ -59,22 +118,27 @@ def positive_pmi(counts: DataFrame) -> DataFrame:
 
 def _times(matrix: DataFrame, x: np.ndarray) -> np.ndarray:
     """The sparse symmetric matrix times ``x``: tasks add up their lines, the shuffle adds up the tasks'."""
-    width = x.shape[1]
+    size, width = x.shape
+    spark = matrix.sparkSession
+    # sent once and taken back: a closure of this size would leave a file on every executor for each step
+    sent = spark.sparkContext.broadcast(x)
 
     def lines(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
         return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), listed], ["a", "line"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, met = np.zeros_like(x), np.zeros(len(x), bool)
+        total, met, x = np.zeros((size, width)), np.zeros(size, bool), sent.value
         for batch in batches:
             a, b, v = (batch.column(c).to_numpy() for c in ("a", "b", "v"))
-            np.add.at(total, a, v[:, None] * x[b])
+            starts = np.flatnonzero(np.diff(a, prepend=-1))  # a word's row lies together: one sum a run
+            if len(starts):
+                np.add.at(total, a[starts], np.add.reduceat(v[:, None] * x[b], starts))
             met[a] = True
         yield lines(np.flatnonzero(met), total[met])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, met = np.zeros_like(x), np.zeros(len(x), bool)
+        total, met = np.zeros((size, width)), np.zeros(size, bool)
         for batch in batches:
             a = batch.column("a").to_numpy()
             np.add.at(total, a, batch.column("line").flatten().to_numpy().reshape(-1, width))
@@ -83,6 +147,7 @@ def _times(matrix: DataFrame, x: np.ndarray) -> np.ndarray:
 
     schema = "a int, line array<double>"
     found = matrix.mapInArrow(partial, schema).repartition("a").mapInArrow(add, schema).toArrow()
+    sent.destroy(blocking=True)
     out = np.zeros_like(x)
     if found.num_rows:
         out[found.column("a").to_numpy()] = found.column("line").combine_chunks().flatten().to_numpy().reshape(-1, width)
@@ -109,16 +174,24 @@ def word_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIO
 
     Null and empty texts have no words; without words the table is empty.
     """
-    terms = stage(vocabulary(docs, text, size), "vocabulary")
+    with lean_shuffles(docs.sparkSession):
+        return _word_vectors(docs, text, dimensions, window, size, seed)
+
+
+def _word_vectors(docs: DataFrame, text: str, dimensions: int, window: int, size: int, seed: int) -> DataFrame:
+    docs = fill_cores(docs.select(F.col(text).alias("text")))
+    terms = stage(vocabulary(docs, "text", size), "vocabulary")
     named = {r.id: r.term for r in terms.collect()}
     schema = "term string, vector array<double>"
     if not named:
         return docs.sparkSession.createDataFrame([], schema)
     # a word's row, no longer than the vocabulary, lies in one file: tasks then have lines of their own
     # words only, and a step moves the vocabulary's lines once instead of once a task
-    matrix = stage(positive_pmi(cooccurrences(docs, terms, text, window)).repartition("a"), "positive-pmi")
+    rows = positive_pmi(cooccurrences(docs, terms, "text", window)).repartition("a").sortWithinPartitions("a", "b")
+    matrix = stage(rows, "positive-pmi")
     vectors = leading_vectors(matrix, len(named), dimensions, seed)
-    return docs.sparkSession.createDataFrame([(named[i], v.tolist()) for i, v in enumerate(vectors)], schema)
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(named) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
+    return docs.sparkSession.createDataFrame(pa.table({"term": pa.array([named[i] for i in range(len(named))]), "vector": listed}))
 
 
 def context_similarity(weights: DataFrame, vectors: DataFrame, keywords: Sequence[str]) -> DataFrame:
