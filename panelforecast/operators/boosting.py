@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforecast.sources.stages import stage
+from panelforecast.sources.stages import drop_stage, lean_shuffles, stage
 
 # what runs inside tasks travels with them: executors need not have the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,8 +29,10 @@ BINS = 255
 MISSING_CODE = 255
 # A leaf's sum of second derivatives grows by this, and none is smaller than one row's.
 PENALTY, LEAST_WEIGHT, LEAST_GAIN = 1.0, 1.0, 1e-6
+# Columns of a tree whose codes are counted together: one job then serves all its levels.
+TOGETHER = 2
 # Trees after which every row's prediction is written down instead of worked out anew.
-TREES_A_STAGE = 10
+TREES_A_STAGE = 3
 # Bits of a value's key that the quantile search reads a step: the first one, then the others.
 FIRST_BITS, NEXT_BITS = 16, 8
 
@@ -76,13 +78,16 @@ class Forest:
 def _leaf(x: np.ndarray, missing: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The node each row ends in: one step a level for all rows."""
     at = np.zeros(len(x), np.int64)
-    rows = np.arange(len(x))
+    values, gaps = x.ravel(), missing.ravel()
+    rows = np.arange(len(x)) * x.shape[1]
     for _ in range(int(len(feature)).bit_length() - 1):
         asks = feature[at]
-        if (asks < 0).all():
+        ends = asks < 0
+        if ends.all():
             break
-        down = np.where(missing[rows, asks], left[at], x[rows, asks] <= threshold[at])
-        at = np.where(asks < 0, at, 2 * at + 2 - down)
+        place = rows + asks  # of rows that have ended any place will do
+        down = np.where(gaps[place], left[at], values[place] <= threshold[at])
+        at = np.where(ends, at, 2 * at + 2 - down)
     return at
 
 
@@ -197,20 +202,29 @@ def _coded(cuts: list[list[np.ndarray]], width: int):
 
 
 def _bytes(values: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in values], pa.binary())
+    data = np.ascontiguousarray(values)
+    width = data[:1].nbytes if len(data) else 0
+    ends = np.arange(len(data) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _read(column: pa.Array, kind, shape: tuple[int, ...]) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), *shape)
+    """Rows of equal width, none null, out of the column's own buffer."""
+    if not len(column) or not math.prod(shape):
+        return np.zeros((len(column), *shape), kind)
+    width = math.prod(shape) * np.dtype(kind).itemsize
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], kind, len(column) * math.prod(shape), fixed.offset * width).reshape(len(column), *shape)
 
 
 def _tree_sums(trees: list[list[tuple]], codes: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """Predictions with some more trees, for all folds; codes stand for the values."""
     out = guess.copy()
     for fold, of_fold in enumerate(trees):
-        mine = codes[:, fold, :]
+        mine = np.ascontiguousarray(codes[:, fold, :])
+        missing = mine == MISSING_CODE
         for feature, code, left, value in of_fold:
-            out[:, fold] += value[_leaf(mine, mine == MISSING_CODE, feature, code, left)]
+            out[:, fold] += value[_leaf(mine, missing, feature, code, left)]
     return out
 
 
@@ -230,8 +244,12 @@ def fit_forests(
     Derivatives are rounded to whole multiples of a power of two so small that 62 bits hold
     any sum of them.
     """
-    s = settings or Settings()
-    spark, width = rows.sparkSession, len(features)
+    with lean_shuffles(rows.sparkSession):
+        return _fit_forests(rows, features, label, folds, key, settings or Settings())
+
+
+def _fit_forests(rows: DataFrame, features: Sequence[str], label: str, folds: int, key: Sequence[str] | None, s: Settings) -> list[Forest]:
+    width = len(features)
     named = [F.col(f"`{c}`") for c in (key or [*features, label])]
     given = rows.where(F.col(f"`{label}`").isNotNull()).select(
         F.col("epoch").cast("int").alias("epoch"),
@@ -258,15 +276,20 @@ def fit_forests(
     for tree in range(s.maxIter):
         columns = drawn_columns(width, tree, s.seed, s.columnRate) if width else np.zeros(0, np.int64)
         partial = [(np.full(nodes, -1, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes, bool), np.zeros(nodes)) for _ in range(folds)]
+        together = _histograms(state, recent, partial, tree, 0, columns, width, folds, s, scale, True) if 1 <= len(columns) <= TOGETHER else None
         for level in range(s.maxDepth):
-            sums = _histograms(state, recent, partial, tree, level, columns, width, folds, s, scale)
+            if together is None:
+                sums = _histograms(state, recent, partial, tree, level, columns, width, folds, s, scale)
+            else:
+                sums = [_of_level(together[f, 0, 0], partial[f], level, columns, width) for f in range(folds)]
             if not any([_split(partial[f], sums[f], level, columns, scale, s.stepSize) for f in range(folds)]):
                 break
         for f in range(folds):
             recent[f].append(partial[f])
             grown[f].append(partial[f])
         if len(recent[0]) == TREES_A_STAGE and tree + 1 < s.maxIter:
-            state = stage(_moved_on(state, recent, width, folds), "tree-codes")
+            before, state = state, stage(_moved_on(state, recent, width, folds), "tree-codes")
+            drop_stage(before)
             recent = [[] for _ in range(folds)]
     return [Forest(None, *empty) if np.isnan(base[f]) else _forest(float(base[f]), grown[f], cuts[f], empty) for f in range(folds)]
 
@@ -294,34 +317,51 @@ def _moved_on(state: DataFrame, recent: list[list[tuple]], width: int, folds: in
 
 
 def _histograms(
-    state: DataFrame, recent: list[list[tuple]], partial: list[tuple], tree: int, level: int, columns: np.ndarray, width: int, folds: int, s: Settings, scale: float
+    state: DataFrame, recent: list[list[tuple]], partial: list[tuple], tree: int, level: int, columns: np.ndarray, width: int, folds: int, s: Settings, scale: float, together: bool = False
 ) -> np.ndarray:
     """``[fold, node, column, code, (G, H)]`` of the level's nodes, as whole numbers; one aggregate.
 
+    ``together`` gives one column instead, whose code is all the columns' codes one after another.
     Without columns there is one pretended column, all missing, so that nodes still have their sums.
     """
     at_level, wide = 2**level, max(1, len(columns))
-    shape = (folds, at_level, wide, MISSING_CODE + 1)
+    span = MISSING_CODE + 1
+    if together:
+        wide, span = 1, span ** len(columns)
+    shape = (folds, at_level, wide, span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = np.zeros(shape, np.int64).ravel(), np.zeros(shape, np.int64).ravel()
+        first, second = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
         for batch in batches:
-            epoch = batch.column("epoch").to_numpy(zero_copy_only=False)
             inside = drawn(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), tree, s.seed, s.subsamplingRate)
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            codes = _read(batch.column("codes"), np.uint8, (folds, width))
-            guess = _tree_sums(recent, codes, _read(batch.column("guess"), np.float64, (folds,)))
+            epoch = batch.column("epoch").to_numpy(zero_copy_only=False)[inside]
+            y = batch.column("y").to_numpy(zero_copy_only=False)[inside]
+            codes = _read(batch.column("codes"), np.uint8, (folds, width))[inside]
+            guess = _read(batch.column("guess"), np.float64, (folds,))[inside]
             for f, (feature, code, left, _) in enumerate(partial):
-                use = inside & (epoch <= f)
-                mine = codes[use, f, :]
-                node = _leaf(mine, mine == MISSING_CODE, feature, code, left) if level else np.zeros(len(mine), np.int64)
+                use = epoch <= f
+                mine = np.ascontiguousarray(codes[use, f, :])
+                missing = mine == MISSING_CODE
+                node = _leaf(mine, missing, feature, code, left) if level else np.zeros(len(mine), np.int64)
                 node -= at_level - 1
                 here = node >= 0  # others have ended in a leaf further up
-                slope = np.rint((guess[use, f] - y[use])[here] * scale).astype(np.int64)
-                mine = mine[here][:, columns] if len(columns) else np.full((len(slope), 1), MISSING_CODE)
-                cell = ((f * at_level + node[here])[:, None] * wide + np.arange(wide)) * (MISSING_CODE + 1) + mine
-                np.add.at(first, cell.ravel(), np.repeat(slope, wide))
-                np.add.at(second, cell.ravel(), 1)
+                if not here.all():
+                    node, mine, missing, use = node[here], mine[here], missing[here], np.flatnonzero(use)[here]
+                own = guess[use, f]
+                for grown in recent[f]:
+                    own = own + grown[3][_leaf(mine, missing, *grown[:3])]
+                slope = np.rint((own - y[use]) * scale).astype(np.int64)
+                mine = mine[:, columns] if len(columns) else np.full((len(slope), 1), MISSING_CODE)
+                if together:
+                    mine = mine.astype(np.int64) @ (MISSING_CODE + 1) ** np.arange(len(columns) - 1, -1, -1)[:, None]
+                # sums of halves of 30 bits are exact in doubles for any batch of less than 2^22 rows
+                high, low = (slope >> 30).astype(float), (slope & ((1 << 30) - 1)).astype(float)
+                for c in range(wide):
+                    cell = node * span + mine[:, c]
+                    n, upper, lower = (np.bincount(cell, w, at_level * span).astype(np.int64).reshape(at_level, -1) for w in (None, high, low))
+                    second[f, :, c] += n
+                    first[f, :, c] += (upper << 30) + lower
+        first, second = first.ravel(), second.ravel()
         used = np.flatnonzero(second)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(first[used]), pa.array(second[used])], ["cell", "g", "h"])
 
@@ -331,6 +371,20 @@ def _histograms(
     return sums.reshape(*shape, 2)
 
 
+def _of_level(together: np.ndarray, tree: tuple, level: int, columns: np.ndarray, width: int) -> np.ndarray:
+    """``[node, column, code, (G, H)]`` of a level from the sums by all codes of the tree's columns."""
+    feature, code, left, _ = tree
+    grid = np.zeros((len(together), width), np.uint8)
+    for i, column in enumerate(reversed(columns)):
+        grid[:, column] = np.arange(len(together)) // (MISSING_CODE + 1) ** i % (MISSING_CODE + 1)
+    node = _leaf(grid, grid == MISSING_CODE, feature, code, left) - (2**level - 1) if level else np.zeros(len(grid), np.int64)
+    here = (node >= 0) & (together[:, 1] > 0)
+    sums = np.zeros((2**level, len(columns), MISSING_CODE + 1, 2), np.int64)
+    for i, column in enumerate(columns):
+        np.add.at(sums[:, i], (node[here], grid[here, column]), together[here])
+    return sums
+
+
 def _split(tree: tuple, sums: np.ndarray, level: int, columns: np.ndarray, scale: float, step: float) -> bool:
     """Give the level's nodes their values and best splits; False where none is split. Children get theirs from the split."""
     feature, code, left, value = tree

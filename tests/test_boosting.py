@@ -170,3 +170,20 @@ def test_evaluation_uses_all_rounds_and_folds(spark):
     assert [len(m.feature) for m in result.models] == [21, 21]
     assert result.means().first().mean_accuracy > 0.8
     assert result.predictions.count() == 2 * (len(rows) // 3)
+
+
+def test_columns_counted_together_give_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, *[None if rng.random() < 0.1 else float(rng.integers(0, 40)) for _ in range(3)], float(rng.integers(1, 6))) for i in range(400)]
+    df = stage(spark.createDataFrame(rows, "id long, epoch int, a double, b double, c double, y double").repartition(3), "together")
+    jobs, found = [], {}
+    plain = bo._histograms
+    monkeypatch.setattr(bo, "_histograms", lambda *a: jobs.append(1) or plain(*a))
+    for most in (2, 0):
+        monkeypatch.setattr(bo, "TOGETHER", most)
+        jobs.clear()
+        found[most] = bo.fit_forests(df, ["a", "b", "c"], "y", 3, ["id"], bo.Settings(maxIter=5, stepSize=0.3)), len(jobs)
+    assert found[2][1] == 5 < found[0][1]
+    for one, other in zip(found[2][0], found[0][0]):
+        for name in ("feature", "threshold", "missing_left", "value"):
+            np.testing.assert_array_equal(getattr(one, name), getattr(other, name))
