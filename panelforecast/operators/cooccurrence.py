@@ -25,24 +25,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Most frequent words that get a vector: it bounds what the driver and a broadcast hold.
 VOCABULARY = 1 << 14
-# Pairs that a task holds before they move, and texts that it pairs up at a time.
-PAIRS_HELD, TEXTS_A_STEP = 1 << 21, 256
+# Pairs that a task holds before they are added up and move, and texts that it pairs up at a time.
+PAIRS_HELD, TEXTS_A_STEP = 1 << 23, 256
+# Words are dealt to bands by the remainder of their number, so that the frequent ones, which come first, are
+# spread. A band's counts are dense where they are added up; a strip of so many of its words is one row of a table.
+BANDS, STRIP = 64, 32
 WINDOW, DIMENSIONS, OVERSAMPLE, POWER_STEPS = 5, 50, 20, 2
+_STRIPS = "band int, first int, lengths binary, b binary, n binary, own binary"
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """``(term, id)``: the ``size`` most frequent words, ties in the order of the alphabet, numbered from 0."""
-    counts = docs.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "term").limit(size).select("term").toPandas()["term"].tolist()
-    return docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(top)], "term string, id int")
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(term, n)``: how often each word occurs."""
+    return docs.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
 
+def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY, counts: DataFrame | None = None) -> DataFrame:
+    """``(term, id)``: the ``size`` most frequent words, ties in the order of the alphabet, numbered from 0.
 
-def _added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code once, in rising order, with the sum of its numbers."""
-    order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], n[order]
-    starts = np.flatnonzero(np.diff(codes, prepend=-1))
-    return (codes[starts], np.add.reduceat(n, starts)) if len(codes) else (codes, n)
+    ``counts`` are the texts' ``term_counts`` where they are known already.
+    """
+    counts = term_counts(docs, text) if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "term").limit(size).select("term").toPandas()["term"].tolist()
+    return docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(top)], "term string, id int")
 
 
 def word_ids(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,102 +55,170 @@ def word_ids(words: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
 
 
-def pair_counts(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(lo, hi, n)``: how often two words of the vocabulary stand at most ``window`` words apart, in either order.
+def _narrow(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _as_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["band", "first", "lengths", "b", "n", "own"])
+
+
+def _of_rows(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Band, first word of the strip, and its pairs: the words' places in the strip, the other words, the counts."""
+    for i in range(batch.num_rows):
+        band, first = batch.column("band")[i].as_py(), batch.column("first")[i].as_py()
+        lengths, b, n = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("lengths", np.int32), ("b", _narrow(size)), ("n", np.int64)))
+        yield band, first, np.repeat(np.arange(len(lengths)), lengths), b, n
+
+
+def _filed(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    """A row for every band that has some of the pairs, as its words' number of pairs, the other words and the counts."""
+    rows = -(-size // BANDS)
+    key = (a % BANDS * rows + a // BANDS).astype(_narrow(BANDS * rows))
+    order = np.argsort(key, kind="stable")
+    lengths = np.bincount(key, minlength=BANDS * rows).astype(np.int32).reshape(BANDS, rows)
+    ends, b, n = np.cumsum(lengths.sum(axis=1)), b[order].astype(_narrow(size)), n[order]
+    cuts = [(k, slice(ends[k - 1] if k else 0, ends[k])) for k in np.flatnonzero(lengths.any(axis=1)).tolist()]
+    return _as_rows([(k, 0, lengths[k].tobytes(), b[c].tobytes(), n[c].tobytes(), None) for k, c in cuts])
+
+
+def _added_up(filed: DataFrame, size: int) -> DataFrame:
+    """The counts of all rows of a band together, in strips with their words' sums; a task holds one band, dense."""
+    rows = -(-size // BANDS)
+
+    def strips(band: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, rows, STRIP):
+            some = total[first : first + STRIP]
+            a, b = np.nonzero(some)
+            lengths = np.bincount(a, minlength=len(some)).astype(np.int32)
+            yield _as_rows([(band, first, lengths.tobytes(), b.astype(_narrow(size)).tobytes(), some[a, b].tobytes(), some.sum(axis=1).tobytes())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros((rows, size), np.int64)
+        for batch in batches:
+            for band, first, a, b, n in _of_rows(batch, size):
+                if band != at and at is not None:
+                    yield from strips(at, total)
+                    total[:] = 0
+                at = band
+                total[first + a, b] += n  # a row has a pair once
+        if at is not None:
+            yield from strips(at, total)
+
+    return filed.repartition(BANDS, "band").sortWithinPartitions("band").mapInArrow(add, _STRIPS)
+
 
-    A word meets the words after it, so pairs grow with the text and not with its square. Tasks
-    add up what they have met, at most ``PAIRS_HELD`` pairs at a time, and only sums move.
+def pair_strips(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """How often two words of the vocabulary stand at most ``window`` words apart, in either order, in strips of the smaller word.
+
+    A word meets the words after it, so pairs grow with the text and not with its square. Tasks add
+    up ``PAIRS_HELD`` pairs at a time, and what moves is a row for each band with three bytes or so a pair.
     """
     listed = terms.orderBy("id").toArrow()
-    known, size = listed.column("term").combine_chunks(), listed.num_rows
+    known, size = listed.column("term").combine_chunks(), max(listed.num_rows, 1)
+    kind = np.int32 if size * size < 1 << 31 else np.int64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         waiting: list[np.ndarray] = []
 
-        def rows(pairs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            lo, hi = np.divmod(pairs[0], max(size, 1))
-            return pa.RecordBatch.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(pairs[1])], ["lo", "hi", "n"])
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate(waiting or [np.zeros(0, np.int64)])
+        def added() -> pa.RecordBatch:
+            codes = np.concatenate(waiting or [np.zeros(0, kind)])
             waiting.clear()
-            return _added(np.concatenate([held[0], new]), np.concatenate([held[1], np.ones(len(new), np.int64)]))
+            codes.sort()
+            starts = np.flatnonzero(np.diff(codes, prepend=codes.dtype.type(-1)))
+            n = np.diff(starts, append=len(codes))
+            lo, hi = np.divmod(codes[starts], codes.dtype.type(size))
+            return _filed(lo, hi, n, size)
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_A_STEP):
                 ids, starts = word_ids(batch.column("w").slice(at, TEXTS_A_STEP), known)
-                own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                ids, own = ids.astype(kind), np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
                 for apart in range(1, min(window, max(len(ids) - 1, 0)) + 1):
                     a, b = ids[:-apart], ids[apart:]
                     met = (own[:-apart] == own[apart:]) & (a >= 0) & (b >= 0)
-                    waiting.append(np.minimum(a, b)[met] * size + np.maximum(a, b)[met])
+                    a, b = a[met], b[met]
+                    waiting.append(np.minimum(a, b) * kind(size) + np.maximum(a, b))
                 if sum(map(len, waiting)) >= PAIRS_HELD:
-                    held = merged()
-                    if len(held[0]) >= PAIRS_HELD:
-                        yield rows(held)
-                        held = (held[0][:0], held[1][:0])
-        yield rows(merged())
+                    yield added()
+        yield added()
 
     words = docs.select(tokens(F.col(text)).alias("w")).where(F.size("w") > 1)
-    return words.mapInArrow(count, "lo int, hi int, n long").groupBy("lo", "hi").agg(F.sum("n").alias("n"))
+    return _added_up(words.mapInArrow(count, _STRIPS), size)
+
+
+def both_ways(strips: DataFrame, size: int) -> DataFrame:
+    """The same counts with every pair under either word; a word beside itself counts for either place.
+
+    No more than the vocabulary's square moves, however long the texts are.
+    """
 
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, first, a, b, n in _of_rows(batch, size):
+                a, b = (first + a) * BANDS + band, b.astype(np.int64)
+                yield _filed(a, b, n, size)
+                yield _filed(b, a, n, size)  # a pair of one word comes twice, as it should
+
+    return _added_up(strips.mapInArrow(turn, _STRIPS), size)
+
+
+def _listed(strips: DataFrame, size: int, a: str, b: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, first, x, y, n in _of_rows(batch, size):
+                x = ((first + x) * BANDS + band).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32)), pa.array(n)], [a, b, "n"])
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    """``(a, b, n)`` of ``(lo, hi, n)``: a word beside itself counts for either place."""
-    there, back = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), "n"), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b"), "n")
-    twice = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), (F.col("n") * 2).alias("n"))
-    return pairs.select(F.inline(F.when(F.col("lo") == F.col("hi"), F.array(twice)).otherwise(F.array(there, back))))
+    return strips.mapInArrow(rows, f"{a} int, {b} int, n long")
+
+
+def pair_counts(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(lo, hi, n)``: the counts of ``pair_strips``, a row each."""
+    return _listed(pair_strips(docs, terms, text, window), max(terms.count(), 1), "lo", "hi")
 
 
 def cooccurrences(docs: DataFrame, terms: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(a, b, n)``: how often two words of the vocabulary stand at most ``window`` words apart, both ways round."""
-    return both_ways(stage(pair_counts(docs, terms, text, window), "pair-counts"))
+    size = max(terms.count(), 1)
+    return _listed(both_ways(stage(pair_strips(docs, terms, text, window), "pair-counts"), size), size, "a", "b")
 
 
-def positive_pmi(counts: DataFrame) -> DataFrame:
-    """``(a, b, v)``: ln(n N / (n_a n_b)) where it is above zero; the totals are one row a word.
+def word_totals(counts: DataFrame, size: int) -> np.ndarray:
+    """The sum of every word's counts, by its number."""
+    rows, out = -(-size // BANDS), np.zeros(-(-size // BANDS) * BANDS)
+    for r in counts.select("band", "first", "own").toLocalIterator():
+        own = np.frombuffer(r.own, np.int64)
+        out[(r.first + np.arange(len(own))) * BANDS + r.band] = own
+    return out[:size] if rows else out
 
-    ``counts`` are read twice.
-    """
-    own = F.broadcast(counts.groupBy("a").agg(F.sum("n").alias("own")))  # no more rows than the vocabulary
-    total = counts.agg(F.sum("n")).scalar()
-    joined = counts.join(own, "a").join(own.select(F.col("a").alias("b"), F.col("own").alias("other")), "b")
-    value = F.log(F.col("n") * total / (F.col("own").cast("double") * F.col("other")))
-    return joined.select("a", "b", value.alias("v")).where("v > 0")
 
+def _times(counts: DataFrame, own: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Positive PMI, ln(n N / (n_a n_b)) where it is above zero, times ``x``.
 
-def _times(matrix: DataFrame, x: np.ndarray) -> np.ndarray:
-    """The sparse symmetric matrix times ``x``: tasks add up their lines, the shuffle adds up the tasks'."""
+    A strip has its words' whole rows, so that its lines of the product are whole as well and nothing is
+    shuffled. It is multiplied as a dense one: a step costs no more than the vocabulary's square, however full it is.
+    """
     size, width = x.shape
-    spark = matrix.sparkSession
+    total = own.sum()
     # sent once and taken back: a closure of this size would leave a file on every executor for each step
-    sent = spark.sparkContext.broadcast(x)
+    sent = counts.sparkSession.sparkContext.broadcast((own, x))
 
-    def lines(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), listed], ["a", "line"])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, met, x = np.zeros((size, width)), np.zeros(size, bool), sent.value
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x = sent.value
+        dense = np.zeros((STRIP, size))
         for batch in batches:
-            a, b, v = (batch.column(c).to_numpy() for c in ("a", "b", "v"))
-            starts = np.flatnonzero(np.diff(a, prepend=-1))  # a word's row lies together: one sum a run
-            if len(starts):
-                np.add.at(total, a[starts], np.add.reduceat(v[:, None] * x[b], starts))
-            met[a] = True
-        yield lines(np.flatnonzero(met), total[met])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, met = np.zeros((size, width)), np.zeros(size, bool)
-        for batch in batches:
-            a = batch.column("a").to_numpy()
-            np.add.at(total, a, batch.column("line").flatten().to_numpy().reshape(-1, width))
-            met[a] = True
-        yield lines(np.flatnonzero(met), total[met])
-
-    schema = "a int, line array<double>"
-    found = matrix.mapInArrow(partial, schema).repartition("a").mapInArrow(add, schema).toArrow()
+            for band, first, a, b, n in _of_rows(batch, size):
+                ids = np.arange((first * BANDS) + band, size, BANDS)[:STRIP]
+                dense[:] = 0
+                dense[a, b] = np.maximum(np.log(n * total / (own[ids][a] * own[b])), 0) if len(n) else 0
+                product = (dense @ x)[: len(ids)]
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * width), pa.array(product.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), listed], ["a", "line"])
+
+    found = counts.select("band", "first", "lengths", "b", "n").mapInArrow(lines, "a int, line array<double>").toArrow()
     sent.destroy(blocking=True)
     out = np.zeros_like(x)
     if found.num_rows:
@@ -154,42 +226,41 @@ def _times(matrix: DataFrame, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def leading_vectors(matrix: DataFrame, size: int, dimensions: int = DIMENSIONS, seed: int = 69) -> np.ndarray:
-    """Left singular vectors times the roots of the singular values, by a randomised range finder with power steps.
+def leading_vectors(counts: DataFrame, size: int, dimensions: int = DIMENSIONS, seed: int = 69) -> np.ndarray:
+    """Of the positive PMI of counts in strips, both ways round: left singular vectors times the roots of the singular values, by a randomised range finder with power steps.
 
     ``size`` x (``dimensions`` + 20) numbers are on the driver and in a task at a time; the matrix
     is read once a step. The matrix is symmetric, so singular values are sizes of eigenvalues.
     """
+    own = word_totals(counts, size)
     x = np.random.default_rng(seed).standard_normal((size, min(size, dimensions + OVERSAMPLE)))
     for _ in range(1 + POWER_STEPS):
-        x = np.linalg.qr(_times(matrix, x))[0]
-    small = x.T @ _times(matrix, x)
+        x = np.linalg.qr(_times(counts, own, x))[0]
+    small = x.T @ _times(counts, own, x)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     first = np.argsort(-np.abs(values), kind="stable")[:dimensions]
     return x @ turn[:, first] * np.sqrt(np.abs(values[first]))
 
 
-def word_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, window: int = WINDOW, size: int = VOCABULARY, seed: int = 69) -> DataFrame:
+def word_vectors(docs: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, window: int = WINDOW, size: int = VOCABULARY, seed: int = 69, counts: DataFrame | None = None) -> DataFrame:
     """``(term, vector)``: words that stand near the same words have vectors that point the same way.
 
-    Null and empty texts have no words; without words the table is empty.
+    Null and empty texts have no words; without words the table is empty. ``counts`` are the texts'
+    ``term_counts`` where they are known, so that the texts are read once less.
     """
     with lean_shuffles(docs.sparkSession):
-        return _word_vectors(docs, text, dimensions, window, size, seed)
+        return _word_vectors(docs, text, dimensions, window, size, seed, counts)
 
 
-def _word_vectors(docs: DataFrame, text: str, dimensions: int, window: int, size: int, seed: int) -> DataFrame:
+def _word_vectors(docs: DataFrame, text: str, dimensions: int, window: int, size: int, seed: int, counts: DataFrame | None) -> DataFrame:
     docs = fill_cores(docs.select(F.col(text).alias("text")))
-    terms = stage(vocabulary(docs, "text", size), "vocabulary")
+    terms = stage(vocabulary(docs, "text", size, counts), "vocabulary")
     named = {r.id: r.term for r in terms.collect()}
     schema = "term string, vector array<double>"
     if not named:
         return docs.sparkSession.createDataFrame([], schema)
-    # a word's row, no longer than the vocabulary, lies in one file: tasks then have lines of their own
-    # words only, and a step moves the vocabulary's lines once instead of once a task
-    rows = positive_pmi(cooccurrences(docs, terms, "text", window)).repartition("a").sortWithinPartitions("a", "b")
-    matrix = stage(rows, "positive-pmi")
-    vectors = leading_vectors(matrix, len(named), dimensions, seed)
+    pairs = stage(pair_strips(docs, terms, "text", window), "pair-counts")
+    vectors = leading_vectors(stage(both_ways(pairs, len(named)), "cooccurrences"), len(named), dimensions, seed)
     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(named) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
     return docs.sparkSession.createDataFrame(pa.table({"term": pa.array([named[i] for i in range(len(named))]), "vector": listed}))
 

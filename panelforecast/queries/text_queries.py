@@ -348,7 +348,9 @@ def keyword_topic_similarity(spark, sf):
 def context_topic_similarity(spark, sf):
     """Topics near a keyword in the space of word vectors learned from the news, whether or not they hold it."""
     news = load(spark, sf, NEWS)
-    return co.context_similarity(tp.class_tfidf(news), co.word_vectors(news), ALL_WORDS)
+    weights = tp.class_tfidf(news)
+    counts = weights.groupBy("term").agg(F.sum("tf").alias("n"))
+    return co.context_similarity(weights, co.word_vectors(news, counts=counts), ALL_WORDS)
 
 
 @query(

@@ -87,3 +87,27 @@ def test_pairs_are_added_up_however_few_a_task_holds(spark, monkeypatch):
     monkeypatch.setattr(co, "PAIRS_HELD", 3)
     monkeypatch.setattr(co, "TEXTS_A_STEP", 2)
     assert sorted(map(tuple, co.pair_counts(docs, terms).collect())) == want and all(lo <= hi for lo, hi, _ in want)
+
+
+def test_counts_move_and_are_multiplied_in_strips(spark, monkeypatch):
+    texts = corpus()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    counted = co.term_counts(docs)
+    terms = co.vocabulary(docs, counts=counted)
+    names = [r.term for r in terms.orderBy("id").collect()]
+    plain, pmi = dense(texts, co.WINDOW, names)
+    x = np.random.default_rng(3).standard_normal((len(names), 4))
+    for bands, strip in ((co.BANDS, co.STRIP), (2, 3)):
+        monkeypatch.setattr(co, "BANDS", bands)
+        monkeypatch.setattr(co, "STRIP", strip)
+        pairs = co.pair_strips(docs, terms)
+        # a row a strip, not one a pair
+        assert pairs.count() <= bands * -(-len(names) // (bands * strip)) < np.count_nonzero(plain) / 2
+        both = co.both_ways(pairs, len(names))
+        own = co.word_totals(both, len(names))
+        np.testing.assert_array_equal(own, plain.sum(axis=1))
+        np.testing.assert_allclose(co._times(both, own, x), pmi @ x, atol=1e-12)
+        vectors = [{r.term: r.vector for r in co.word_vectors(docs, dimensions=4, counts=c).collect()} for c in (None, counted)]
+        assert vectors[0].keys() == set(names)
+        for t in names:
+            np.testing.assert_allclose(vectors[0][t], vectors[1][t], atol=1e-9)
