@@ -6,8 +6,8 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforecast.functions.columns import TOKEN_PATTERN, tokens
 from panelforecast.operators.joins import lookup_join, measured_bytes
-from panelforecast.sources.stages import stage
+from panelforecast.sources.stages import drop_stage, stage
 from panelforecast.sources.tables import fill_cores, in_fixed_order
 
 # Tags and the keywords whose topics they stand for.
@@ -54,57 +54,87 @@ TOPIC_PARTS = 32
 SHARE_BYTES = 8 * 1024 * 1024
 
 
+def _word_stages(text: str, features: int) -> PipelineModel:
+    return PipelineModel(
+        [
+            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
+            StopWordsRemover(inputCol="_tokens", outputCol="_words"),
+            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        ]
+    )
+
+
+def _counted(corpus: DataFrame, words: PipelineModel, text: str) -> DataFrame:
+    """The corpus with the counts of its words and a hash of the text in place of the text.
+
+    Texts are tokenized once, where they are, and do not move: every later step reads this stage.
+    """
+    rows = words.transform(fill_cores(corpus).na.fill("", [text])).withColumn("_order", F.xxhash64(text))
+    return stage(rows.select(*[c for c in corpus.columns if c != text], "_order", "_tf"), "word-counts")
+
+
+def _fit_counted(counted: DataFrame, k: int, seed: int, parts: int) -> list:
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit")
+    dealt = counted.select("_order", "_tf").repartition(parts, "_order").sortWithinPartitions("_order").select("_tf")
+    # the solver for sparse rows keeps the rows itself, in memory and on disk; asking for it spares a look at all rows
+    kmeans = KMeans(featuresCol="_unit", predictionCol="topic", k=k, seed=seed, solver="row")
+    return [idf, unit, kmeans.fit(unit.transform(idf.transform(dealt)))]
+
+
 def fit_topics(
     corpus: DataFrame, text: str = "text", k: int = 50, features: int = 1 << 14, seed: int = 69, parts: int = TOPIC_PARTS
 ) -> PipelineModel:
     """Topic model: hashed TF-IDF of the whole text, KMeans on unit vectors.
 
-    The same texts and seed give the same topics: texts are dealt by a hash to ``parts``
-    tasks and sorted there, on any cluster and at any size.
+    The same texts and seed give the same topics: the texts' counts are dealt by a hash of the text to
+    ``parts`` tasks and sorted there, on any cluster and at any size.
 
     Distances between unit vectors order like cosines, and a text without words is a
     legal zero vector. Hashing keeps the vocabulary off the driver; the model's size is k x features.
     """
-    words = PipelineModel(
-        [
-            RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
-            StopWordsRemover(inputCol="_tokens", outputCol="_words"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        ]
-    )
-    # texts are tokenized once for the two fits
-    counts = words.transform(in_fixed_order(corpus.select(text).na.fill("", [text]), parts)).select("_tf")
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    shape = Pipeline(
-        stages=[
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="_unit"),
-            KMeans(featuresCol="_unit", predictionCol="topic", k=k, seed=seed),
-        ]
-    ).fit(counts)
-    counts.unpersist()
-    return PipelineModel([*words.stages, *shape.stages])
+    words = _word_stages(text, features)
+    counted = _counted(corpus.select(text), words, text)
+    model = PipelineModel([*words.stages, *_fit_counted(counted, k, seed, parts)])
+    drop_stage(counted)
+    return model
 
 
 def assign_topics(
     model: PipelineModel, corpus: DataFrame, text: str = "text", outlier_distance: float | None = None
 ) -> DataFrame:
     """One ``topic`` per document; -1 beyond ``outlier_distance`` (cosine) from its centre."""
-    helpers = [s.getOutputCol() for s in model.stages if s.hasParam("outputCol")]
-    scored = model.transform(fill_cores(corpus).na.fill("", [text]))
+    return _scored(model.stages, fill_cores(corpus).na.fill("", [text]), outlier_distance)
+
+
+def _scored(stages: list, rows: DataFrame, outlier_distance: float | None) -> DataFrame:
+    helpers = [s.getOutputCol() for s in stages if s.hasParam("outputCol")]
+    scored = PipelineModel(stages).transform(rows)
     if outlier_distance is not None:
-        scored = _with_outliers(scored, model.stages[-1], "_unit", outlier_distance)
+        scored = _with_outliers(scored, stages[-1], "_unit", outlier_distance)
     return scored.drop(*helpers)
 
 
+def own_topics(
+    corpus: DataFrame, text: str = "text", k: int = 50, features: int = 1 << 14, seed: int = 69, outlier_distance: float | None = None
+) -> DataFrame:
+    """The corpus, without its text, with the topics that ``fit_topics`` finds in it and ``assign_topics`` gives it.
+
+    Fit and assignment share one reading of the texts.
+    """
+    counted = _counted(corpus, _word_stages(text, features), text)
+    return _scored(_fit_counted(counted, k, seed, TOPIC_PARTS), counted, outlier_distance).drop("_order", "_tf")
+
+
 def _with_outliers(scored: DataFrame, kmeans, features: str, outlier_distance: float) -> DataFrame:
     """Topic -1 where the cosine distance to the topic's centre is too large.
 
     Centres are a table of one row per topic that is looked up by topic; the product
     runs over the words a text has. A text without words keeps its topic.
     """
-    rows = [(i, float((c @ c) ** 0.5), [float(x) for x in c]) for i, c in enumerate(kmeans.clusterCenters())]
-    centres = scored.sparkSession.createDataFrame(rows, "topic int, _norm double, _centre array<double>")
+    found = kmeans.clusterCenters()
+    listed = {"topic": pa.array(range(len(found)), pa.int32()), "_norm": [float((c @ c) ** 0.5) for c in found], "_centre": pa.array(found)}
+    centres = scored.sparkSession.createDataFrame(pa.table(listed))
     joined = lookup_join(scored, centres, "topic", "left", spread_by=features)
     unit = F.unwrap_udt(F.col(features))
     terms = F.zip_with(unit["indices"], unit["values"], lambda i, x: x * F.get("_centre", i))

@@ -259,7 +259,7 @@ def articles_by_region_report(spark, sf):
 @query("topic_assign")
 def topic_assign(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return tp.assign_topics(tp.fit_topics(docs), docs).select("doc_id", "topic")
+    return tp.own_topics(docs).select("doc_id", "topic")
 
 
 @query("topic_assign_outliers")

@@ -323,3 +323,16 @@ def test_article_features_with_and_without_fanout(spark):
     assert fan[0] == (True, False, 2) and fan[6] == (True, False, 2) and fan[2] == (False, True, 1)
     single = ds.article_features(corpus, words, fanout=False, top_n=1, final_n=1)
     assert single.count() == 7 and single.agg(F.sum("copies")).first()[0] == 7
+
+
+def test_own_topics_read_the_texts_once(spark):
+    words = [["rain", "crop", "field"], ["troop", "gun", "raid"]]
+    rows = [(i % 50, " ".join(random.Random(i).choices(words[i % 2], k=12))) for i in range(60)] + [(60, ""), (61, None), (62, "zebra rain")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (None, 0.3):
+        got = tp.own_topics(docs, k=3, features=256, outlier_distance=limit).select("doc_id", "topic")
+        plan = got._jdf.queryExecution().toString()
+        assert "_tokens" not in plan and "Scan parquet" in plan
+        got = sorted(map(tuple, got.collect()))
+        want = tp.assign_topics(tp.fit_topics(docs, k=3, features=256), docs, outlier_distance=limit)
+        assert got == sorted(map(tuple, want.select("doc_id", "topic").collect())) and len(got) == 63
