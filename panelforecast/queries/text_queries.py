@@ -266,7 +266,7 @@ def topic_assign(spark, sf):
 def topic_assign_outliers(spark, sf):
     """Topics, -1 where a text is far from its centre."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return tp.assign_topics(tp.fit_topics(docs), docs, outlier_distance=0.5).select("doc_id", "topic")
+    return tp.own_topics(docs, outlier_distance=0.5).select("doc_id", "topic")
 
 
 @query("topic_assign_vectors")
